@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from ballotcredit.workload.roles import (
     PARTY,
     STATUSES,
     YEARS_AFTER,
-    table,
+    Tables,
 )
 
 VOLUME_FROM, VOLUME_TO = 1996, 2000
@@ -39,159 +41,159 @@ def money(name: str, digits: int = 2):
     return F.round(F.col(name).cast("double"), digits).alias(name)
 
 
-def _all_loans(spark, sf):
-    return loans.loans_union(table(spark, sf, "non_automatic"), table(spark, sf, "automatic"))
+def _all_loans(t):
+    return loans.loans_union(t["non_automatic"], t["automatic"])
 
 
-def _candidates(spark, sf):
+def _candidates(t):
     return candidate_frame(
-        table(spark, sf, "demographics"), table(spark, sf, "voting"), first_year=1995
+        t["demographics"], t["voting"], first_year=1995
     )
 
 
-def _running(spark, sf):
-    return _candidates(spark, sf).filter(F.col("ano").isin(*ELECTIONS))
+def _running(t):
+    return _candidates(t).filter(F.col("ano").isin(*ELECTIONS))
 
 
-def _shares(spark, sf):
+def _shares(t):
     return votes.municipal_vote_share(
-        table(spark, sf, "votes"), table(spark, sf, "valid_votes")
+        t["votes"], t["valid_votes"]
     )
 
 
-def _municipality_windows(spark, sf):
-    return loans.loans_in_election_window(table(spark, sf, "loans"), ELECTIONS, YEARS_AFTER)
+def _municipality_windows(t):
+    return loans.loans_in_election_window(t["loans"], ELECTIONS, YEARS_AFTER)
 
 
-def _base(spark, sf):
-    named = table(spark, sf, "votes").withColumn(
+def _base(t):
+    named = t["votes"].withColumn(
         "municipio", fn.normalize_name(F.col("nm_municipio"))
     )
-    return votes.electoral_base(_running(spark, sf), named, BASE_SIZE)
+    return votes.electoral_base(_running(t), named, BASE_SIZE)
 
 
-def _outcomes(spark, sf, fold_names=False):
+def _outcomes(t, fold_names=False):
     totals = loans.municipality_loan_totals(
-        _municipality_windows(spark, sf), fold_names=fold_names
+        _municipality_windows(t), fold_names=fold_names
     )
-    return votes.base_loan_outcomes(_base(spark, sf), totals)
+    return votes.base_loan_outcomes(_base(t), totals)
 
 
-def _donations(spark, sf):
-    return table(spark, sf, "revenue").withColumn(
+def _donations(t):
+    return t["revenue"].withColumn(
         "cpf_cnpj_doador", fn.parse_tax_id(F.col("cpf_cnpj_doador"))
     )
 
 
-def _firm_loans(spark, sf):
-    return table(spark, sf, "non_automatic").withColumn("cnpj", fn.parse_tax_id(F.col("cnpj")))
+def _firm_loans(t):
+    return t["non_automatic"].withColumn("cnpj", fn.parse_tax_id(F.col("cnpj")))
 
 
-def _firm_windows(spark, sf):
-    return loans.loans_in_election_window(_firm_loans(spark, sf), ELECTIONS, YEARS_AFTER)
+def _firm_windows(t):
+    return loans.loans_in_election_window(_firm_loans(t), ELECTIONS, YEARS_AFTER)
 
 
-def _donor_totals(spark, sf):
-    given = _donations(spark, sf).filter(F.col("ano").isin(*ELECTIONS))
-    return donors.donor_loan_totals(_firm_windows(spark, sf), given)
+def _donor_totals(t):
+    given = _donations(t).filter(F.col("ano").isin(*ELECTIONS))
+    return donors.donor_loan_totals(_firm_windows(t), given)
 
 
-def _municipality_panel(spark, sf, **options):
-    named = table(spark, sf, "votes").withColumn(
+def _municipality_panel(t, **options):
+    named = t["votes"].withColumn(
         "municipio", fn.normalize_name(F.col("nm_municipio"))
     )
     return channels.municipality_panel(
-        _candidates(spark, sf), named, table(spark, sf, "loans"), table(spark, sf, "coalition"),
+        _candidates(t), named, t["loans"], t["coalition"],
         elections=ELECTIONS, years_after=YEARS_AFTER, base_size=BASE_SIZE, party=PARTY,
         statuses=STATUSES, **options,
     )
 
 
-def _firm_panel(spark, sf, **options):
+def _firm_panel(t, **options):
     return channels.firm_panel(
-        _candidates(spark, sf), _donations(spark, sf), _firm_loans(spark, sf),
-        table(spark, sf, "coalition"), elections=ELECTIONS, years_after=YEARS_AFTER,
+        _candidates(t), _donations(t), _firm_loans(t),
+        t["coalition"], elections=ELECTIONS, years_after=YEARS_AFTER,
         party=PARTY, statuses=STATUSES, **options,
     )
 
 
-def _samples(spark, sf):
+def _samples(t):
     return panel.panel_subsamples(
-        _municipality_panel(spark, sf), SAMPLES, BANDWIDTH, PARTY
+        _municipality_panel(t), SAMPLES, BANDWIDTH, PARTY
     )
 
 
 # --- descriptive -----------------------------------------------------------------------------
 
-def _volume(spark, sf):
-    return loans.loan_volume_by_type_year(_all_loans(spark, sf), VOLUME_FROM, VOLUME_TO)
+def _volume(t):
+    return loans.loan_volume_by_type_year(_all_loans(t), VOLUME_FROM, VOLUME_TO)
 
 
-def loan_volume_by_type_year(spark: SparkSession, sf: str) -> DataFrame:
-    return _volume(spark, sf).select(
-        "tipo_op", "ano", money("total_contratado"), money("total_desembolsado"), "n_operacoes",
+def loan_volume_by_type_year(t):
+    return _volume(t).select(
+        "tipo_op", "ano", money("total_contratado"), money("total_desembolsado", 4), "n_operacoes",
         money("media_contratado"),
         F.round(F.col("var_contratado") / 1e6, 3).alias("var_contratado_mi"),
     )
 
 
-def loan_table_wide(spark, sf):
-    return loans.loan_table_wide(_volume(spark, sf)).withColumnsRenamed({
-        f"{m}_{t}": f"{m}_{short}"
+def loan_table_wide(t):
+    return loans.loan_table_wide(_volume(t)).withColumnsRenamed({
+        f"{m}_{kind}": f"{m}_{short}"
         for m in ("total_contratado", "media_contratado", "n_operacoes")
-        for t, short in ((AUTOMATIC, "aut"), (NON_AUTOMATIC, "nao_aut"))
+        for kind, short in ((AUTOMATIC, "aut"), (NON_AUTOMATIC, "nao_aut"))
     })
 
 
-def loan_measures_wide(spark, sf):
+def loan_measures_wide(t):
     wide = loans.pivot_measures(
-        _volume(spark, sf), ["ano"], "tipo_op", (AUTOMATIC, NON_AUTOMATIC),
+        _volume(t), ["ano"], "tipo_op", (AUTOMATIC, NON_AUTOMATIC),
         ("total_desembolsado", "n_operacoes"),
     )
     return wide.select(
         "ano", *[
-            F.round(F.col(f"`{m}_{t}`").cast("double"), 2).alias(f"{m}_{short}")
+            F.round(F.col(f"`{m}_{kind}`").cast("double"), 4).alias(f"{m}_{short}")
             for m in ("total_desembolsado", "n_operacoes")
-            for t, short in ((AUTOMATIC, "aut"), (NON_AUTOMATIC, "nao_aut"))
+            for kind, short in ((AUTOMATIC, "aut"), (NON_AUTOMATIC, "nao_aut"))
         ]
     )
 
 
 # --- loans -----------------------------------------------------------------------------------
 
-def loans_union_types(spark, sf):
-    return _all_loans(spark, sf).select(
+def loans_union_types(t):
+    return _all_loans(t).select(
         "tipo_op", "cliente", "cnpj", "uf",
         F.col("data_da_contratacao").cast("string").alias("data_da_contratacao"),
         money("valor_da_operacao_em_reais"), money("valor_desembolsado_reais", 4),
     )
 
 
-def loans_in_election_window(spark, sf):
-    return _firm_windows(spark, sf).select(
+def loans_in_election_window(t):
+    return _firm_windows(t).select(
         "ano", "cliente", F.col("data_da_contratacao").cast("string").alias("data"),
         money("valor_desembolsado_reais", 4),
     )
 
 
-def _municipality_totals(spark, sf, **options):
-    totals = loans.municipality_loan_totals(_municipality_windows(spark, sf), **options)
+def _municipality_totals(t, **options):
+    totals = loans.municipality_loan_totals(_municipality_windows(t), **options)
     return totals.select(
         "ano", "municipio_codigo", "uf", "municipio", money("total_contratado"),
-        money("total_desembolsado"),
+        money("total_desembolsado", 4),
     )
 
 
-def municipality_loan_totals(spark, sf):
-    return _municipality_totals(spark, sf)
+def municipality_loan_totals(t):
+    return _municipality_totals(t)
 
 
-def municipality_loan_totals_folded(spark, sf):
-    return _municipality_totals(spark, sf, fold_names=True, skip_nulls=True)
+def municipality_loan_totals_folded(t):
+    return _municipality_totals(t, fold_names=True, skip_nulls=True)
 
 
-def na_sum_injected(spark, sf):
-    amounts = table(spark, sf, "lineitem").select(
+def na_sum_injected(t):
+    amounts = t["lineitem"].select(
         "l_partkey",
         F.when(F.col("l_quantity") != 50, F.col("l_extendedprice").cast("decimal(18,2)"))
         .alias("amount"),
@@ -204,74 +206,74 @@ def na_sum_injected(spark, sf):
 
 # --- cleaning --------------------------------------------------------------------------------
 
-def normalized_names(spark, sf):
+def normalized_names(t):
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return t["documents"].select(
         "doc_id", fn.fold_accents(text).alias("folded"), fn.normalize_name(text).alias("name"),
         fn.letters_and_digits(text).alias("letters"),
     )
 
 
-def normalized_turns(spark, sf):
-    return table(spark, sf, "conversations").select(
+def normalized_turns(t):
+    return t["conversations"].select(
         "conv_id", "turn", "role", fn.normalize_name(F.col("text")).alias("name")
     )
 
 
-def stripped_punctuation(spark, sf):
-    return table(spark, sf, "documents").select(
+def stripped_punctuation(t):
+    return t["documents"].select(
         "doc_id", fn.strip_punctuation(F.col("text")).alias("plain")
     )
 
 
-def tax_id_parse(spark, sf):
-    return table(spark, sf, "non_automatic").select(
+def tax_id_parse(t):
+    return t["non_automatic"].select(
         "cnpj", fn.parse_tax_id(F.col("cnpj")).alias("id"),
         fn.tax_id_digits(F.col("cnpj")).alias("digits"),
     )
 
 
-def decimal_comma_parse(spark, sf):
+def decimal_comma_parse(t):
     comma = F.translate(format_pattern(F.col("l_extendedprice"), "#,##0.00"), ",.", ".,")
     text = F.when(F.col("l_quantity") == 1, F.lit("n/d")).otherwise(comma)
-    return table(spark, sf, "lineitem").select(
+    return t["lineitem"].select(
         "l_orderkey", "l_linenumber", text.alias("text"),
         F.round(fn.parse_decimal(text).cast("double"), 2).alias("amount"),
     )
 
 
-def magnitude_text(spark, sf):
+def magnitude_text(t):
     """Order values from cents to billions as short text."""
     scaled = F.floor(F.col("o_totalprice")) * F.when(
         F.col("o_orderpriority") == "1-URGENT", 100000).when(
         F.col("o_orderpriority") == "2-HIGH", 100).otherwise(1)
-    return table(spark, sf, "orders").select(
+    return t["orders"].select(
         "o_orderkey", fn.magnitude(scaled).alias("text")
     )
 
 
 # --- candidates and joins --------------------------------------------------------------------
 
-def candidates(spark, sf):
-    return _candidates(spark, sf).select(
+def candidates(t):
+    return _candidates(t).select(
         "id_candidato_bd", "ano", "nome", "municipio_nascimento", "sigla_uf", "sigla_partido",
         "situacao", "votos", "resultado",
     )
 
 
-def one_to_many_violations(spark, sf):
+def one_to_many_violations(t):
     """Line item keys that repeat and also occur in the orders."""
-    lines = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "key")
-    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "key")
+    lines = t["lineitem"].withColumnRenamed("l_orderkey", "key")
+    orders = t["orders"].withColumnRenamed("o_orderkey", "key")
     return joins.one_to_many_violations(lines, orders, ["key"])
 
 
-def null_safe_left_join(spark, sf):
-    firms = _firm_loans(spark, sf).groupBy("cnpj").agg(
+def null_safe_left_join(t):
+    firms = _firm_loans(t).groupBy("cnpj").agg(
         F.count(F.lit(1)).alias("n_loans"),
         F.sum("valor_desembolsado_reais").alias("disbursed"),
     )
-    gifts = _donations(spark, sf).select("id_candidato_bd", "ano", "cpf_cnpj_doador")
+    gifts = _donations(t).select("id_candidato_bd", "ano", "cpf_cnpj_doador")
     joined = joins.key_join(
         gifts, firms, {"cpf_cnpj_doador": "cnpj"}, match_nulls=["cpf_cnpj_doador"],
         spread_by=["id_candidato_bd"], salts=8,
@@ -281,17 +283,17 @@ def null_safe_left_join(spark, sf):
     )
 
 
-def null_safe_semi_join(spark, sf):
-    gifts = _donations(spark, sf).filter(F.col("origem_receita").like("%fisicas"))
+def null_safe_semi_join(t):
+    gifts = _donations(t).filter(F.col("origem_receita").like("%fisicas"))
     kept = joins.key_semi_join(
-        _firm_loans(spark, sf), gifts, {"cnpj": "cpf_cnpj_doador"}, match_nulls=["cnpj"]
+        _firm_loans(t), gifts, {"cnpj": "cpf_cnpj_doador"}, match_nulls=["cnpj"]
     )
     return kept.groupBy("cnpj").agg(F.count(F.lit(1)).alias("n_loans"))
 
 
-def first_row_per_candidate(spark, sf):
+def first_row_per_candidate(t):
     first = rows.first_row_per_key(
-        _donations(spark, sf), ["id_candidato_bd", "ano"],
+        _donations(t), ["id_candidato_bd", "ano"],
         ["data_receita", "cpf_cnpj_doador", F.col("valor_receita").desc_nulls_last()],
     )
     return first.select(
@@ -302,15 +304,15 @@ def first_row_per_candidate(spark, sf):
 
 # --- municipality channel --------------------------------------------------------------------
 
-def municipal_vote_share(spark, sf):
-    return _shares(spark, sf).select(
+def municipal_vote_share(t):
+    return _shares(t).select(
         "ano", "sg_uf", "nr_candidato", "municipio", "qt_votos_nom_validos", "qt_votos_mun",
         money("vot_prop_mun", 9),
     )
 
 
-def electoral_base_topk(spark, sf):
-    return _base(spark, sf).select(
+def electoral_base_topk(t):
+    return _base(t).select(
         "id_candidato_bd", "ano", "sigla_uf", "municipio", "qt_votos_nom_validos", "votos",
         money("vot_prop_cand", 12),
     )
@@ -319,84 +321,84 @@ def electoral_base_topk(spark, sf):
 def _outcome_columns(df):
     return df.select(
         "id_candidato_bd", "ano", "sigla_uf", "sigla_partido", "votos", "resultado",
-        money("total_contratado_base"), money("total_desembolsado_base"), money("log_c", 6),
+        money("total_contratado_base"), money("total_desembolsado_base", 4), money("log_c", 6),
         money("log_d", 6), money("vot_prop_cand", 12),
     )
 
 
-def base_loan_outcomes(spark, sf):
-    return _outcome_columns(_outcomes(spark, sf))
+def base_loan_outcomes(t):
+    return _outcome_columns(_outcomes(t))
 
 
-def base_loan_outcomes_folded(spark, sf):
-    return _outcome_columns(_outcomes(spark, sf, fold_names=True))
+def base_loan_outcomes_folded(t):
+    return _outcome_columns(_outcomes(t, fold_names=True))
 
 
 # --- firm channel ----------------------------------------------------------------------------
 
-def donor_loan_totals(spark, sf):
-    return _donor_totals(spark, sf).select(
+def donor_loan_totals(t):
+    return _donor_totals(t).select(
         "ano", "cnpj", "cliente", "uf", "municipio", money("total_contratado"),
-        money("total_desembolsado"),
+        money("total_desembolsado", 4),
     )
 
 
 def _donor_columns(df):
     return df.select(
         "id_candidato_bd", "ano", money("total_donations", 4), money("total_bndes_donors_c"),
-        money("total_bndes_donors_d"), "n_clients", money("avg_bndes_donors_c"),
-        money("avg_bndes_donors_d"), money("log_avg_c", 6), money("log_avg_d", 6),
+        money("total_bndes_donors_d", 4), "n_clients", "avg_bndes_donors_c",
+        "avg_bndes_donors_d", money("log_avg_c", 6), money("log_avg_d", 6),
         "cpf_cnpj_doador", money("valor_receita", 4),
         F.col("data_receita").cast("string").alias("data_receita"),
         money("total_contratado"), "indic_bndes", "sigla_uf", "sigla_partido", "votos",
     )
 
 
-def donor_loan_outcomes(spark, sf):
-    given = _donations(spark, sf).filter(F.col("ano").isin(*ELECTIONS))
+def donor_loan_outcomes(t):
+    given = _donations(t).filter(F.col("ano").isin(*ELECTIONS))
     return _donor_columns(donors.donor_loan_outcomes(
-        _running(spark, sf), given, _donor_totals(spark, sf)
+        _running(t), given, _donor_totals(t)
     ))
 
 
-def donor_loan_outcomes_any(spark, sf):
-    given = _donations(spark, sf).filter(F.col("ano").isin(*ELECTIONS))
+def donor_loan_outcomes_any(t):
+    given = _donations(t).filter(F.col("ano").isin(*ELECTIONS))
     totals = donors.donor_loan_totals(
-        _firm_windows(spark, sf), given, match_nulls=False, skip_nulls=True
+        _firm_windows(t), given, match_nulls=False, skip_nulls=True
     )
     return _donor_columns(donors.donor_loan_outcomes(
-        _running(spark, sf), given, totals, match_nulls=False, indicator="any"
+        _running(t), given, totals, match_nulls=False, indicator="any"
     ))
 
 
 # --- coalition, margin, panel ----------------------------------------------------------------
 
-def coalition_map(spark, sf):
-    return co.coalition_map(table(spark, sf, "coalition"))
+def coalition_map(t):
+    return co.coalition_map(t["coalition"])
 
 
-def _with_coalition(spark, sf, **options):
+def _with_coalition(t, **options):
     return co.with_coalition(
-        _running(spark, sf), table(spark, sf, "coalition"), PARTY, **options
+        _running(t), t["coalition"], PARTY, **options
     ).select("id_candidato_bd", "ano", "sigla_uf", "sigla_partido", "resultado", "votos",
              "colig", "colig_pt", "is_colig_pt")
 
 
-def party_coalition_flag(spark, sf):
-    return _with_coalition(spark, sf)
+def party_coalition_flag(t):
+    return _with_coalition(t)
 
 
-def party_coalition_flag_unfilled(spark, sf):
-    return _with_coalition(spark, sf, fill_before_flag=False)
+def party_coalition_flag_unfilled(t):
+    return _with_coalition(t, fill_before_flag=False)
 
 
-def vote_margin(spark, sf):
-    return margin.vote_margin(_with_coalition(spark, sf), STATUSES)
+def vote_margin(t):
+    return margin.vote_margin(_with_coalition(t), STATUSES)
 
 
-def vote_margin_consistent(spark, sf):
+def vote_margin_consistent(t):
     return margin.vote_margin(
-        _with_coalition(spark, sf), STATUSES, margin_statuses=None, drop_ties=False
+        _with_coalition(t), STATUSES, margin_statuses=None, drop_ties=False
     )
 
 
@@ -408,22 +410,22 @@ def _panel_columns(df, outcomes):
     )
 
 
-def pooled_panel(spark, sf):
-    return _panel_columns(_municipality_panel(spark, sf), ("log_c", "log_d"))
+def pooled_panel(t):
+    return _panel_columns(_municipality_panel(t), ("log_c", "log_d"))
 
 
-def pooled_panel_firms(spark, sf):
-    return _panel_columns(_firm_panel(spark, sf), ("log_avg_c", "log_avg_d"))
+def pooled_panel_firms(t):
+    return _panel_columns(_firm_panel(t), ("log_avg_c", "log_avg_d"))
 
 
-def panel_subsamples(spark, sf):
+def panel_subsamples(t):
     return panel.panel_subsamples(
-        _municipality_panel(spark, sf), (*SAMPLES, "reg"), BANDWIDTH, PARTY
+        _municipality_panel(t), (*SAMPLES, "reg"), BANDWIDTH, PARTY
     ).select("sample", "id_candidato_bd", "ano", "elected", "elected_label", "vote_margin")
 
 
-def state_factor(spark, sf):
-    listed = _with_coalition(spark, sf)
+def state_factor(t):
+    listed = _with_coalition(t)
     levels = fn.factor_levels(listed, "sigla_uf", "code")
     coded = joins.key_join(listed, levels, ["sigla_uf"])
     return coded.groupBy("sigla_uf", "code").agg(F.count(F.lit(1)).alias("n"))
@@ -431,43 +433,43 @@ def state_factor(spark, sf):
 
 # --- regression discontinuity ----------------------------------------------------------------
 
-def rd_effective_counts(spark, sf):
-    return rd.rd_effective_counts(_samples(spark, sf), SPECS)
+def rd_effective_counts(t):
+    return rd.rd_effective_counts(_samples(t), SPECS)
 
 
-def rd_local_linear(spark, sf):
-    jumps = rd.rd_local_polynomial(_samples(spark, sf), "log_c", LINEAR)
+def rd_local_linear(t):
+    jumps = rd.rd_local_polynomial(_samples(t), "log_c", LINEAR)
     return jumps.select(*rd.KEYS, money("intercept_left", 5), money("intercept_right", 5),
                         money("estimate", 5))
 
 
-def rd_local_cubic(spark, sf):
-    jumps = rd.rd_local_polynomial(_samples(spark, sf), "log_c", CUBIC)
+def rd_local_cubic(t):
+    jumps = rd.rd_local_polynomial(_samples(t), "log_c", CUBIC)
     return jumps.select(*rd.KEYS, money("intercept_left", 4), money("intercept_right", 4),
                         money("estimate", 4))
 
 
-def rd_std_error(spark, sf):
-    errors = rd.rd_std_error(_samples(spark, sf), "log_c", LINEAR)
+def rd_std_error(t):
+    errors = rd.rd_std_error(_samples(t), "log_c", LINEAR)
     return errors.select(*rd.KEYS, money("estimate", 5), money("std_error", 5), "n_left",
                          "n_right")
 
 
-def rd_result_grid(spark, sf):
-    grid = rd.rd_result_grid(_samples(spark, sf), "log_c", SPECS)
+def rd_result_grid(t):
+    grid = rd.rd_result_grid(_samples(t), "log_c", SPECS)
     return grid.select("sample", "spec", money("estimate", 4), "stars", money("std_error", 4),
                        "n_left", "n_right", "bandwidth", "order", "kernel")
 
 
-def rd_result_grid_firms(spark, sf):
-    samples = panel.panel_subsamples(_firm_panel(spark, sf), SAMPLES, BANDWIDTH, PARTY)
+def rd_result_grid_firms(t):
+    samples = panel.panel_subsamples(_firm_panel(t), SAMPLES, BANDWIDTH, PARTY)
     grid = rd.rd_result_grid(samples, "log_avg_c", SPECS)
     return grid.select("sample", "spec", money("estimate", 4), "stars", money("std_error", 4),
                        "n_left", "n_right", "bandwidth", "order", "kernel")
 
 
-def rd_table_layout(spark, sf):
-    grid = rd.rd_result_grid(_samples(spark, sf), "log_c", SPECS)
+def rd_table_layout(t):
+    grid = rd.rd_result_grid(_samples(t), "log_c", SPECS)
     return rd.rd_table_layout(grid).withColumnsRenamed(
         {f"({i})": f"spec_{i}" for i in range(1, 5)}
     )
@@ -475,11 +477,11 @@ def rd_table_layout(spark, sf):
 
 # --- sources and sinks -----------------------------------------------------------------------
 
-def loan_file_scan(spark, sf):
+def loan_file_scan(t):
     """Loans written as semicolon files with decimal commas in Latin-1, read back and summed."""
     comma = F.translate(format_pattern(F.col("valor_contratado_reais"), "#,##0.00"), ",.", ".,")
-    folder = sinks.work_folder(spark)
-    text = table(spark, sf, "non_automatic").select(
+    folder = sinks.work_folder(t.spark)
+    text = t["non_automatic"].select(
         "cliente", "cnpj", F.lit("São João").alias("municipio"), "uf",
         F.lit("0").alias("municipio_codigo"), "data_da_contratacao",
         F.lit("extra").alias("area_operacional"), comma.alias("valor_contratado_reais"),
@@ -488,7 +490,7 @@ def loan_file_scan(spark, sf):
     )
     sinks.write_csv(text, folder, sep=";", encoding="ISO-8859-1")
     read = readers.read_delimited(
-        spark, folder, schemas.NON_AUTOMATIC_LOANS, sep=";", decimal_mark=",",
+        t.spark, folder, schemas.NON_AUTOMATIC_LOANS, sep=";", decimal_mark=",",
         grouping_mark=".", encoding="ISO-8859-1", doubled_quotes=False,
     )
     return read.groupBy("uf", "municipio", F.year("data_da_contratacao").alias("ano")).agg(
@@ -498,50 +500,57 @@ def loan_file_scan(spark, sf):
     )
 
 
-def vote_files_by_year(spark, sf):
+def vote_files_by_year(t):
     """Votes written as one comma file per election and read back as one table."""
-    folder = sinks.work_folder(spark)
+    folder = sinks.work_folder(t.spark)
     paths = {}
     for year in ELECTIONS:
         paths[year] = f"{folder}/{year}"
-        of_year = table(spark, sf, "votes").filter(F.col("ano") == year).drop("ano")
+        of_year = t["votes"].filter(F.col("ano") == year).drop("ano")
         sinks.write_csv(
             of_year.withColumn("ds_composicao_coligacao", F.lit(None).cast("string")),
             paths[year],
         )
-    read = readers.read_municipal_votes(spark, paths)
+    read = readers.read_municipal_votes(t.spark, paths)
     return read.groupBy("ano", "sg_uf", "nm_municipio").agg(
         F.sum("qt_votos_nom_validos").alias("votes"), F.count(F.lit(1)).alias("n"),
         F.count("ds_composicao_coligacao").alias("n_listed"),
     )
 
 
-def snapshot_by_year(spark, sf):
+def snapshot_by_year(t):
     """Candidate results written as a partitioned snapshot, read back with partition pruning."""
-    folder = sinks.work_folder(spark)
-    sinks.snapshot(table(spark, sf, "voting"), folder)
-    read = readers.read_table(spark, folder).filter(F.col("ano").isin(*ELECTIONS))
+    folder = sinks.work_folder(t.spark)
+    sinks.snapshot(t["voting"], folder)
+    read = readers.read_table(t.spark, folder).filter(F.col("ano").isin(*ELECTIONS))
     return read.groupBy("ano", "resultado").agg(
         F.sum("votos").alias("votos"), F.count(F.lit(1)).alias("n")
     )
 
 
-def panel_folders(spark, sf):
+def panel_folders(t):
     """Both channels' panels written below one folder and read back as one table."""
-    folder = sinks.work_folder(spark)
+    folder = sinks.work_folder(t.spark)
     columns = ("id_candidato_bd", "ano", "vote_margin", "elected")
     sinks.write_panel(
-        _municipality_panel(spark, sf).select(*columns), folder, channels.MUNICIPALITY
+        _municipality_panel(t).select(*columns), folder, channels.MUNICIPALITY
     )
-    sinks.write_panel(_firm_panel(spark, sf).select(*columns), folder, channels.FIRM)
-    return spark.read.parquet(folder).groupBy("canal", "ano").agg(
+    sinks.write_panel(_firm_panel(t).select(*columns), folder, channels.FIRM)
+    return t.spark.read.parquet(folder).groupBy("canal", "ano").agg(
         F.count(F.lit(1)).alias("n"), F.sum("vote_margin").alias("margins"),
         F.sum("elected").alias("elected"),
     )
 
 
+def _on_tables(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(Tables(spark, sf_dir))
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: _on_tables(f)
     for f in (
         loan_volume_by_type_year, loan_table_wide, loan_measures_wide, loans_union_types,
         loans_in_election_window, municipality_loan_totals, municipality_loan_totals_folded,

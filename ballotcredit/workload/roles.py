@@ -134,13 +134,22 @@ ROLES = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table or a role over the driver tables."""
-    if name not in ROLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = ROLES[name]
-    parts = {part: table(spark, sf_dir, part) for part in _parts(text)}
-    return spark.sql(text, **parts)
+class Tables:
+    """Driver tables and roles of one folder; each is defined once, so that branches of a plan
+    that use the same role can share its shuffles."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._known: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._known:
+            if name in ROLES:
+                parts = {part: self[part] for part in _parts(ROLES[name])}
+                self._known[name] = self.spark.sql(ROLES[name], **parts)
+            else:
+                self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._known[name]
 
 
 def _parts(text: str) -> list[str]:
