@@ -78,10 +78,10 @@ def municipality_loan_totals(
     """
     clean = normalize_name if fold_names else letters_and_digits
     located = loans_window.filter(F.col("municipio_codigo") != NO_MUNICIPALITY)
-    # First level: partial sums per spelling and state, combined before the shuffle.
+    # First level: partial sums per name as written and state, combined before the shuffle; the
+    # names are cleaned afterwards, once per name and not once per loan.
     spellings = (
-        located.withColumn("municipio", clean(F.col("municipio")))
-        .groupBy("ano", "municipio_codigo", "municipio", "uf")
+        located.groupBy("ano", "municipio_codigo", "municipio", "uf")
         .agg(
             F.sum(CONTRACTED).alias("_sum_c"),
             F.sum(DISBURSED).alias("_sum_d"),
@@ -90,8 +90,9 @@ def municipality_loan_totals(
             F.count(DISBURSED).alias("_n_d"),
             F.min(order).alias("_first"),
         )
+        .withColumn("municipio", clean(F.col("municipio")))
     )
-    # Second level: one row per spelling, so a code's window is as long as its spellings.
+    # Second level: one row per written name, so a code's window is as long as its names.
     code = Window.partitionBy("ano", "municipio_codigo")
     spelling = Window.partitionBy("ano", "municipio_codigo", "municipio").orderBy("_first", "uf")
 

@@ -52,7 +52,7 @@ def vote_margin(
     are left out, and with ``drop_ties`` candidates whose margin is zero or unknown.
 
     The thresholds are combined per list before the shuffle and joined back with salts, so no
-    list is gathered in one task.
+    list is gathered in one task. ``df`` is read twice; pass a written table when it is costly.
     """
     won = won_seat(statuses)
     thresholds = list_thresholds(df, statuses).filter(F.col("min_votos_win").isNotNull())

@@ -40,11 +40,14 @@ def electoral_base(candidates: DataFrame, votes: DataFrame, k: int = BASE_SIZE)
     Only positive shares count. Within one (year, state, number) the order by share is the order
     by votes, so each number's votes are first cut to the top ``k`` before they meet the
     candidates; the rank over the candidate's id then settles ids that have several rows.
+    Adds a comparable ``municipio`` when ``votes`` has none.
     """
     number = ("ano", "sg_uf", "nr_candidato")
     leading = top_with_ties(
         votes.filter(F.col("qt_votos_nom_validos") > 0), number, "qt_votos_nom_validos", k
     )
+    if "municipio" not in votes.columns:
+        leading = leading.withColumn("municipio", normalize_name(F.col("nm_municipio")))
     joined = key_join(
         candidates, leading,
         {"ano": "ano", "sigla_uf": "sg_uf", "numero_candidato": "nr_candidato"},

@@ -1,4 +1,9 @@
-"""The two channels from input tables to the pooled panel, all elections in one plan."""
+"""The two channels from input tables to the pooled panel, all elections in one plan.
+
+The margin reads the candidate rows twice (list thresholds, then the candidates themselves), so
+each channel writes them once in between: the joins over loans, votes and donations run once, and
+what follows restarts from the written table when executors are lost.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +26,7 @@ from ballotcredit.operators.loans import loans_in_election_window, municipality_
 from ballotcredit.operators.margin import vote_margin
 from ballotcredit.operators.panel import pooled_panel
 from ballotcredit.operators.votes import base_loan_outcomes, electoral_base
+from ballotcredit.sources.sinks import written
 
 MUNICIPALITY = "municipios"
 FIRM = "empresas"
@@ -42,8 +48,8 @@ def municipality_panel(
 ) -> DataFrame:
     """Panel of candidates with the loans contracted in their electoral base.
 
-    ``candidates`` comes from ``candidate_frame``; ``votes`` has a comparable ``municipio`` (see
-    ``municipal_vote_share``); ``loans`` is the union of both loan tables.
+    ``candidates`` comes from ``candidate_frame``; ``votes`` are the votes by candidate and
+    municipality; ``loans`` is the union of both loan tables.
     """
     windows = loans_in_election_window(loans, elections, years_after)
     totals = municipality_loan_totals(windows, fold_names=fold_names)
@@ -52,7 +58,7 @@ def municipality_panel(
     )
     outcomes = base_loan_outcomes(base, totals)
     listed = with_coalition(outcomes, coalition, party, fill_before_flag=True)
-    return pooled_panel(vote_margin(listed, statuses, margin_statuses))
+    return pooled_panel(vote_margin(written(listed), statuses, margin_statuses))
 
 
 def firm_panel(
@@ -82,4 +88,4 @@ def firm_panel(
         running, given, totals, match_nulls=match_nulls, order=donation_order
     )
     listed = with_coalition(outcomes, coalition, party, fill_before_flag=False)
-    return pooled_panel(vote_margin(listed, statuses, margin_statuses))
+    return pooled_panel(vote_margin(written(listed), statuses, margin_statuses))

@@ -66,10 +66,7 @@ def _municipality_windows(t):
 
 
 def _base(t):
-    named = t["votes"].withColumn(
-        "municipio", fn.normalize_name(F.col("nm_municipio"))
-    )
-    return votes.electoral_base(_running(t), named, BASE_SIZE)
+    return votes.electoral_base(_running(t), t["votes"], BASE_SIZE)
 
 
 def _outcomes(t, fold_names=False):
@@ -99,11 +96,8 @@ def _donor_totals(t):
 
 
 def _municipality_panel(t, **options):
-    named = t["votes"].withColumn(
-        "municipio", fn.normalize_name(F.col("nm_municipio"))
-    )
     return channels.municipality_panel(
-        _candidates(t), named, t["loans"], t["coalition"],
+        _candidates(t), t["votes"], t["loans"], t["coalition"],
         elections=ELECTIONS, years_after=YEARS_AFTER, base_size=BASE_SIZE, party=PARTY,
         statuses=STATUSES, **options,
     )
