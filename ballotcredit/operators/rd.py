@@ -1,8 +1,9 @@
 """Regression discontinuity at margin zero as weighted-moment aggregates.
 
-A local polynomial with triangular kernel needs only the sums of w x^j and w x^j y per side, so
+A local polynomial with triangular kernel needs only the sums of w z^j and w z^j y per side, so
 the panel is reduced by one hash aggregation and the small systems are solved as column
-expressions over one row per side. Margins are scaled by the bandwidth before powers are taken.
+expressions over one row per side. The distance from the cutoff is mapped to z in [-1, 1] before
+powers are taken, which keeps the systems well conditioned; the cutoff is at z = -1.
 
 Samples come in the ``sample`` column (see ``panel_subsamples``). Specifications are parameters,
 ``(sample, spec, degree, bandwidth)``.
@@ -21,7 +22,7 @@ from ballotcredit.operators.tables import parameter_table
 Spec = tuple[str, int, int, float]
 KEYS = ("sample", "spec", "degree", "bandwidth")
 # A pivot below this part of its diagonal entry means fewer distinct margins than coefficients.
-SINGULAR = 1e-10
+SINGULAR = 1e-13
 
 
 def grid_specs(columns: Mapping[str, Sequence[tuple[int, float]]]) -> list[Spec]:
@@ -61,12 +62,14 @@ def _moments(
     rows = _inside(panel, specs).select(
         *KEYS, *cluster,
         (F.col("vote_margin") >= 0).alias("right"),
-        (F.col("vote_margin").cast("double") / F.col("bandwidth")).alias("x"),
+        (F.abs("vote_margin").cast("double") / F.col("bandwidth")).alias("distance"),
         F.col(outcome).cast("double").alias("y"),
     ).filter(F.col("y").isNotNull())
-    rows = rows.withColumn("p0", F.lit(1.0) - F.abs("x"))
+    rows = rows.withColumns({
+        "p0": F.lit(1.0) - F.col("distance"), "z": F.lit(2.0) * F.col("distance") - F.lit(1.0),
+    })
     for j in range(1, 2 * top + 1):
-        rows = rows.withColumn(f"p{j}", F.col(f"p{j - 1}") * F.col("x"))
+        rows = rows.withColumn(f"p{j}", F.col(f"p{j - 1}") * F.col("z"))
     return rows.groupBy(*KEYS, "right", *cluster).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(f"p{j}").alias(f"s{j}") for j in range(2 * top + 1)],
@@ -75,10 +78,11 @@ def _moments(
 
 
 def _solve(moments: DataFrame, top: int) -> DataFrame:
-    """Coefficients b0..bp and the first row a0..ap of the inverse, per row of moments.
+    """Coefficients b0..bp, weights a0..ap and the intercept at the cutoff, per row of moments.
 
-    Gauss-Jordan elimination of S b = t and S a = e0. Rows of a lower degree than ``top`` are
-    padded with the identity; a singular system gives NULL.
+    Gauss-Jordan elimination of S b = t and S a = v, where v holds the powers of z = -1: the
+    intercept is v'b, and a turns a score into its part of the intercept. Rows of a lower degree
+    than ``top`` are padded with the identity; a singular system gives NULL.
     """
     size = range(top + 1)
     used = [F.lit(i) <= F.col("degree") for i in size]
@@ -93,7 +97,7 @@ def _solve(moments: DataFrame, top: int) -> DataFrame:
         *[entry(i, j).alias(f"m{i}{j}") for i in size for j in size],
         *[entry(i, i).alias(f"d{i}") for i in size],
         *[F.when(used[i], F.col(f"t{i}")).otherwise(0.0).alias(f"b{i}") for i in size],
-        *[F.lit(1.0 if i == 0 else 0.0).alias(f"a{i}") for i in size],
+        *[F.when(used[i], F.lit((-1.0) ** i)).otherwise(0.0).alias(f"a{i}") for i in size],
     )
     for k in size:
         columns = [f"m{{}}{j}" for j in size if j > k] + ["b{}", "a{}"]
@@ -105,8 +109,10 @@ def _solve(moments: DataFrame, top: int) -> DataFrame:
             c.format(i): F.col(c.format(i)) - F.col(f"m{i}{k}") * F.col(c.format(k))
             for i in size if i != k for c in columns
         })
+    at_cutoff = sum(F.lit((-1.0) ** i) * F.col(f"b{i}") for i in size)
     return system.select(
-        *others, *[f"b{i}" for i in size], *[f"a{i}" for i in size]
+        *others, *[f"b{i}" for i in size], *[f"a{i}" for i in size],
+        at_cutoff.alias("intercept"),
     )
 
 
@@ -125,12 +131,9 @@ def rd_local_polynomial(panel: DataFrame, outcome: str, specs: Sequence[Spec]) -
     Fewer distinct margins than coefficients on a side give NULL.
     """
     top = max(degree for _, _, degree, _ in specs)
-    sides = _by_side(_solve(_moments(panel, outcome, specs), top), ["b0"])
-    return sides.select(
-        *KEYS, F.col("b0_left").alias("intercept_left"),
-        F.col("b0_right").alias("intercept_right"),
-        (F.col("b0_right") - F.col("b0_left")).alias("estimate"),
-    )
+    sides = _by_side(_solve(_moments(panel, outcome, specs), top), ["intercept"])
+    jump = F.col("intercept_right") - F.col("intercept_left")
+    return sides.withColumn("estimate", jump)
 
 
 def rd_std_error(
@@ -157,14 +160,14 @@ def rd_std_error(
     scored = clusters.join(solved, [*KEYS, "right"]).withColumn("score", sum(scores))
     sides = _by_side(
         scored.groupBy(*KEYS, "right").agg(
-            F.max("b0").alias("b0"),
+            F.max("intercept").alias("intercept"),
             F.sum(F.col("score") * F.col("score")).alias("variance"),
             F.sum("n").alias("n"),
         ),
-        ["b0", "variance", "n"],
+        ["intercept", "variance", "n"],
     )
     return sides.select(
-        *KEYS, (F.col("b0_right") - F.col("b0_left")).alias("estimate"),
+        *KEYS, (F.col("intercept_right") - F.col("intercept_left")).alias("estimate"),
         F.sqrt(F.col("variance_left") + F.col("variance_right")).alias("std_error"),
         F.coalesce("n_left", F.lit(0)).alias("n_left"),
         F.coalesce("n_right", F.lit(0)).alias("n_right"),
@@ -189,7 +192,7 @@ def rd_table_layout(grid: DataFrame, columns: int = 4, bandwidth_label: str = "B
     with one text column ``(1)``, ``(2)``, ... per specification."""
 
     def digits(c: str):
-        return F.format_string("%.3f", F.col(c))
+        return F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c)))
 
     texts = [
         ("LATE", F.concat(digits("estimate"), F.col("stars"))),
