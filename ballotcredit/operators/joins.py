@@ -24,6 +24,20 @@ def _condition(pairs: Mapping[str, str], match_nulls: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, tests)
 
 
+def _spread(left, slim, joined_on, spread_by, salts):
+    """Give the left rows a salt and copy the right rows once per salt."""
+    if salts == 1:
+        return left, slim, joined_on
+    if not spread_by:
+        raise ValueError("salts need spread_by columns")
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return (
+        left.withColumn(_SALT, salt), slim.withColumn("_key_salt", copies),
+        {**joined_on, _SALT: "_key_salt"},
+    )
+
+
 def key_join(
     left: DataFrame,
     right: DataFrame,
@@ -50,15 +64,8 @@ def key_join(
     keys = {b: f"_key_{i}" for i, b in enumerate(pairs.values())}
     slim = right.select(*[F.col(b).alias(k) for b, k in keys.items()], *extra)
     joined_on = {a: keys[b] for a, b in pairs.items()}
-    if salts > 1:
-        if not spread_by:
-            raise ValueError("salts need spread_by columns")
-        salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-        left = left.withColumn(_SALT, salt)
-        slim = slim.withColumn(
-            "_key_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-        )
-        joined_on[_SALT] = "_key_salt"
+    left, slim, joined_on = _spread(left, slim, joined_on, spread_by, salts)
+    # The names on the two sides differ, so the condition needs no table references.
     joined = left.join(slim, _condition(joined_on, match_nulls), how)
     return joined.drop(_SALT, *joined_on.values())
 
@@ -68,17 +75,21 @@ def key_semi_join(
     right: DataFrame,
     on: Mapping[str, str] | Sequence[str],
     match_nulls: Sequence[str] = (),
+    *,
+    spread_by: Sequence[str] = (),
+    salts: int = 1,
 ) -> DataFrame:
     """Left rows whose key is in the right table; NULL is in a table that holds NULL when named
     in ``match_nulls``. The right side is made distinct first, so repeated keys are shuffled once.
+    ``spread_by`` and ``salts`` spread hot left keys as in ``key_join``.
     """
     pairs = _pairs(on)
     slim = right.select(
         *[F.col(b).alias(f"_key_{i}") for i, b in enumerate(pairs.values())]
     ).distinct()
     joined_on = {a: f"_key_{i}" for i, a in enumerate(pairs)}
-    # The names on the two sides differ, so the condition needs no table references.
-    return left.join(slim, _condition(joined_on, match_nulls), "left_semi")
+    left, slim, joined_on = _spread(left, slim, joined_on, spread_by, salts)
+    return left.join(slim, _condition(joined_on, match_nulls), "left_semi").drop(_SALT)
 
 
 def one_to_many_violations(

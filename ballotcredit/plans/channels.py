@@ -53,9 +53,8 @@ def municipality_panel(
     """
     windows = loans_in_election_window(loans, elections, years_after)
     totals = municipality_loan_totals(windows, fold_names=fold_names)
-    base = electoral_base(
-        candidates.filter(F.col("ano").isin(*elections)), votes, base_size
-    )
+    of_election = F.col("ano").isin(*elections)
+    base = electoral_base(candidates.filter(of_election), votes.filter(of_election), base_size)
     outcomes = base_loan_outcomes(base, totals)
     listed = with_coalition(outcomes, coalition, party, fill_before_flag=True)
     return pooled_panel(vote_margin(written(listed), statuses, margin_statuses))

@@ -49,10 +49,12 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8")
 
 
 def write_panel(panel: DataFrame, path: str, channel: str) -> None:
-    """Write a panel below ``path`` by channel and election; other channels' folders stay."""
-    panel.hint("rebalance", "ano").write.partitionBy("ano").mode("overwrite").parquet(
-        f"{path}/canal={channel}"
-    )
+    """Write a panel below ``path`` by channel, sample (if it has samples) and election.
+
+    The folders of other channels stay as they are.
+    """
+    by = [c for c in ("sample", "ano") if c in panel.columns]
+    snapshot(panel, f"{path}/canal={channel}", by)
 
 
 def write_report(table: DataFrame, path: str) -> None:

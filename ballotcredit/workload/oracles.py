@@ -426,6 +426,7 @@ ORACLES = {
             n_operacoes, {money("media_contratado")},
             round(var_contratado / 1e6, 3) AS var_contratado_mi FROM volume"""),
     "loan_table_wide": query(LOAN_TABLES, [ALL_LOANS, VOLUME], _wide_table()),
+    "report_file_scan": query(LOAN_TABLES, [ALL_LOANS, VOLUME], _wide_table()),
     "loan_measures_wide": query(LOAN_TABLES, [ALL_LOANS, VOLUME], _wide_measures()),
     "loans_union_types": query(LOAN_TABLES, [ALL_LOANS], f"""
         SELECT tipo_op, cliente, cnpj, uf,
@@ -532,6 +533,8 @@ ORACLES = {
         SELECT sample, id_candidato_bd, ano, elected,
             CASE elected WHEN 0 THEN 'Não eleito' WHEN 1 THEN 'Eleito' END AS elected_label,
             vote_margin FROM samples"""),
+    "panel_in_reading_order": query(MUNICIPALITY_ROLES, MUNICIPALITY_PANEL, """
+        SELECT ano, colig, votos, id_candidato_bd, vote_margin FROM panel"""),
     "state_factor": query(LIST_ROLES, LISTED, """
         SELECT sigla_uf, cast(dense_rank() OVER (ORDER BY sigla_uf) AS int) AS code,
             count(*) AS n FROM listed GROUP BY sigla_uf"""),

@@ -131,7 +131,7 @@ def loan_volume_by_type_year(t):
     )
 
 
-def loan_table_wide(t):
+def loan_table_wide_on(t):
     return loans.loan_table_wide(_volume(t)).withColumnsRenamed({
         f"{m}_{kind}": f"{m}_{short}"
         for m in ("total_contratado", "media_contratado", "n_operacoes")
@@ -248,7 +248,7 @@ def magnitude_text(t):
 
 # --- candidates and joins --------------------------------------------------------------------
 
-def candidates(t):
+def candidate_frame_on(t):
     return _candidates(t).select(
         "id_candidato_bd", "ano", "nome", "municipio_nascimento", "sigla_uf", "sigla_partido",
         "situacao", "votos", "resultado",
@@ -280,7 +280,8 @@ def null_safe_left_join(t):
 def null_safe_semi_join(t):
     gifts = _donations(t).filter(F.col("origem_receita").like("%fisicas"))
     kept = joins.key_semi_join(
-        _firm_loans(t), gifts, {"cnpj": "cpf_cnpj_doador"}, match_nulls=["cnpj"]
+        _firm_loans(t), gifts, {"cnpj": "cpf_cnpj_doador"}, match_nulls=["cnpj"],
+        spread_by=["data_da_contratacao"], salts=8,
     )
     return kept.groupBy("cnpj").agg(F.count(F.lit(1)).alias("n_loans"))
 
@@ -418,6 +419,11 @@ def panel_subsamples(t):
     ).select("sample", "id_candidato_bd", "ano", "elected", "elected_label", "vote_margin")
 
 
+def panel_in_reading_order(t):
+    ordered = panel.inspection_order(_municipality_panel(t))
+    return ordered.select("ano", "colig", "votos", "id_candidato_bd", "vote_margin")
+
+
 def state_factor(t):
     listed = _with_coalition(t)
     levels = fn.factor_levels(listed, "sigla_uf", "code")
@@ -494,6 +500,15 @@ def loan_file_scan(t):
     )
 
 
+def report_file_scan(t):
+    """The formatted report table written as a file and read back."""
+    folder = sinks.work_folder(t.spark)
+    report = loan_table_wide_on(t)
+    sinks.write_report(report, folder)
+    types = {c: "int" if c == "ano" else "string" for c in report.columns}
+    return readers.read_delimited(t.spark, folder, types)
+
+
 def vote_files_by_year(t):
     """Votes written as one comma file per election and read back as one table."""
     folder = sinks.work_folder(t.spark)
@@ -544,19 +559,18 @@ def _on_tables(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession,
 
 
 QUERIES = {
-    f.__name__: _on_tables(f)
+    f.__name__.removesuffix("_on"): _on_tables(f)
     for f in (
-        loan_volume_by_type_year, loan_table_wide, loan_measures_wide, loans_union_types,
+        loan_volume_by_type_year, loan_table_wide_on, loan_measures_wide, loans_union_types,
         loans_in_election_window, municipality_loan_totals, municipality_loan_totals_folded,
         na_sum_injected, normalized_names, normalized_turns, stripped_punctuation, tax_id_parse,
-        decimal_comma_parse, magnitude_text, candidates, one_to_many_violations,
+        decimal_comma_parse, magnitude_text, candidate_frame_on, one_to_many_violations,
         null_safe_left_join, null_safe_semi_join, first_row_per_candidate, municipal_vote_share,
         electoral_base_topk, base_loan_outcomes, base_loan_outcomes_folded, donor_loan_totals,
         donor_loan_outcomes, donor_loan_outcomes_any, coalition_map, party_coalition_flag,
         party_coalition_flag_unfilled, vote_margin, vote_margin_consistent, pooled_panel,
         pooled_panel_firms, panel_subsamples, state_factor, rd_effective_counts,
         rd_local_linear, rd_local_cubic, rd_std_error, rd_result_grid, rd_result_grid_firms,
-        rd_table_layout, loan_file_scan, vote_files_by_year, snapshot_by_year, panel_folders,
+        rd_table_layout, loan_file_scan, report_file_scan, panel_in_reading_order, vote_files_by_year, snapshot_by_year, panel_folders,
     )
 }
-QUERIES["candidate_frame"] = QUERIES.pop("candidates")
