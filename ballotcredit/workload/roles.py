@@ -24,19 +24,22 @@ _PRICE = "cast(l_extendedprice AS decimal(18,2))"
 _CONTRACTED = f"""CASE WHEN l_quantity >= 49 AND l_linestatus = 'O' AND year(l_shipdate) = 1997
         THEN NULL ELSE {_PRICE} END"""
 _DISBURSED = f"cast({_PRICE} * (1 - cast(l_discount AS decimal(4,2))) AS decimal(18,4))"
-_ID = "lpad(cast({key} AS string), 8, '0')"
+_CLIENT = "concat('Supplier#', lpad(cast(l_suppkey AS string), 9, '0'))"
+_ID = "lpad(cast(l_suppkey AS string), 8, '0')"
 # Loans carry punctuated ids, some of them unreadable; donations carry digits or 'n/d'.
-_LOAN_ID = """CASE WHEN l_quantity = 1 AND l_tax = 0 THEN '***' ELSE concat(
-        substr({id}, 1, 2), '.', substr({id}, 3, 3), '.', substr({id}, 6, 3), '/0001-91') END
-""".format(id=_ID.format(key="l_suppkey"))
+_LOAN_ID = f"""CASE WHEN l_quantity = 1 AND l_tax = 0 THEN '***' ELSE concat(
+        substr({_ID}, 1, 2), '.', substr({_ID}, 3, 3), '.', substr({_ID}, 6, 3), '/0001-91') END"""
 _DONOR_ID = f"""CASE WHEN l_returnflag = 'R' AND l_discount = 0 THEN 'n/d'
-        ELSE concat({_ID.format(key="l_suppkey")}, '000191') END"""
+        ELSE concat({_ID}, '000191') END"""
+# A line item's state and municipality: 25 states with 25 municipalities, by part and supplier.
+_STATE = "concat('NATION_', l_partkey % 25)"
+_PLACE = "concat('NATION_', l_suppkey % 25)"
 
 ROLES = {
     # Candidates: customers in every year they order.
     "demographics": """
-        SELECT DISTINCT cast(c_custkey AS string) AS id_candidato_bd,
-            cast(year(o_orderdate) AS int) AS ano, 'eleicao ordinaria' AS tipo_eleicao,
+        SELECT cast(c_custkey AS string) AS id_candidato_bd, ano,
+            'eleicao ordinaria' AS tipo_eleicao,
             CASE WHEN c_acctbal < -500 THEN 'deputado estadual'
                  ELSE 'deputado federal' END AS cargo,
             concat(c_name, '@example.com') AS email, lower(n_name) AS municipio_nascimento,
@@ -44,8 +47,9 @@ ROLES = {
             CASE WHEN c_acctbal < 500 THEN 'indeferido' WHEN c_acctbal < 5000 THEN 'deferido'
                  ELSE 'deferido com recurso' END AS situacao,
             cast(c_custkey AS int) AS numero_candidato
-        FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-            JOIN {nation} ON c_nationkey = n_nationkey""",
+        FROM (SELECT DISTINCT o_custkey, cast(year(o_orderdate) AS int) AS ano
+              FROM {orders}) AS active
+            JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     # Results: the value of the year's orders; customers with pending orders only have none.
     "voting": """
         SELECT id_candidato_bd, ano, tipo_eleicao, votos,
@@ -57,54 +61,43 @@ ROLES = {
                   cast(year(o_orderdate) AS int) AS ano, 'eleicao ordinaria' AS tipo_eleicao,
                   cast(sum(floor(o_totalprice)) AS bigint) AS votos
               FROM {orders} WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3) AS yearly""",
-    # Votes by municipality: quantities a customer buys per year and supplier nation.
+    # Votes by municipality: quantities a customer buys per year and municipality.
     "votes": """
-        SELECT cast(year(o_orderdate) AS int) AS ano, cn.n_name AS sg_uf,
-            cast(o_custkey AS int) AS nr_candidato,
-            lower(replace(sn.n_name, 'A', 'Ã')) AS nm_municipio,
-            cast(sum(l_quantity) AS bigint) AS qt_votos_nom_validos,
+        SELECT ano, n_name AS sg_uf, cast(o_custkey AS int) AS nr_candidato,
+            concat('nãtion_', place) AS nm_municipio, qt_votos_nom_validos,
             c_mktsegment AS sg_partido, 'turno unico' AS ds_sit_tot_turno
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
-            JOIN {customer} ON o_custkey = c_custkey
-            JOIN {nation} cn ON c_nationkey = cn.n_nationkey
-            JOIN {supplier} ON l_suppkey = s_suppkey
-            JOIN {nation} sn ON s_nationkey = sn.n_nationkey
-        GROUP BY year(o_orderdate), cn.n_name, o_custkey, sn.n_name, c_mktsegment""",
+        FROM (SELECT o_custkey, cast(year(o_orderdate) AS int) AS ano, l_suppkey % 25 AS place,
+                  cast(sum(l_quantity) AS bigint) AS qt_votos_nom_validos
+              FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+              GROUP BY 1, 2, 3) AS bought
+            JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     # Valid votes per municipality; one municipality is missing.
     "valid_votes": """
         SELECT ano, sg_uf AS uf, nm_municipio,
             cast(sum(qt_votos_nom_validos) AS bigint) AS qt_votos_mun
         FROM {votes} WHERE nm_municipio <> 'nãtion_5' GROUP BY ano, sg_uf, nm_municipio""",
-    # Loans: line items, located by the buyer's nation (state) and supplier's nation.
+    # Loans: line items; some municipalities are written in two ways.
     "loans": f"""
-        SELECT s_name AS cliente, cn.n_name AS uf,
-            CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN lower(sn.n_name)
-                 ELSE sn.n_name END AS municipio,
-            cast(CASE WHEN s_nationkey = 0 THEN 0 ELSE c_nationkey * 100 + s_nationkey END
-                 AS bigint) AS municipio_codigo,
+        SELECT {_CLIENT} AS cliente, {_STATE} AS uf,
+            CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN lower({_PLACE})
+                 ELSE {_PLACE} END AS municipio,
+            cast(CASE WHEN l_suppkey % 25 = 0 THEN 0
+                 ELSE (l_partkey % 25) * 100 + l_suppkey % 25 END AS bigint) AS municipio_codigo,
             cast(l_shipdate AS date) AS data_da_contratacao,
             {_CONTRACTED} AS valor_da_operacao_em_reais,
             {_DISBURSED} AS valor_desembolsado_reais
-        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
-            JOIN {{customer}} ON o_custkey = c_custkey
-            JOIN {{nation}} cn ON c_nationkey = cn.n_nationkey
-            JOIN {{supplier}} ON l_suppkey = s_suppkey
-            JOIN {{nation}} sn ON s_nationkey = sn.n_nationkey""",
+        FROM {{lineitem}}""",
     # The two loan tables with the columns each of them has.
     "non_automatic": f"""
-        SELECT s_name AS cliente, {_LOAN_ID} AS cnpj, n_name AS uf, n_name AS municipio,
+        SELECT {_CLIENT} AS cliente, {_LOAN_ID} AS cnpj, {_STATE} AS uf, {_PLACE} AS municipio,
             cast(l_shipdate AS date) AS data_da_contratacao,
             {_CONTRACTED} AS valor_contratado_reais, {_DISBURSED} AS valor_desembolsado_reais
-        FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey
-            JOIN {{nation}} ON s_nationkey = n_nationkey
-        WHERE l_linestatus = 'O'""",
+        FROM {{lineitem}} WHERE l_linestatus = 'O'""",
     "automatic": f"""
-        SELECT s_name AS cliente, n_name AS uf, n_name AS municipio,
+        SELECT {_CLIENT} AS cliente, {_STATE} AS uf, {_PLACE} AS municipio,
             cast(l_shipdate AS date) AS data_da_contratacao,
             {_CONTRACTED} AS valor_da_operacao_em_reais, {_DISBURSED} AS valor_desembolsado_reais
-        FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey
-            JOIN {{nation}} ON s_nationkey = n_nationkey
-        WHERE l_linestatus <> 'O'""",
+        FROM {{lineitem}} WHERE l_linestatus <> 'O'""",
     # Donations: a customer's line items, given by the supplier.
     "revenue": f"""
         SELECT cast(o_custkey AS string) AS id_candidato_bd,
