@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballotcredit import functions as fn
-from ballotcredit.constants import AUTOMATIC, NON_AUTOMATIC
+from ballotcredit.constants import AUTOMATIC, NON_AUTOMATIC, SALTS
 from ballotcredit.functions.numeric import format_pattern
 from ballotcredit.operators import coalition as co
 from ballotcredit.operators import donors, joins, loans, margin, panel, rd, rows, votes
@@ -267,10 +267,10 @@ def null_safe_left_join(t):
         F.count(F.lit(1)).alias("n_loans"),
         F.sum("valor_desembolsado_reais").alias("disbursed"),
     )
-    gifts = _donations(t).select("id_candidato_bd", "ano", "cpf_cnpj_doador")
+    # Both a donor and a candidate may be hot, so the salt also depends on date and value.
     joined = joins.key_join(
-        gifts, firms, {"cpf_cnpj_doador": "cnpj"}, match_nulls=["cpf_cnpj_doador"],
-        spread_by=["id_candidato_bd"], salts=8,
+        _donations(t), firms, {"cpf_cnpj_doador": "cnpj"}, match_nulls=["cpf_cnpj_doador"],
+        spread_by=["id_candidato_bd", "data_receita", "valor_receita"], salts=SALTS,
     )
     return joined.select(
         "id_candidato_bd", "ano", "cpf_cnpj_doador", "n_loans", money("disbursed")
@@ -281,7 +281,7 @@ def null_safe_semi_join(t):
     gifts = _donations(t).filter(F.col("origem_receita").like("%fisicas"))
     kept = joins.key_semi_join(
         _firm_loans(t), gifts, {"cnpj": "cpf_cnpj_doador"}, match_nulls=["cnpj"],
-        spread_by=["data_da_contratacao"], salts=8,
+        spread_by=["data_da_contratacao", "valor_desembolsado_reais"], salts=SALTS,
     )
     return kept.groupBy("cnpj").agg(F.count(F.lit(1)).alias("n_loans"))
 
