@@ -84,7 +84,8 @@ def donor_loan_outcomes(
     ``indic_bndes`` says whether that donor has loans, or with ``indicator="any"`` whether any
     donor has. Candidates stay with positive donations and an accepted registration.
 
-    Donations are combined per candidate and donor before they are joined.
+    Donations are combined per candidate and donor before they meet the loans, and per candidate
+    and client name before they meet the candidates.
     """
     if indicator not in ("first", "any"):
         raise ValueError("indicator is 'first' or 'any'")
@@ -102,14 +103,8 @@ def donor_loan_outcomes(
             F.min(first_gift).alias("_gift"),
         )
     )
-    # Only gifts to known candidates count; registration decides which row may be the first.
-    known = candidates.select(*KEYS, F.col("situacao").isin(*accepted).alias("_accepted"))
-    of_candidates = key_join(
-        gifts, known, KEYS, how="inner", match_nulls=("tipo_eleicao",),
-        spread_by=("cpf_cnpj_doador",), salts=salts,
-    )
     attached = key_join(
-        of_candidates, donor_totals, {"ano": "ano", "cpf_cnpj_doador": "cnpj"},
+        gifts, donor_totals, {"ano": "ano", "cpf_cnpj_doador": "cnpj"},
         match_nulls=("cpf_cnpj_doador",) if match_nulls else (),
         spread_by=("id_candidato_bd",), salts=salts,
     )
@@ -119,13 +114,24 @@ def donor_loan_outcomes(
         F.col("_gift").alias("gift"), "tipo_eleicao",
         contracted.alias("total_contratado"), disbursed.alias("total_desembolsado"),
     )
-    summed = attached.groupBy(*CANDIDATE).agg(
+    # One row per candidate and client name; donors without loans share the missing name.
+    clients = attached.groupBy(*KEYS, "cliente").agg(
+        F.sum("_value").alias("_value"),
+        F.sum(F.col("_n") * contracted).alias("_c"),
+        F.sum(F.col("_n") * disbursed).alias("_d"),
+        F.min(first_row).alias("_first"),
+        F.max(contracted).alias("_largest"),
+    )
+    # Only gifts to known candidates count; registration decides which row may be the first.
+    known = candidates.select(*KEYS, F.col("situacao").isin(*accepted).alias("_accepted"))
+    of_candidates = key_join(clients, known, KEYS, how="inner", match_nulls=("tipo_eleicao",))
+    summed = of_candidates.groupBy(*CANDIDATE).agg(
         F.sum("_value").alias("total_donations"),
-        F.sum(F.col("_n") * contracted).alias("total_bndes_donors_c"),
-        F.sum(F.col("_n") * disbursed).alias("total_bndes_donors_d"),
+        F.sum("_c").alias("total_bndes_donors_c"),
+        F.sum("_d").alias("total_bndes_donors_d"),
         F.countDistinct("cliente").alias("n_clients"),
-        F.min(F.when(F.col("_accepted"), first_row)).alias("_row"),
-        F.max(contracted).alias("_largest"),
+        F.min(F.when(F.col("_accepted"), F.col("_first"))).alias("_row"),
+        F.max("_largest").alias("_largest"),
     ).filter((F.col("total_donations") > 0) & F.col("_row").isNotNull())
 
     def average(total: str):
