@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotcredit.llm import html_text, lines, mixing, topk
+from ballotcredit.llm import html_text, lines, lm, mixing, neardup, topk
 from ballotcredit.llm.common import word_count
 from ballotcredit.sources.sinks import written
 
@@ -22,6 +22,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, sf_dir, "documents"), fold=(7, 2), weight=0.4)
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20, scale=64)
@@ -40,7 +48,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op4_exact_topk, op7_source_mix, op10_html_text)
+    f.__name__: f
+    for f in (op1_line_dedup, op2_near_dedup, op3_lm_score, op4_exact_topk, op7_source_mix,
+              op10_html_text)
 }
 
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -63,6 +73,37 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), ''))
     AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op2_near_dedup": r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+      ELSE list_transform(range(1, len(words) - 3),
+        lambda i: array_to_string(words[i:i + 4], ' ')) END AS all_shingles
+    FROM split WHERE len(words) > 0), unnest(all_shingles) AS u(shingle)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT u, v FROM met JOIN sizes s ON u = s.doc_id JOIN sizes t ON v = t.doc_id
+  WHERE 100 * both >= 75 * (s.n + t.n - both)
+), reached AS (
+  SELECT u, v FROM links
+  UNION
+  SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u
+), least AS (
+  SELECT u, min(v) AS low FROM reached GROUP BY u
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles,
+  least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
+  least(d.doc_id, coalesce(low, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id LEFT JOIN least l ON d.doc_id = l.u""",
     "op4_exact_topk": """
 WITH ints AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
