@@ -87,12 +87,12 @@ WITH RECURSIVE split AS (
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
 ), met AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
   FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id
 ), links AS (
   SELECT u, v FROM met JOIN sizes s ON u = s.doc_id JOIN sizes t ON v = t.doc_id
-  WHERE 100 * both >= 75 * (s.n + t.n - both)
+  WHERE 100 * common >= 75 * (s.n + t.n - common)
 ), reached AS (
   SELECT u, v FROM links
   UNION
