@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotcredit.llm import html_text, lines, lm, mixing, neardup, topk
+from ballotcredit.llm import credentials, html_text, lines, lm, mixing, neardup, topk, toxicity
 from ballotcredit.llm.common import word_count
 from ballotcredit.sources.sinks import written
 
@@ -35,6 +35,31 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20, scale=64)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, _table(spark, sf_dir, "labels"), fold=(5, 0))
+    scored = toxicity.score_toxicity(docs, machine, name="score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id"), (5, 0)).alias("held_out"),
+                         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = credentials.scan_credentials(docs, credentials.learn_formats(docs))
+    base = F.filter("spans", lambda s: s.kind != "format")
+
+    def listed(spans):
+        return F.array_join(F.transform(
+            spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", number("assign"), number("access"), number("hex"),
+                        number("format"), F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
@@ -49,8 +74,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_near_dedup, op3_lm_score, op4_exact_topk, op7_source_mix,
-              op10_html_text)
+    for f in (op1_line_dedup, op2_near_dedup, op3_lm_score, op4_exact_topk, op5_toxicity,
+              op6_secret_scan, op7_source_mix, op10_html_text)
 }
 
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
