@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballotcredit.llm import credentials, html_text, lines, lm, mixing, neardup, topk, toxicity
+from ballotcredit.llm import (
+    credentials,
+    decontam,
+    html_text,
+    licenses,
+    lines,
+    lm,
+    mixing,
+    neardup,
+    topk,
+    toxicity,
+)
 from ballotcredit.llm.common import word_count
 from ballotcredit.sources.sinks import written
 
@@ -67,6 +78,18 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(docs, coverage=0.9)
+    return found.select("doc_id", F.inline("licenses"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=8,
+        coverage=0.5)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
@@ -75,7 +98,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_line_dedup, op2_near_dedup, op3_lm_score, op4_exact_topk, op5_toxicity,
-              op6_secret_scan, op7_source_mix, op10_html_text)
+              op6_secret_scan, op7_source_mix, op8_license_scan, op9_decontamination, op10_html_text)
 }
 
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"

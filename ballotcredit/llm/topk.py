@@ -146,42 +146,45 @@ def top_k(
     blocks = written(_blocks(base, block_rows, dims))
     askers = written(_blocks(asked, query_rows, dims))
     last = blocks.count()
+    head = blocks.where("block = 1").drop("block").first()  # bounded by the rows of a block
+
+    def score(query: pd.Series, candidates, floors: np.ndarray | None) -> pd.DataFrame:
+        """Best k of a pair of blocks, of those that can reach the query's floor."""
+        qid, q = _unpack(query.q_ids, query.q_vectors, dims)
+        cid, c = _unpack(candidates.ids, candidates.vectors, dims)
+        floors = np.full(len(qid), -np.inf) if floors is None else floors
+        qr, cr = q @ rotation, c @ rotation
+        bound = qr[:, :lead] @ cr[:, :lead].T
+        q_rest = np.sqrt((qr[:, lead:] ** 2).sum(1))
+        bound += q_rest[:, None] * np.sqrt((cr[:, lead:] ** 2).sum(1))[None, :]
+        slack = 1e-6 * (1 + np.sqrt((q * q).sum(1))[:, None] * candidates.longest)
+        qi, ci = np.nonzero(bound + slack >= floors[:, None])
+        own = qid[qi] != cid[ci]
+        qi, ci = qi[own], ci[own]
+        scores = np.empty(len(qi))
+        for at in range(0, len(qi), 65536):
+            part = slice(at, at + 65536)
+            scores[part] = np.einsum("ij,ij->i", q[qi[part]], c[ci[part]])
+        reach = scores >= floors[qi]
+        qi, ids, scores = _best(qi[reach], cid[ci[reach]], scores[reach], k)
+        return pd.DataFrame({
+            "q_block": query.q_block, "at": qi, "query_id": qid[qi], "vec_id": ids,
+            "score": scores.astype(np.int64)})
+
+    def score_head(frames):
+        for frame in frames:
+            for row in frame.itertuples():
+                yield score(row, head, None)
 
-    def score(pairs):
-        """Best k of each pair of blocks, of those that can reach the query's floor."""
-        for frame in pairs:
+    def score_pairs(frames):
+        for frame in frames:
             for row in frame.itertuples():
-                qid, q = _unpack(row.q_ids, row.q_vectors, dims)
-                cid, c = _unpack(row.ids, row.vectors, dims)
-                floors = (np.full(len(qid), -np.inf) if row.floors is None
-                          else np.frombuffer(row.floors))
-                qr, cr = q @ rotation, c @ rotation
-                bound = qr[:, :lead] @ cr[:, :lead].T
-                q_rest = np.sqrt((qr[:, lead:] ** 2).sum(1))
-                bound += q_rest[:, None] * np.sqrt((cr[:, lead:] ** 2).sum(1))[None, :]
-                slack = 1e-6 * (1 + np.sqrt((q * q).sum(1))[:, None] * row.longest)
-                qi, ci = np.nonzero(bound + slack >= floors[:, None])
-                own = qid[qi] != cid[ci]
-                qi, ci = qi[own], ci[own]
-                scores = np.empty(len(qi))
-                for at in range(0, len(qi), 65536):
-                    part = slice(at, at + 65536)
-                    scores[part] = np.einsum("ij,ij->i", q[qi[part]], c[ci[part]])
-                reach = scores >= floors[qi]
-                # the same query vector may stand under one id only, so positions are queries
-                qi, ids, scores = _best(qi[reach], cid[ci[reach]], scores[reach], k)
-                yield pd.DataFrame({
-                    "q_block": row.q_block, "at": qi, "query_id": qid[qi], "vec_id": ids,
-                    "score": scores.astype(np.int64)})
+                yield score(row, row, np.frombuffer(row.floors))
 
     found = "q_block long, at long, query_id long, vec_id long, score long"
     q = askers.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"),
                       F.col("vectors").alias("q_vectors"), F.col("longest").alias("q_longest"))
-    first = written(
-        q.withColumn("block", F.lit(1)).join(blocks, "block")
-        .withColumn("floors", F.lit(None).cast("binary"))
-        .repartition("q_block").mapInPandas(score, found)
-    )
+    first = written(q.mapInPandas(score_head, found))
 
     def floor(frame: pd.DataFrame) -> pd.DataFrame:
         """Score that a query's k-th best cannot fall below: its k-th in the head block."""
@@ -217,7 +220,7 @@ def top_k(
     ).where(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("q_block", "block")
     work = plan.join(asking.drop("need"), "q_block").join(blocks, "block").repartition(
         "q_block", "block")
-    rest = work.mapInPandas(score, found)
+    rest = work.mapInPandas(score_pairs, found)
     ranked = Window.partitionBy("query_id", "q_block", "at").orderBy(F.desc("score"), "vec_id")
     return (
         first.unionByName(rest)
