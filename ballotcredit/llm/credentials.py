@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -165,24 +165,13 @@ class Formats:
     def __init__(self, examples: dict[str, list[bytes]], ordinary: list[bytes], alpha: float):
         self.automata = [Automaton(sorted(v)).infer(alpha).tables()
                          for _, v in sorted(examples.items()) if v]
-        pairs: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-        for run in ordinary:
-            for a, b in zip(b"\x00" + run, run, strict=False):
-                pairs[a][b] += 1
-        size = len(_CREDENTIAL)
-        self.plain = {a: ({b: math.log2((n + 0.1) / (sum(to.values()) + 0.1 * size))
-                           for b, n in to.items()},
-                          math.log2(0.1 / (sum(to.values()) + 0.1 * size)))
-                      for a, to in pairs.items()}
-        self.unknown = math.log2(1 / size)
+        counts = Counter(c for run in ordinary for c in run)
+        size = sum(counts.values()) + len(_CREDENTIAL)
+        self.plain = {c: math.log2((counts[c] + 1) / size) for c in _CREDENTIAL}
 
     def ordinary(self, run: bytes) -> float:
-        total, last = 0.0, 0
-        for c in run:
-            arcs = self.plain.get(last)
-            total += self.unknown if arcs is None else arcs[0].get(c, arcs[1])
-            last = c
-        return total
+        """log2 of a run's probability from the characters of ordinary runs."""
+        return sum(map(self.plain.__getitem__, run))
 
     def margin(self, run: bytes) -> float:
         """Bits per character by which the best format explains a run better than ordinary text."""

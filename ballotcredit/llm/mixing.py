@@ -52,7 +52,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFr
         .withColumn("used", F.sum(F.when(F.col("full"), F.col("room")).otherwise(0)).over(whole))
         .withColumn("open", F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(whole))
     )
-    share = F.col("weight").cast("double") * (F.col("all") - F.col("used")) / F.col("open")
+    share = F.try_divide(
+        F.col("weight").cast("double") * (F.col("all") - F.col("used")), F.col("open"))
     target = F.when(F.col("full"), F.col("room").cast("double")).otherwise(share)
     return filled.select("source", "place", "source_size", "all", target.alias("target"))
 
@@ -69,7 +70,8 @@ def sainte_lague(votes: DataFrame, keys: Sequence[str], vote: str, seats: str) -
     per_seat = F.col("seats_") + F.lit(0.0)
 
     def held(n: Column) -> Column:
-        return F.coalesce(F.floor(F.col(vote) * n / F.col("total_") + 0.5), F.lit(0)).cast("long")
+        return F.coalesce(
+            F.floor(F.try_divide(F.col(vote) * n, F.col("total_")) + 0.5), F.lit(0)).cast("long")
 
     bounds = (
         votes.withColumn("total_", total.cast("double")).withColumn("parties_", parties)
@@ -170,7 +172,7 @@ def mix_sources(
     stop, length, held = F.col(end), F.col(own["m_size"]), F.col(own["shard_size"])
     start = stop - length
     quota = F.col(own["won"]) * block_words
-    passes = F.least(F.lit(cap), F.floor(F.coalesce(quota / held, F.lit(0))))
+    passes = F.least(F.lit(cap), F.floor(F.coalesce(F.try_divide(quota, held), F.lit(0))))
     blocks = F.greatest(F.ceil(held / block_words), F.lit(1))
     rest = F.when(passes >= cap, 0).otherwise(
         F.least(blocks, F.round((quota - passes * held) / block_words))).cast("long")

@@ -1,0 +1,55 @@
+import html
+import re
+
+from ballotcredit.llm.html_text import extract_text, main_text
+
+PROSE = "The cat of the house is in the garden and it was on a tree with the bird."
+
+
+def test_parts_beside_the_article_go():
+    page = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body>
+    <header><h1>Site</h1></header><nav><a href="/">Home</a></nav>
+    <div class="cookie-notice">We use {PROSE}</div><main><article><h1>Title &amp; more</h1>
+    <script>var x = "<p>no</p>";</script><p>One&nbsp;<b>bo</b>ld
+    line<br>two<p>{PROSE}<div class="ad">Buy {PROSE}</div><aside>{PROSE}</aside>
+    <form><label>Name</label><input></form><ul><li>short</ul>
+    <section id="comments"><p>Reader: {PROSE}</p></section></article></main>
+    <footer>{PROSE}</footer><!-- <p>gone</p> --></body></html>"""
+    assert main_text(page) == f"Title & more\nOne bold line two\n{PROSE}\nshort"
+
+
+def test_rules_without_an_article():
+    page = f"""<body class="has-sidebar"><div><a href=x>One link</a> <a href=y>Two links</a></div>
+    <h2>Heading</h2><div>{PROSE}</div><div>Short one.</div><div>{PROSE}</div>
+    <div><a href=z>{PROSE}</a></div><div>Short two.</div><div class="sidebar">{PROSE}</div>"""
+    assert main_text(page) == f"Heading\n{PROSE}\nShort one.\n{PROSE}"
+
+
+def test_broken_markup():
+    assert main_text("plain &lt;text&gt; <b>x") == "plain <text> x"
+    assert main_text("<article><p>a < b &am c<p class='x") == "a < b &am c"
+    assert main_text("<article><p>one<span class=ad>two<span>three</span>four</span>five") == (
+        "one\nfive")
+    assert main_text("<article></p></div></section>text") == "text"
+    assert main_text("<p>" * 5000 + "deep") == "deep"
+    assert main_text("<script>never closed <p>x") == ""
+
+
+def test_odd_rows(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x</p>"), (2, "u", "<p>é</p>"),
+            (3, "u", "<article>" + "<p>word</p>" * 20_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr(
+        "*", "'mine' AS text", "'mine' AS main_text_")
+    got = extract_text(frame)
+    assert got.columns == ["page_id", "url", "html", "main_text_", "text", "n_chars"]
+    assert sorted(((r.page_id, r.text[:9], r.n_chars) for r in got.collect()), key=str) == sorted(
+        [(1, "", 0), (2, "", 0), (None, "x", 1), (2, "é", 1), (3, "word\nword", 99_999)], key=str)
+    assert extract_text(frame.limit(0)).count() == 0
+
+
+def test_articles_of_the_sample(sample):
+    for r in extract_text(sample("pages")).collect():
+        inner = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
+        pieces = [html.unescape(re.sub(r"</?b>", "", re.sub("<br>", " ", x)))
+                  for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert r.text == "\n".join(" ".join(x.split()) for x in pieces if x.strip())

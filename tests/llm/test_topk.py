@@ -1,0 +1,57 @@
+import math
+import random
+
+from ballotcredit.llm.topk import top_k
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute(rows, k):
+    ints = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows
+            if i is not None and v is not None
+            and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for q, a in ints:
+        if q % 20 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i)
+                            for i, b in ints if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def run(spark, rows, k=20, **options):
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    got = top_k(frame, frame.where("vec_id % 20 = 0"), k=k, **options)
+    return sorted(tuple(r) for r in got.collect())
+
+
+def vector(rng, dims):
+    return [rng.randrange(-128, 128) / 64 for _ in range(dims)]
+
+
+def test_blocks_ties_and_odd_rows(spark):
+    rng = random.Random(2)
+    rows = [(i, vector(rng, 8)) for i in range(300)]
+    rows += [(1000 + i, [0.5] * 8) for i in range(100)]  # one vector under many ids
+    rows += [(2000, None), (2020, [1.0, None]), (2040, [float("nan")] * 8),
+             (2060, [float("inf")] * 8), (None, [1.0] * 8), (2080, []), (2100, [1.0, 2.0]),
+             (0, rows[0][1]), (2120, [0.0] * 8)]
+    want = brute(rows, 20)
+    assert run(spark, rows) == want
+    assert run(spark, rows, query_rows=4, block_rows=16) == want
+    assert run(spark, rows, query_rows=3, block_rows=7, head_dims=1.0) == want
+
+
+def test_unequal_lengths_are_pruned_rightly(spark):
+    rng = random.Random(4)
+    rows = [(i, [x * (10 if i % 17 == 0 else 0.1) for x in vector(rng, 6)]) for i in range(400)]
+    assert run(spark, rows, k=5, query_rows=8, block_rows=20) == brute(rows, 5)
+
+
+def test_few_rows(spark):
+    assert run(spark, []) == []
+    assert run(spark, [(0, [1.0])]) == []
+    assert run(spark, [(1, [1.0]), (2, [1.0])]) == []
+    rows = [(0, [1.0]), (1, [-1.0]), (2, [1.0])]
+    assert run(spark, rows) == brute(rows, 20)
+    assert run(spark, [(0, None), (20, [])]) == []
