@@ -34,6 +34,3 @@ VOLUME_YEARS = (2002, 2018)
 
 # Significance marks and the two-sided normal critical values of 0.1, 0.05, 0.01, 0.001.
 STARS = (("***", 3.290527), ("**", 2.575829), ("*", 1.959964), ("+", 1.644854))
-
-# Rows of one hot key are spread over this many salted join partitions.
-SALTS = 16

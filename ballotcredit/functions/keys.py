@@ -26,11 +26,15 @@ def label(c: Column, labels: Mapping = ELECTED_LABELS) -> Column:
     return text
 
 
-def factor_levels(df: DataFrame, column: str, code: str) -> DataFrame:
+def factor_levels(df: DataFrame, column: str, code: str, most: int = 10_000) -> DataFrame:
     """The distinct values of ``column`` numbered from 1 in sorted order.
 
     The numbering runs in one task, but only over the distinct values of a category (states:
-    27); the rows themselves are reduced by the distributed ``distinct`` first.
+    27); the rows themselves are reduced by the distributed ``distinct`` first. More than ``most``
+    values fail the query: such a column is no category.
     """
     levels = df.select(column).dropna().distinct()
-    return levels.withColumn(code, F.dense_rank().over(Window.orderBy(column)))
+    place = F.dense_rank().over(Window.orderBy(column))
+    beyond = F.raise_error(F.lit(f"{column} has more than {most} values")).cast("int")
+    return levels.withColumn(code, place).withColumn(
+        code, F.when(F.col(code) <= most, F.col(code)).otherwise(beyond))

@@ -47,7 +47,8 @@ def magnitude(c: Column) -> Column:
     """Short money text with decimal comma: ``12,25 bi``, ``1,2 mi``, ``999.999``."""
     x = c.cast("double")
     bn, mn = x / F.lit(1e9), x / F.lit(1e6)
-    # Seven significant digits: one decimal is left from 100 thousand billions up.
+    # Fixed rule of the printed reports: seven significant digits, so one decimal is left from
+    # 100 thousand billions up.
     billions = F.when(bn < 99999.995, format_pattern(bn, "#,##0.0#")).otherwise(
         format_pattern(bn, "#,##0.0")
     )

@@ -43,22 +43,24 @@ _FOLD_TO = "".join(_FOLD.values())
 
 def fold_accents(c: Column) -> Column:
     """Latin text to ASCII: ``São João`` becomes ``Sao Joao``."""
-    folded = c
+    replaced = c
     for letter, ascii_letters in MULTI_LETTER.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(ascii_letters))
-    folded = F.translate(folded, _FOLD_FROM, _FOLD_TO)
+        replaced = F.replace(replaced, F.lit(letter), F.lit(ascii_letters))
+    # Few texts hold such a letter; the others are passed over once.
+    several = F.when(c.rlike(f"[{''.join(MULTI_LETTER)}]"), replaced).otherwise(c)
+    folded = F.translate(several, _FOLD_FROM, _FOLD_TO)
     # One byte per character means plain ASCII: nothing to fold.
     return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(folded)
 
 
 def letters_and_digits(c: Column) -> Column:
     """Drop everything but Unicode letters and digits."""
-    return F.regexp_replace(c, r"[^\p{IsAlphabetic}\p{IsDigit}]", "")
+    return F.regexp_replace(c, r"[^\p{IsAlphabetic}\p{IsDigit}]+", "")
 
 
 def strip_punctuation(c: Column) -> Column:
     """Drop Unicode punctuation; symbols such as ``+`` and ``$`` stay."""
-    return F.regexp_replace(c, r"\p{P}", "")
+    return F.regexp_replace(c, r"\p{P}+", "")
 
 
 def normalize_name(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotcredit.constants import PARTY, SALTS
+from ballotcredit.constants import PARTY
 from ballotcredit.functions.numeric import if_else
 from ballotcredit.operators.joins import key_join
 
@@ -32,7 +32,7 @@ def with_coalition(
     party: str = PARTY,
     *,
     fill_before_flag: bool = True,
-    salts: int = SALTS,
+    salts: int = 1,
 ) -> DataFrame:
     """Add ``colig``, ``colig_pt`` and ``is_colig_pt`` to candidates.
 

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DecimalType
 
-from ballotcredit.constants import ACCEPTED_REGISTRATION, CORPORATE_ORIGIN, SALTS
+from ballotcredit.constants import (
+    ACCEPTED_REGISTRATION,
+    CORPORATE_ORIGIN,
+    ELECTIONS,
+    YEARS_AFTER,
+)
 from ballotcredit.functions.numeric import if_else, log_one_plus, zero_if_missing
 from ballotcredit.operators.candidates import KEYS
 from ballotcredit.operators.joins import key_join, key_semi_join
+from ballotcredit.operators.loans import window_sums
 
 CANDIDATE = ("id_candidato_bd", "ano")
 CONTRACTED = "valor_contratado_reais"
-DISBURSED = "valor_desembolsado_reais"
+# A donation's order and value in one number: order * _STEP + value + _SHIFT.
+_STEP, _SHIFT = Decimal(10**19), Decimal(10**18)
 # Candidate columns of the outcome table, as far as the inputs have them.
 ATTRIBUTES = (
     "sigla_uf", "nome", "resultado", "votos", "numero_partido", "sigla_partido", "situacao",
@@ -23,59 +32,108 @@ ATTRIBUTES = (
 )
 
 
-def donor_loan_totals(
-    loans_window: DataFrame,
-    donations: DataFrame,
+def firm_loan_totals(
+    loans: DataFrame,
     *,
-    match_nulls: bool = True,
+    elections: Sequence[int] = ELECTIONS,
+    years_after: int = YEARS_AFTER,
     skip_nulls: bool = False,
     order: str = "data_da_contratacao",
 ) -> DataFrame:
-    """One row per election and donor firm: loan totals and the client of its first loan.
+    """One row per election and firm: loan totals and the client of its first loan.
 
-    ``cnpj`` and ``cpf_cnpj_doador`` are parsed ids. Loans and donors whose id could not be
-    parsed match each other while ``match_nulls``. The first loan is the smallest ``order``,
-    then the smallest (client, state, municipality). Loans are summed per firm before they meet
-    the donors, so a firm with very many loans is combined before any shuffle.
+    ``cnpj`` is a parsed id. The first loan is the smallest ``order``, then the smallest (client,
+    state, municipality). A missing amount makes the firm's total NULL unless ``skip_nulls``.
     """
-    # First level: hash aggregation over the raw loans, per firm and place.
-    places = loans_window.groupBy("ano", "cnpj", "cliente", "uf", "municipio").agg(
-        F.sum(CONTRACTED).alias("_sum_c"),
-        F.sum(DISBURSED).alias("_sum_d"),
-        F.count(F.lit(1)).alias("_n"),
-        F.count(CONTRACTED).alias("_n_c"),
-        F.count(DISBURSED).alias("_n_d"),
-        F.min(order).alias("_first"),
-    )
+    places = window_sums(
+        loans, ["cnpj", "cliente", "uf", "municipio"], CONTRACTED, elections, years_after, order)
 
     def total(part: str, present: str):
         whole = F.sum(part)
         return whole if skip_nulls else F.when(F.sum("_n") == F.sum(present), whole)
 
     place = F.struct("cliente", "uf", "municipio")
-    firms = places.groupBy("ano", "cnpj").agg(
-        total("_sum_c", "_n_c").alias("total_contratado"),
-        total("_sum_d", "_n_d").alias("total_desembolsado"),
-        F.min_by(place, F.struct("_first", "cliente", "uf", "municipio")).alias("_place"),
+    return (
+        places.groupBy("ano", "cnpj")
+        .agg(
+            total("_sum_c", "_n_c").alias("total_contratado"),
+            total("_sum_d", "_n_d").alias("total_desembolsado"),
+            F.min_by(place, F.struct("_first", "cliente", "uf", "municipio")).alias("_place"),
+        )
+        .select("ano", "cnpj", "total_contratado", "total_desembolsado", "_place.*")
     )
-    given = key_semi_join(
-        firms, donations, {"ano": "ano", "cnpj": "cpf_cnpj_doador"},
+
+
+def donor_loan_totals(
+    loans: DataFrame,
+    donations: DataFrame,
+    candidates: DataFrame | None = None,
+    *,
+    match_nulls: bool = True,
+    **options,
+) -> DataFrame:
+    """``firm_loan_totals`` (which takes the other options) of the firms that are donors.
+
+    With ``candidates`` the donors are those of the candidates' donations, and a candidate without
+    donations contributes a missing donor; without them any donation names a donor. Loans and
+    donors whose id could not be parsed match each other while ``match_nulls``.
+    """
+    donors = donations.select(*KEYS, "cpf_cnpj_doador").distinct()
+    if candidates is not None:
+        donors = key_join(candidates.select(*KEYS).distinct(), donors, KEYS,
+                          match_nulls=("tipo_eleicao",))
+    return key_semi_join(
+        firm_loan_totals(loans, **options), donors, {"ano": "ano", "cnpj": "cpf_cnpj_doador"},
         match_nulls=("cnpj",) if match_nulls else (),
     )
-    return given.select("ano", "cnpj", "total_contratado", "total_desembolsado", "_place.*")
+
+
+def combined_gifts(
+    donations: DataFrame, origin: str = CORPORATE_ORIGIN, order: str = "data_receita"
+) -> DataFrame:
+    """Donations of one origin per candidate and donor: count, value, and the first donation.
+
+    The first donation has the smallest ``order`` (a date or a file position), then the smallest
+    value. Both lie in one decimal, so that raw rows are combined by hash aggregation: the order
+    above 19 digits for the value, which is a decimal of at most 18 digits.
+    """
+    value = zero_if_missing(F.col("valor_receita"))
+    kind = donations.schema["valor_receita"].dataType
+    scale = kind.scale if isinstance(kind, DecimalType) else 4
+    place = F.col(order)
+    if isinstance(donations.schema[order].dataType, DateType):
+        place = F.unix_date(order)
+    units = (value.cast(f"decimal(18,{scale})").cast(f"decimal(38,{scale})")
+             * F.lit(10**scale)).cast("decimal(20,0)")
+    # An unknown order comes first, as a missing value does in a sort.
+    key = (F.coalesce(place.cast("decimal(17,0)"), F.lit(-(10**16)).cast("decimal(17,0)"))
+           .cast("decimal(18,0)") * F.lit(_STEP)
+           + units + F.lit(_SHIFT)).cast("decimal(38,0)")
+    gifts = donations.filter(F.col("origem_receita") == origin).groupBy(
+        *KEYS, "cpf_cnpj_doador").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_value"), F.min(key).alias("_key"),
+        F.min_by("data_receita", key).alias("_date"),
+    )
+    rest = F.pmod(F.col("_key"), F.lit(_STEP)) - F.lit(_SHIFT)
+    worth = (rest.cast("decimal(20,0)") / F.lit(10**scale).cast("decimal(6,0)")).cast(
+        f"decimal(18,{scale})")
+    first = F.struct(
+        F.floor(F.col("_key") / F.lit(_STEP)).alias("_order"),
+        F.col("_date").alias("data_receita"), "cpf_cnpj_doador", worth.alias("valor_receita"))
+    return gifts.select(*KEYS, "cpf_cnpj_doador", "_n", "_value", first.alias("_gift"))
 
 
 def donor_loan_outcomes(
     candidates: DataFrame,
     donations: DataFrame,
-    donor_totals: DataFrame,
+    firm_totals: DataFrame,
     *,
     origin: str = CORPORATE_ORIGIN,
     accepted: Sequence[str] = ACCEPTED_REGISTRATION,
     match_nulls: bool = True,
     indicator: str = "first",
     order: str = "data_receita",
-    salts: int = SALTS,
+    salts: int = 1,
 ) -> DataFrame:
     """One row per candidate and election with corporate donations and the donors' loans.
 
@@ -83,28 +141,16 @@ def donor_loan_outcomes(
     donation columns belong to the first donation by ``order`` (then date, donor and value);
     ``indic_bndes`` says whether that donor has loans, or with ``indicator="any"`` whether any
     donor has. Candidates stay with positive donations and an accepted registration.
+    ``firm_totals`` may hold firms that gave nothing.
 
-    Donations are combined per candidate and donor before they meet the loans, and per candidate
-    and client name before they meet the candidates.
+    Donations are read once and combined per candidate and donor before they meet the loans, and
+    per candidate and client name before they meet the candidates, once, with their attributes.
     """
     if indicator not in ("first", "any"):
         raise ValueError("indicator is 'first' or 'any'")
-    value = zero_if_missing(F.col("valor_receita"))
-    first_gift = F.struct(
-        F.col(order).alias("_order"), "data_receita", "cpf_cnpj_doador",
-        value.alias("valor_receita"),
-    )
-    gifts = (
-        donations.filter(F.col("origem_receita") == origin)
-        .groupBy(*KEYS, "cpf_cnpj_doador")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum(value).alias("_value"),
-            F.min(first_gift).alias("_gift"),
-        )
-    )
     attached = key_join(
-        gifts, donor_totals, {"ano": "ano", "cpf_cnpj_doador": "cnpj"},
+        combined_gifts(donations, origin, order), firm_totals,
+        {"ano": "ano", "cpf_cnpj_doador": "cnpj"},
         match_nulls=("cpf_cnpj_doador",) if match_nulls else (),
         spread_by=("id_candidato_bd",), salts=salts,
     )
@@ -123,16 +169,22 @@ def donor_loan_outcomes(
         F.max(contracted).alias("_largest"),
     )
     # Only gifts to known candidates count; registration decides which row may be the first.
-    known = candidates.select(*KEYS, F.col("situacao").isin(*accepted).alias("_accepted"))
-    of_candidates = key_join(clients, known, KEYS, how="inner", match_nulls=("tipo_eleicao",))
+    attributes = [c for c in ATTRIBUTES if c in candidates.columns]
+    known = candidates.select(
+        *KEYS, F.col("situacao").isin(*accepted).alias("_accepted"),
+        F.struct(*attributes).alias("_attributes"))
+    of_candidates = key_join(
+        clients, known, KEYS, how="inner", match_nulls=("tipo_eleicao",),
+        spread_by=("cliente",), salts=salts)
     summed = of_candidates.groupBy(*CANDIDATE).agg(
         F.sum("_value").alias("total_donations"),
         F.sum("_c").alias("total_bndes_donors_c"),
         F.sum("_d").alias("total_bndes_donors_d"),
         F.countDistinct("cliente").alias("n_clients"),
-        F.min(F.when(F.col("_accepted"), F.col("_first"))).alias("_row"),
+        F.min(F.when(F.col("_accepted"), F.struct("_first", "_attributes"))).alias("_kept"),
         F.max("_largest").alias("_largest"),
-    ).filter((F.col("total_donations") > 0) & F.col("_row").isNotNull())
+    ).filter((F.col("total_donations") > 0) & F.col("_kept").isNotNull()).withColumn(
+        "_row", F.col("_kept._first"))
 
     def average(total: str):
         # 0/0 counts as zero; clients are missing exactly when no donor has loans.
@@ -142,7 +194,7 @@ def donor_loan_outcomes(
         )
 
     loans_of = F.col("_row.total_contratado") if indicator == "first" else F.col("_largest")
-    outcomes = summed.select(
+    return summed.select(
         *CANDIDATE, "_row.tipo_eleicao", "total_donations", "total_bndes_donors_c",
         "total_bndes_donors_d", "n_clients",
         average("total_bndes_donors_c").alias("avg_bndes_donors_c"),
@@ -155,8 +207,5 @@ def donor_loan_outcomes(
         F.col("_row.total_contratado").alias("total_contratado"),
         F.col("_row.total_desembolsado").alias("total_desembolsado"),
         if_else(loans_of > 0, F.lit(1), F.lit(0)).alias("indic_bndes"),
+        "_kept._attributes.*",
     )
-    attributes = candidates.filter(F.col("situacao").isin(*accepted)).select(
-        *KEYS, *[c for c in ATTRIBUTES if c in candidates.columns]
-    )
-    return key_join(outcomes, attributes, KEYS, how="inner", match_nulls=("tipo_eleicao",))

@@ -24,18 +24,37 @@ CONTRACTED = "valor_da_operacao_em_reais"
 DISBURSED = "valor_desembolsado_reais"
 
 
-def loans_union(non_automatic: DataFrame, automatic: DataFrame) -> DataFrame:
+def loans_union(
+    non_automatic: DataFrame, automatic: DataFrame, row_order: str | None = None
+) -> DataFrame:
     """Both loan tables under one layout with the type of operation in ``tipo_op``.
 
-    A column that only one table has is NULL for the rows of the other.
+    A column that only one table has is NULL for the rows of the other. ``row_order`` names the
+    file positions of both; the second table's rows then come after the first's.
     """
     first = non_automatic.withColumn("tipo_op", F.lit(NON_AUTOMATIC)).withColumnRenamed(
         "valor_contratado_reais", CONTRACTED
     )
     second = automatic.withColumn("tipo_op", F.lit(AUTOMATIC))
+    if row_order:
+        second = second.withColumn(row_order, F.col(row_order) + F.lit(1 << 60))
     return first.unionByName(second, allowMissingColumns=True)
 
 
+def _windows(df: DataFrame, elections: Sequence[int], years_after: int) -> DataFrame:
+    """(ano, _window_year): the years of each election's window, a table of parameters."""
+    years = [(election, election + lag) for election in elections for lag in range(years_after + 1)]
+    return parameter_table(df.sparkSession, {"ano": "int", "_window_year": "int"}, years)
+
+
+def _dated(loans: DataFrame, date: str, first: int, last: int) -> DataFrame:
+    """Loans of whole years; the literal range reaches the scan."""
+    return loans.filter(
+        F.col(date).between(F.make_date(F.lit(first), F.lit(1), F.lit(1)),
+                            F.make_date(F.lit(last), F.lit(12), F.lit(31)))
+    )
+
+
 def loans_in_election_window(
     loans: DataFrame,
     elections: Sequence[int] = ELECTIONS,
@@ -48,23 +67,51 @@ def loans_in_election_window(
     later, so windows may overlap. Windows are whole years: the interval join is an equi join on
     the contract year with a table of elections x years.
     """
-    window_years = [
-        (election, election + lag) for election in elections for lag in range(years_after + 1)
-    ]
-    windows = parameter_table(
-        loans.sparkSession, {"ano": "int", "_window_year": "int"}, window_years
+    windows = _windows(loans, elections, years_after)
+    dated = _dated(loans, date, min(elections), max(elections) + years_after)
+    return dated.join(windows, F.year(date) == windows["_window_year"]).drop("_window_year")
+
+
+def window_sums(
+    loans: DataFrame,
+    keys: Sequence[str],
+    contracted: str,
+    elections: Sequence[int] = ELECTIONS,
+    years_after: int = YEARS_AFTER,
+    order: str = "data_da_contratacao",
+    date: str = "data_da_contratacao",
+) -> DataFrame:
+    """Sums of loans per election (``ano``) and ``keys``: ``_sum_c``, ``_sum_d``, the counts of
+    rows and known amounts, and the smallest ``order``.
+
+    Loans are summed per contract year first, by hash aggregation in each task, and only the sums
+    meet the elections, so raw rows are never copied for overlapping windows.
+    """
+    yearly = (
+        _dated(loans, date, min(elections), max(elections) + years_after)
+        .groupBy(F.year(date).alias("_window_year"), *keys)
+        .agg(
+            F.sum(contracted).alias("_sum_c"),
+            F.sum(DISBURSED).alias("_sum_d"),
+            F.count(F.lit(1)).alias("_n"),
+            F.count(contracted).alias("_n_c"),
+            F.count(DISBURSED).alias("_n_d"),
+            F.min(order).alias("_first"),
+        )
     )
-    first, last = min(elections), max(elections) + years_after
-    dated = loans.filter(
-        F.col(date).between(F.make_date(F.lit(first), F.lit(1), F.lit(1)),
-                            F.make_date(F.lit(last), F.lit(12), F.lit(31)))
+    sums = ("_sum_c", "_sum_d", "_n", "_n_c", "_n_d")
+    return (
+        yearly.join(_windows(loans, elections, years_after), "_window_year")
+        .groupBy("ano", *keys)
+        .agg(*[F.sum(c).alias(c) for c in sums], F.min("_first").alias("_first"))
     )
-    return dated.join(windows, F.year(date) == windows["_window_year"]).drop("_window_year")
 
 
 def municipality_loan_totals(
-    loans_window: DataFrame,
+    loans: DataFrame,
     *,
+    elections: Sequence[int] = ELECTIONS,
+    years_after: int = YEARS_AFTER,
     fold_names: bool = False,
     skip_nulls: bool = False,
     order: str = "data_da_contratacao",
@@ -74,24 +121,13 @@ def municipality_loan_totals(
     Loans without a municipality (code 0 or NULL) are left out. A missing amount makes the
     total of its code NULL unless ``skip_nulls``. Names keep their case and accents unless
     ``fold_names``. A spelling used in several states takes the state of its first loan by
-    ``order`` (then the smallest state).
+    ``order`` (then the smallest state). Names are cleaned once per name, after the sums.
     """
     clean = normalize_name if fold_names else letters_and_digits
-    located = loans_window.filter(F.col("municipio_codigo") != NO_MUNICIPALITY)
-    # First level: partial sums per name as written and state, combined before the shuffle; the
-    # names are cleaned afterwards, once per name and not once per loan.
-    spellings = (
-        located.groupBy("ano", "municipio_codigo", "municipio", "uf")
-        .agg(
-            F.sum(CONTRACTED).alias("_sum_c"),
-            F.sum(DISBURSED).alias("_sum_d"),
-            F.count(F.lit(1)).alias("_n"),
-            F.count(CONTRACTED).alias("_n_c"),
-            F.count(DISBURSED).alias("_n_d"),
-            F.min(order).alias("_first"),
-        )
-        .withColumn("municipio", clean(F.col("municipio")))
-    )
+    located = loans.filter(F.col("municipio_codigo") != NO_MUNICIPALITY)
+    spellings = window_sums(
+        located, ["municipio_codigo", "municipio", "uf"], CONTRACTED, elections, years_after, order
+    ).withColumn("municipio", clean(F.col("municipio")))
     # Second level: one row per written name, so a code's window is as long as its names.
     code = Window.partitionBy("ano", "municipio_codigo")
     spelling = Window.partitionBy("ano", "municipio_codigo", "municipio").orderBy("_first", "uf")
@@ -121,7 +157,8 @@ def loan_volume_by_type_year(
     """Volume, count, mean and variance of contracted loans by type and year (the figure series)."""
     amount = F.col(CONTRACTED)
     return (
-        loans.groupBy("tipo_op", F.year(date).alias("ano"))
+        _dated(loans, date, first_year, last_year)
+        .groupBy("tipo_op", F.year(date).alias("ano"))
         .agg(
             na_sum(amount).alias("total_contratado"),
             na_sum(F.col(DISBURSED)).alias("total_desembolsado"),
@@ -129,7 +166,6 @@ def loan_volume_by_type_year(
             F.avg(amount).alias("media_contratado"),
             F.var_samp(amount.cast("double")).alias("var_contratado"),
         )
-        .filter(F.col("ano").between(first_year, last_year))
     )
 
 
@@ -137,8 +173,15 @@ def pivot_measures(
     df: DataFrame, keys: Sequence[str], names_from: str, names: Sequence[str],
     measures: Sequence[str],
 ) -> DataFrame:
-    """Long to wide: one ``<measure>_<name>`` column per measure and name."""
-    wide = df.groupBy(*keys).pivot(names_from, list(names)).agg(
+    """Long to wide: one ``<measure>_<name>`` column per measure and name.
+
+    ``names`` are all values that ``names_from`` may have; another one fails the query.
+    """
+    unknown = F.raise_error(F.concat(
+        F.lit(f"{names_from} has a value that is not listed: "),
+        F.coalesce(F.col(names_from).cast("string"), F.lit("NULL"))))
+    known = F.when(F.col(names_from).isin(*names), F.col(names_from)).otherwise(unknown)
+    wide = df.withColumn(names_from, known).groupBy(*keys).pivot(names_from, list(names)).agg(
         *[F.first(m).alias(m) for m in measures]
     )
     columns = [F.col(f"`{n}_{m}`").alias(f"{m}_{n}") for m in measures for n in names]

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballotcredit.constants import MARGIN_STATUSES, SALTS, WINNER_STATUSES
+from ballotcredit.constants import MARGIN_STATUSES, WINNER_STATUSES
 from ballotcredit.functions.numeric import if_else
 from ballotcredit.operators.joins import key_join
 
@@ -43,7 +43,7 @@ def vote_margin(
     margin_statuses: Sequence[str] | None = MARGIN_STATUSES,
     *,
     drop_ties: bool = True,
-    salts: int = SALTS,
+    salts: int = 1,
 ) -> DataFrame:
     """Add ``elected``, the list thresholds and the signed and absolute margin.
 

@@ -187,9 +187,17 @@ def rd_result_grid(
     )
 
 
-def rd_table_layout(grid: DataFrame, columns: int = 4, bandwidth_label: str = "Banda") -> DataFrame:
+def rd_table_layout(grid: DataFrame, columns: int, bandwidth_label: str = "Banda") -> DataFrame:
     """The grid as printed: per sample the lines estimate, error, rows, bandwidth, order, kernel,
-    with one text column ``(1)``, ``(2)``, ... per specification."""
+    with one text column ``(1)``, ``(2)``, ... per specification.
+
+    ``columns`` is the largest number of specifications of a sample; a specification beyond it
+    fails the query instead of going missing.
+    """
+    beyond = F.raise_error(F.format_string(
+        "specification %d does not fit into the stated columns", F.col("spec")))
+    grid = grid.withColumn(
+        "spec", F.when(F.col("spec").between(1, columns), F.col("spec")).otherwise(beyond))
 
     def digits(c: str):
         return F.when(F.col(c).isNotNull(), F.format_string("%.3f", F.col(c)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballotcredit.constants import ACCEPTED_REGISTRATION, BASE_SIZE, SALTS
+from ballotcredit.constants import ACCEPTED_REGISTRATION, BASE_SIZE
 from ballotcredit.functions.numeric import log_one_plus, safe_ratio, zero_if_missing
 from ballotcredit.functions.text import normalize_name
 from ballotcredit.operators.joins import key_join
@@ -22,7 +22,7 @@ OUTCOME_COLUMNS = (
 )
 
 
-def municipal_vote_share(votes: DataFrame, totals: DataFrame, salts: int = SALTS) -> DataFrame:
+def municipal_vote_share(votes: DataFrame, totals: DataFrame, salts: int = 1) -> DataFrame:
     """Votes with the municipality's valid votes, the candidate's share of them and a comparable
     name. Names are joined as written; ``totals`` has (ano, uf, nm_municipio, qt_votos_mun)."""
     joined = key_join(
@@ -64,7 +64,7 @@ def base_loan_outcomes(
     *,
     accepted: Sequence[str] = ACCEPTED_REGISTRATION,
     tie_order: Sequence[str] = ("nm_municipio",),
-    salts: int = SALTS,
+    salts: int = 1,
 ) -> DataFrame:
     """One row per candidate and election: loans of the base, their logs, candidate columns.
 

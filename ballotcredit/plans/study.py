@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from inspect import signature
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,20 @@ class Inputs:
         return candidate_frame(self.demographics, self.voting)
 
     def loans(self) -> DataFrame:
-        return loans_union(self.non_automatic, self.automatic)
+        ordered = POSITION in self.non_automatic.columns and POSITION in self.automatic.columns
+        return loans_union(self.non_automatic, self.automatic, POSITION if ordered else None)
+
+    def snapshot(self, folder: str) -> Inputs:
+        """Each table written once as Parquet, by election where it has one, and read back."""
+        stored = {}
+        for field in fields(self):
+            table, path = getattr(self, field.name), f"{folder}/{field.name}"
+            if "ano" in table.columns:
+                sinks.snapshot(table, path)
+            else:
+                table.write.mode("overwrite").parquet(path)
+            stored[field.name] = table.sparkSession.read.schema(table.schema).parquet(path)
+        return Inputs(**stored)
 
 
 def _parsed(df: DataFrame, column: str) -> DataFrame:
@@ -58,9 +72,10 @@ def _parsed(df: DataFrame, column: str) -> DataFrame:
 
 
 def read_inputs(
-    spark: SparkSession, folder: str, elections: Sequence[int] = ELECTIONS
+    spark: SparkSession, folder: str, elections: Sequence[int] = ELECTIONS,
+    multi_line: bool = False,
 ) -> Inputs:
-    """All input tables of a folder of files in their original formats."""
+    """All input tables of a folder of files in their original formats, with row positions."""
 
     def path(name: str) -> str:
         return f"{folder}/{FILES[name]}"
@@ -69,17 +84,21 @@ def read_inputs(
         return {year: path(name).format(year=year) for year in elections}
 
     return Inputs(
-        demographics=readers.read_demographics(spark, path("demographics")),
-        voting=readers.read_voting(spark, path("voting")),
+        demographics=readers.read_demographics(spark, path("demographics"), multi_line),
+        voting=readers.read_voting(spark, path("voting"), multi_line),
         revenue=_parsed(
-            readers.read_revenue(spark, path("revenue"), row_order=POSITION),
+            readers.read_revenue(
+                spark, path("revenue"), row_order=POSITION, multi_line=multi_line),
             "cpf_cnpj_doador"),
         non_automatic=_parsed(readers.read_loans(
-            spark, path("non_automatic"), schemas.NON_AUTOMATIC_LOANS, row_order=POSITION), "cnpj"),
-        automatic=readers.read_loans(spark, path("automatic"), schemas.AUTOMATIC_LOANS),
-        coalition=readers.read_coalitions(spark, paths("coalition")),
-        votes=readers.read_municipal_votes(spark, paths("votes")),
-        valid_votes=readers.read_valid_votes(spark, paths("valid_votes")),
+            spark, path("non_automatic"), schemas.NON_AUTOMATIC_LOANS, row_order=POSITION,
+            multi_line=multi_line), "cnpj"),
+        automatic=readers.read_loans(
+            spark, path("automatic"), schemas.AUTOMATIC_LOANS, row_order=POSITION,
+            multi_line=multi_line),
+        coalition=readers.read_coalitions(spark, paths("coalition"), multi_line),
+        votes=readers.read_municipal_votes(spark, paths("votes"), POSITION, multi_line),
+        valid_votes=readers.read_valid_votes(spark, paths("valid_votes"), multi_line),
     )
 
 
@@ -89,21 +108,44 @@ def snapshot_tables(spark: SparkSession, tables: Mapping[str, str], folder: str)
         sinks.snapshot(readers.read_table(spark, source), f"{folder}/{name}")
 
 
+def _channel_options(options: Mapping) -> dict[str, dict]:
+    """Each option for the channels that know it; a name that none knows raises."""
+    known = {
+        channel: {n for n, p in signature(plan).parameters.items() if p.kind is p.KEYWORD_ONLY}
+        for channel, plan in ((MUNICIPALITY, municipality_panel), (FIRM, firm_panel))
+    }
+    unknown = set(options) - set().union(*known.values())
+    if unknown:
+        raise TypeError(f"unknown options: {sorted(unknown)}")
+    return {c: {k: v for k, v in options.items() if k in names} for c, names in known.items()}
+
+
 def panels(inputs: Inputs, **options) -> dict[str, DataFrame]:
-    """The pooled panel of each channel; options go to both."""
+    """The pooled panel of each channel; an option goes to the channels that know it."""
+    chosen = _channel_options(options)
+    orders = {MUNICIPALITY: {"loan_order": POSITION, "vote_order": POSITION},
+              FIRM: {"loan_order": POSITION, "donation_order": POSITION}}
     candidates = inputs.candidates()
     return {
         MUNICIPALITY: municipality_panel(
-            candidates, inputs.votes, inputs.loans(), inputs.coalition, **options),
+            candidates, inputs.votes, inputs.loans(), inputs.coalition,
+            **orders[MUNICIPALITY] | chosen[MUNICIPALITY]),
         FIRM: firm_panel(
             candidates, inputs.revenue, inputs.non_automatic, inputs.coalition,
-            loan_order=POSITION, donation_order=POSITION, **options),
+            **orders[FIRM] | chosen[FIRM]),
     }
 
 
-def run_study(spark: SparkSession, folder: str, output: str, **options) -> None:
-    """Write both channels' panels with the party subsamples, the volume series and its report."""
-    inputs = read_inputs(spark, folder, options.get("elections", ELECTIONS))
+def run_study(
+    spark: SparkSession, folder: str, output: str, *, multi_line: bool = False, **options
+) -> None:
+    """Write both channels' panels with the party subsamples, the volume series and its report.
+
+    The files are parsed once, into Parquet tables below the work folder; all plans read those.
+    """
+    _channel_options(options)
+    files = read_inputs(spark, folder, options.get("elections", ELECTIONS), multi_line)
+    inputs = files.snapshot(sinks.work_folder(spark))
     for channel, panel in panels(inputs, **options).items():
         sampled = panel_subsamples(panel, SAMPLES, party=options.get("party", "PT"))
         sinks.write_panel(sampled, f"{output}/panels", channel)

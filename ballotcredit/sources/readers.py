@@ -43,12 +43,17 @@ def read_delimited(
     doubled_quotes: bool = True,
     row_order: str | None = None,
     multi_line: bool = False,
+    check_quotes: bool = True,
 ) -> DataFrame:
     """Columns of ``schema`` from a CSV file with a header, selected by name.
 
     All cells are scanned as text and converted per column, so nothing is inferred and a bad
     cell is NULL. A column the header lacks raises. ``row_order`` names a column for the position
-    of the row in its file (sortable over all files), for "first row" rules.
+    of the row in its file (a long, sortable over all files of the scan), for "first row" rules.
+
+    Cells with line breaks need ``multi_line``, which reads each file in one task. Without it a
+    line with an odd number of quotes raises (a job that reads the lines), unless ``check_quotes``
+    is off: such a row would otherwise be cut in two without notice.
     """
     raw = (
         spark.read.option("header", True)
@@ -60,6 +65,8 @@ def read_delimited(
         .option("multiLine", multi_line)
         .csv(path)
     )
+    if check_quotes and not multi_line:
+        require_balanced_quotes(spark, path)
     missing = [c for c in schema if c not in raw.columns]
     if missing:
         raise ValueError(f"{path} has no column {missing}")
@@ -68,29 +75,49 @@ def read_delimited(
         for c, to in schema.items()
     ]
     if row_order:
-        # Rows keep their order inside a split; the split's offset orders the splits of a file.
-        columns.append(
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("offset"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias(row_order)
-        )
+        columns.append(_position(raw).alias(row_order))
     return raw.select(*columns)
 
 
+def require_balanced_quotes(spark: SparkSession, path: str | list[str]) -> None:
+    """Raise if a line holds an odd number of quotes: a quoted cell goes on in the next line.
+
+    Reads the lines once as text, before they are parsed, and runs a job.
+    """
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+        raise ValueError(f"{path}: a quoted cell is open at the end of its line, use multi_line")
+
+
+def _position(raw: DataFrame) -> Column:
+    """Position of a row: its file's place by path, then the split's offset plus the row in it.
+
+    A row takes a byte at least, so positions of a split stay below the next split's offset; a
+    task that reads several splits reads no more than one that another follows.
+    """
+    files = sorted(raw.inputFiles())
+    place = F.lit(0).cast("long")
+    if len(files) > 1:
+        if len(files) >= 1 << 15:
+            raise ValueError("too many files for row positions")
+        pairs = [F.lit(x) for i, name in enumerate(files) for x in (name, i)]
+        place = F.element_at(F.create_map(*pairs), F.col("_metadata.file_path")).cast("long")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.shiftleft(place, 44) + F.col("_metadata.file_block_start") + row
+
+
 def read_by_year(paths: Mapping[int, str], read: Callable[[str], DataFrame]) -> DataFrame:
     """Files of one layout per election as one table with the election in ``ano``."""
     years = [read(path).withColumn("ano", F.lit(year)) for year, path in paths.items()]
     return reduce(lambda a, b: a.unionByName(b), years)
 
 
-def read_demographics(spark: SparkSession, path: str) -> DataFrame:
-    return read_delimited(spark, path, schemas.DEMOGRAPHICS)
+def read_demographics(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return read_delimited(spark, path, schemas.DEMOGRAPHICS, multi_line=multi_line)
 
 
-def read_voting(spark: SparkSession, path: str) -> DataFrame:
-    return read_delimited(spark, path, schemas.VOTING)
+def read_voting(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return read_delimited(spark, path, schemas.VOTING, multi_line=multi_line)
 
 
 def read_revenue(
@@ -99,9 +126,11 @@ def read_revenue(
     office: str = FEDERAL_DEPUTY,
     last_year: int = LAST_REVENUE_YEAR,
     row_order: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Donations of one office up to ``last_year``."""
-    revenue = read_delimited(spark, path, schemas.REVENUE, row_order=row_order)
+    revenue = read_delimited(
+        spark, path, schemas.REVENUE, row_order=row_order, multi_line=multi_line)
     return revenue.filter((F.col("cargo") == office) & (F.col("ano") <= last_year))
 
 
@@ -112,31 +141,46 @@ def read_loans(
     *,
     grouping_mark: str = ".",
     row_order: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A loan table: semicolons, decimal comma, grouping dots (or none)."""
     return read_delimited(
         spark, path, schema, sep=";", decimal_mark=",", grouping_mark=grouping_mark,
-        doubled_quotes=False, row_order=row_order,
+        doubled_quotes=False, row_order=row_order, multi_line=multi_line,
     )
 
 
-def read_coalitions(spark: SparkSession, paths: Mapping[int, str]) -> DataFrame:
+def read_disbursements(
+    spark: SparkSession, path: str, schema: Mapping[str, str], multi_line: bool = False
+) -> DataFrame:
+    """The monthly disbursements: a loan table whose numbers have no grouping marks."""
+    return read_loans(spark, path, schema, grouping_mark="", multi_line=multi_line)
+
+
+def read_coalitions(
+    spark: SparkSession, paths: Mapping[int, str], multi_line: bool = False
+) -> DataFrame:
     """Coalition files (Latin-1, semicolons), one per election."""
     return read_by_year(paths, lambda path: read_delimited(
         spark, path, schemas.COALITION, sep=";", decimal_mark=",", grouping_mark=".",
-        encoding="ISO-8859-1", doubled_quotes=False,
+        encoding="ISO-8859-1", doubled_quotes=False, multi_line=multi_line,
     ))
 
 
-def read_municipal_votes(spark: SparkSession, paths: Mapping[int, str]) -> DataFrame:
-    return read_by_year(
-        paths, lambda path: read_delimited(spark, path, schemas.VOTES_BY_MUNICIPALITY)
-    )
+def read_municipal_votes(
+    spark: SparkSession, paths: Mapping[int, str], row_order: str | None = None,
+    multi_line: bool = False,
+) -> DataFrame:
+    return read_by_year(paths, lambda path: read_delimited(
+        spark, path, schemas.VOTES_BY_MUNICIPALITY, row_order=row_order, multi_line=multi_line))
 
 
-def read_valid_votes(spark: SparkSession, paths: Mapping[int, str]) -> DataFrame:
+def read_valid_votes(
+    spark: SparkSession, paths: Mapping[int, str], multi_line: bool = False
+) -> DataFrame:
     """Valid votes per municipality with plain column names: ano, uf, nm_municipio, qt_votos_mun."""
-    table = read_by_year(paths, lambda path: read_delimited(spark, path, schemas.VALID_VOTES))
+    table = read_by_year(paths, lambda path: read_delimited(
+        spark, path, schemas.VALID_VOTES, multi_line=multi_line))
     return table.withColumnsRenamed(schemas.VALID_VOTES_NAMES)
 
 

@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder name for intermediate tables, below the cluster's ``spark.checkpoint.dir``.
+_own: dict[str, str] = {}
+
+
+def use_work_folder(path: str) -> None:
+    """Name the folder for intermediate tables for sessions that leave ``spark.checkpoint.dir``
+    unset; all executors must see it."""
+    _own["base"] = path
+
 
-    Without that setting a local session gets a temporary folder; a cluster session must set it,
-    because a folder of one machine is not seen by the others.
+def work_root(spark: SparkSession) -> str:
+    """The run's folder for intermediate tables, below ``spark.checkpoint.dir``.
+
+    Raises when neither that setting nor ``use_work_folder`` names a folder, on any master.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get("base")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="ballotcredit-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{base.rstrip('/')}/ballotcredit-{spark.sparkContext.applicationId}"
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder name for an intermediate table; the run's folder goes when its driver ends."""
+    root = work_root(spark)
+    if root not in _own:
+        _own[root] = root
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the run's intermediate tables; frames that read them are void afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

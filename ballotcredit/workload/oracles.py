@@ -86,10 +86,10 @@ CANDIDATES = f"""cand AS (
 RUNNING = f"running AS (SELECT * FROM cand WHERE ano IN ({YEARS}))"
 
 
-def municipality_totals(clean, total) -> list[str]:
+def municipality_totals(clean, total, source: str = "loans") -> list[str]:
     return [
         f"""located AS (SELECT * REPLACE ({clean("municipio")} AS municipio)
-            FROM ({window_join("loans")}) WHERE municipio_codigo <> 0)""",
+            FROM ({window_join(source)}) WHERE municipio_codigo <> 0)""",
         f"""codes AS (SELECT ano, municipio_codigo,
                 {total("valor_da_operacao_em_reais")} AS total_contratado,
                 {total("valor_desembolsado_reais")} AS total_desembolsado
@@ -112,9 +112,9 @@ BASE = [
 ]
 
 
-def base_outcomes(clean=letters) -> list[str]:
+def base_outcomes(clean=letters, source: str = "loans") -> list[str]:
     return [
-        *BASE, *municipality_totals(clean, whole_sum),
+        *BASE, *municipality_totals(clean, whole_sum, source),
         """outcomes AS (SELECT id_candidato_bd, ano, any_value(b.sigla_uf) AS sigla_uf,
             any_value(sigla_partido) AS sigla_partido, any_value(votos) AS votos,
             any_value(resultado) AS resultado,
@@ -140,8 +140,7 @@ GIFTS = f"""gifts AS (SELECT * REPLACE ({tax_id("cpf_cnpj_doador")} AS cpf_cnpj_
 FIRM_LOANS = f"firm_loans AS (SELECT * REPLACE ({tax_id('cnpj')} AS cnpj) FROM non_automatic)"
 
 
-def donor_totals(total, null_match: bool = True) -> list[str]:
-    same = "IS NOT DISTINCT FROM" if null_match else "="
+def firm_totals(total) -> list[str]:
     return [
         GIFTS, FIRM_LOANS, f"firm_windows AS ({window_join('firm_loans')})",
         f"""sums AS (SELECT ano, cnpj, {total("valor_contratado_reais")} AS total_contratado,
@@ -151,10 +150,8 @@ def donor_totals(total, null_match: bool = True) -> list[str]:
             row_number() OVER (PARTITION BY ano, cnpj
                 ORDER BY data_da_contratacao, cliente, uf, municipio) AS position
             FROM firm_windows) WHERE position = 1)""",
-        f"""firms AS (SELECT s.*, f.cliente, f.uf, f.municipio FROM sums s JOIN first_loans f
-                ON s.ano = f.ano AND s.cnpj IS NOT DISTINCT FROM f.cnpj
-            WHERE EXISTS (SELECT 1 FROM gifts g WHERE g.ano = s.ano
-                AND g.cpf_cnpj_doador {same} s.cnpj))""",
+        """firms AS (SELECT s.*, f.cliente, f.uf, f.municipio FROM sums s JOIN first_loans f
+                ON s.ano = f.ano AND s.cnpj IS NOT DISTINCT FROM f.cnpj)""",
     ]
 
 
@@ -162,7 +159,7 @@ def donor_outcomes(total=whole_sum, null_match: bool = True, any_loan: bool = Fa
     same = "IS NOT DISTINCT FROM" if null_match else "="
     indicator = "largest" if any_loan else "total_contratado"
     return [
-        *donor_totals(total, null_match), CANDIDATES, RUNNING,
+        *firm_totals(total), CANDIDATES, RUNNING,
         f"""given AS (SELECT c.* , g.cpf_cnpj_doador, g.data_receita,
                 coalesce(g.valor_receita, 0) AS valor_receita, f.cliente,
                 coalesce(f.total_contratado, 0) AS total_contratado,
@@ -483,7 +480,7 @@ ORACLES = {
             ON cpf_cnpj_doador IS NOT DISTINCT FROM cnpj"""),
     "null_safe_semi_join": query(("revenue", "non_automatic"), [GIFTS, FIRM_LOANS], """
         SELECT cnpj, count(*) AS n_loans FROM firm_loans WHERE EXISTS (SELECT 1 FROM gifts
-            WHERE origem_receita LIKE '%fisicas' AND cpf_cnpj_doador IS NOT DISTINCT FROM cnpj)
+            WHERE cpf_cnpj_doador IS NOT DISTINCT FROM cnpj)
         GROUP BY cnpj"""),
     "first_row_per_candidate": query(("revenue",), [GIFTS], f"""
         SELECT id_candidato_bd, ano, cast(data_receita AS varchar) AS data_receita,
@@ -504,9 +501,13 @@ ORACLES = {
     "base_loan_outcomes_folded": query(
         (*BASE_ROLES, "loans"), base_outcomes(name), OUTCOME_COLUMNS),
     "donor_loan_totals": query(
-        ("revenue", "non_automatic"), donor_totals(whole_sum), f"""
+        FIRM_ROLES[:4], [*firm_totals(whole_sum), CANDIDATES, RUNNING, """
+        donors AS (SELECT DISTINCT c.ano, g.cpf_cnpj_doador FROM running c
+            LEFT JOIN gifts g ON c.id_candidato_bd = g.id_candidato_bd AND c.ano = g.ano)"""], f"""
         SELECT ano, cnpj, cliente, uf, municipio, {money("total_contratado")},
-            {money("total_desembolsado", 4)} FROM firms"""),
+            {money("total_desembolsado", 4)} FROM firms f
+        WHERE EXISTS (SELECT 1 FROM donors d WHERE d.ano = f.ano
+            AND d.cpf_cnpj_doador IS NOT DISTINCT FROM f.cnpj)"""),
     "donor_loan_outcomes": query(FIRM_ROLES[:4], donor_outcomes(), DONOR_COLUMNS),
     "donor_loan_outcomes_any": query(
         FIRM_ROLES[:4], donor_outcomes(plain_sum, null_match=False, any_loan=True),
@@ -534,7 +535,8 @@ ORACLES = {
             CASE elected WHEN 0 THEN 'Não eleito' WHEN 1 THEN 'Eleito' END AS elected_label,
             vote_margin FROM samples"""),
     "panel_in_reading_order": query(MUNICIPALITY_ROLES, MUNICIPALITY_PANEL, """
-        SELECT ano, colig, votos, id_candidato_bd, vote_margin FROM panel"""),
+        SELECT ano, colig, votos, id_candidato_bd, vote_margin, rank() OVER (PARTITION BY ano
+            ORDER BY colig NULLS FIRST, votos NULLS FIRST) AS position FROM panel"""),
     "state_factor": query(LIST_ROLES, LISTED, """
         SELECT sigla_uf, cast(dense_rank() OVER (ORDER BY sigla_uf) AS int) AS code,
             count(*) AS n FROM listed GROUP BY sigla_uf"""),
@@ -555,12 +557,50 @@ ORACLES = {
         FIRM_ROLES, [*FIRM_PANEL, *rd_ctes("log_avg_c", SPECS)], GRID_COLUMNS),
     "rd_table_layout": rd(SPECS, _layout()),
     "loan_file_scan": query(("non_automatic",), [], """
-        SELECT uf, 'São João' AS municipio, cast(year(data_da_contratacao) AS int) AS ano,
+        SELECT uf, municipio, municipio_codigo, cast(year(data_da_contratacao) AS int) AS ano,
             round(cast(sum(valor_contratado_reais) AS double), 2) AS contracted,
             round(cast(sum(cast(valor_desembolsado_reais AS decimal(18,2))) AS double), 2)
                 AS disbursed,
             count(valor_contratado_reais) AS n_known, count(*) AS n
         FROM non_automatic GROUP BY ALL"""),
+    "candidate_number_violations": query(
+        ("demographics", "voting", "votes"), [CANDIDATES, RUNNING], """
+        SELECT ano, sigla_uf, numero_candidato % 1000 AS numero_candidato, count(*) AS n_left
+        FROM running r WHERE EXISTS (SELECT 1 FROM votes v WHERE v.ano = r.ano
+            AND v.sg_uf = r.sigla_uf AND v.nr_candidato % 1000 = r.numero_candidato % 1000)
+        GROUP BY 1, 2, 3 HAVING count(*) > 1"""),
+    "municipality_panel_of_files": query(
+        (*MUNICIPALITY_ROLES, *LOAN_TABLES),
+        [ALL_LOANS, *base_outcomes(source="all_loans"), *listed("outcomes"), *margins()],
+        panel_columns(("log_c", "log_d"))),
+    "municipality_first_rows": query(("loans",), [
+        """placed AS (SELECT *, 1000000000
+                - date_diff('day', DATE '1970-01-01', data_da_contratacao) * 10000
+                + cast(regexp_extract(uf, '([0-9]+)', 1) AS bigint) * 100
+                + cast(regexp_extract(municipio, '([0-9]+)', 1) AS bigint) AS posicao,
+            uf || '/' || month(data_da_contratacao) AS stated FROM loans)""",
+        f"""located AS (SELECT * REPLACE ({letters("municipio")} AS municipio)
+            FROM ({window_join("placed")}) WHERE municipio_codigo <> 0)""",
+        f"""codes AS (SELECT ano, municipio_codigo,
+                {whole_sum("valor_da_operacao_em_reais")} AS total_contratado
+            FROM located GROUP BY ALL)""",
+        """firsts AS (SELECT * FROM (SELECT *, row_number() OVER (
+                PARTITION BY ano, municipio_codigo, municipio ORDER BY posicao, stated) AS place
+            FROM located) WHERE place = 1)"""], f"""
+        SELECT ano, municipio_codigo, municipio, stated AS uf, {money("total_contratado")}
+        FROM firsts JOIN codes USING (ano, municipio_codigo)"""),
+    "pooled_panel_strict_union": query(
+        MUNICIPALITY_ROLES, MUNICIPALITY_PANEL, panel_columns(("log_c", "log_d"))),
+    "place_alias": f"""
+        SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'MAZAGAO' ELSE {name("c_name")} END
+            AS place FROM customer""",
+    "coalition_file_scan": query(("coalition",), [], f"""
+        SELECT ano, sg_uf, sg_partido, ds_composicao_coligacao, count(*) AS n,
+            cast(sum(nr_candidato) AS bigint) AS numbers FROM coalition
+        WHERE ano IN ({YEARS}) GROUP BY ALL"""),
+    "disbursement_file_scan": query(("automatic",), [], """
+        SELECT cliente, uf, round(cast(sum(valor_desembolsado_reais) AS double), 4) AS disbursed,
+            count(*) AS n FROM automatic GROUP BY ALL"""),
     "vote_files_by_year": query(("votes",), [], f"""
         SELECT ano, sg_uf, nm_municipio, cast(sum(qt_votos_nom_validos) AS bigint) AS votes,
             count(*) AS n, cast(0 AS bigint) AS n_listed

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ballotcredit import functions as fn
-from ballotcredit.constants import AUTOMATIC, NON_AUTOMATIC, SALTS
+from ballotcredit.constants import AUTOMATIC, NON_AUTOMATIC
 from ballotcredit.functions.numeric import format_pattern
 from ballotcredit.operators import coalition as co
 from ballotcredit.operators import donors, joins, loans, margin, panel, rd, rows, votes
@@ -37,6 +37,10 @@ LINEAR = [s for s in SPECS if s[2] == 1]
 CUBIC = [s for s in SPECS if s[2] == 3]
 
 
+# Written municipality panels, which the regression queries share.
+_PANELS: dict[tuple[str, str], DataFrame] = {}
+
+
 def money(name: str, digits: int = 2):
     return F.round(F.col(name).cast("double"), digits).alias(name)
 
@@ -45,6 +49,13 @@ def _all_loans(t):
     return loans.loans_union(t["non_automatic"], t["automatic"])
 
 
+def _order():
+    """A position that both engines compute: later contracts first, then by state and place."""
+    place = F.regexp_extract("uf", r"(\d+)", 1).cast("long") * 100 + F.regexp_extract(
+        "municipio", r"(\d+)", 1).cast("long")
+    return F.lit(10**9) - F.unix_date("data_da_contratacao").cast("long") * 10**4 + place
+
+
 def _candidates(t):
     return candidate_frame(
         t["demographics"], t["voting"], first_year=1995
@@ -61,17 +72,13 @@ def _shares(t):
     )
 
 
-def _municipality_windows(t):
-    return loans.loans_in_election_window(t["loans"], ELECTIONS, YEARS_AFTER)
-
-
 def _base(t):
     return votes.electoral_base(_running(t), t["votes"], BASE_SIZE)
 
 
 def _outcomes(t, fold_names=False):
     totals = loans.municipality_loan_totals(
-        _municipality_windows(t), fold_names=fold_names
+        t["loans"], elections=ELECTIONS, years_after=YEARS_AFTER, fold_names=fold_names
     )
     return votes.base_loan_outcomes(_base(t), totals)
 
@@ -90,9 +97,9 @@ def _firm_windows(t):
     return loans.loans_in_election_window(_firm_loans(t), ELECTIONS, YEARS_AFTER)
 
 
-def _donor_totals(t):
-    given = _donations(t).filter(F.col("ano").isin(*ELECTIONS))
-    return donors.donor_loan_totals(_firm_windows(t), given)
+def _firm_totals(t, **options):
+    return donors.firm_loan_totals(
+        _firm_loans(t), elections=ELECTIONS, years_after=YEARS_AFTER, **options)
 
 
 def _municipality_panel(t, **options):
@@ -112,9 +119,11 @@ def _firm_panel(t, **options):
 
 
 def _samples(t):
-    return panel.panel_subsamples(
-        _municipality_panel(t), SAMPLES, BANDWIDTH, PARTY
-    )
+    """The subsamples of the municipality panel, written once per session and data folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _PANELS:
+        _PANELS[key] = sinks.written(_municipality_panel(t, check=False))
+    return panel.panel_subsamples(_PANELS[key], SAMPLES, BANDWIDTH, PARTY)
 
 
 # --- descriptive -----------------------------------------------------------------------------
@@ -171,7 +180,8 @@ def loans_in_election_window(t):
 
 
 def _municipality_totals(t, **options):
-    totals = loans.municipality_loan_totals(_municipality_windows(t), **options)
+    totals = loans.municipality_loan_totals(
+        t["loans"], elections=ELECTIONS, years_after=YEARS_AFTER, **options)
     return totals.select(
         "ano", "municipio_codigo", "uf", "municipio", money("total_contratado"),
         money("total_desembolsado", 4),
@@ -220,6 +230,12 @@ def stripped_punctuation(t):
     )
 
 
+def place_alias(t):
+    """Birth places, some of them with the known misspelling."""
+    wrong = F.when(F.col("c_custkey") % 3 == 0, F.lit("Mazag ão")).otherwise(F.col("c_name"))
+    return t["customer"].select("c_custkey", fn.birth_place(wrong).alias("place"))
+
+
 def tax_id_parse(t):
     return t["non_automatic"].select(
         "cnpj", fn.parse_tax_id(F.col("cnpj")).alias("id"),
@@ -262,6 +278,14 @@ def one_to_many_violations(t):
     return joins.one_to_many_violations(lines, orders, ["key"])
 
 
+def candidate_number_violations(t):
+    """Numbers with votes that several candidates of a year and segment would share."""
+    numbered = _running(t).withColumn("numero_candidato", F.col("numero_candidato") % 1000)
+    given = t["votes"].withColumn("nr_candidato", F.col("nr_candidato") % 1000)
+    return joins.one_to_many_violations(numbered, given, {
+        "ano": "ano", "sigla_uf": "sg_uf", "numero_candidato": "nr_candidato"})
+
+
 def null_safe_left_join(t):
     firms = _firm_loans(t).groupBy("cnpj").agg(
         F.count(F.lit(1)).alias("n_loans"),
@@ -270,7 +294,7 @@ def null_safe_left_join(t):
     # Both a donor and a candidate may be hot, so the salt also depends on date and value.
     joined = joins.key_join(
         _donations(t), firms, {"cpf_cnpj_doador": "cnpj"}, match_nulls=["cpf_cnpj_doador"],
-        spread_by=["id_candidato_bd", "data_receita", "valor_receita"], salts=SALTS,
+        spread_by=["id_candidato_bd", "data_receita", "valor_receita"], salts=8,
     )
     return joined.select(
         "id_candidato_bd", "ano", "cpf_cnpj_doador", "n_loans", money("disbursed")
@@ -278,10 +302,10 @@ def null_safe_left_join(t):
 
 
 def null_safe_semi_join(t):
-    gifts = _donations(t).filter(F.col("origem_receita").like("%fisicas"))
+    """Loans of donors; unreadable ids on both sides match each other."""
     kept = joins.key_semi_join(
-        _firm_loans(t), gifts, {"cnpj": "cpf_cnpj_doador"}, match_nulls=["cnpj"],
-        spread_by=["data_da_contratacao", "valor_desembolsado_reais"], salts=SALTS,
+        _firm_loans(t), _donations(t), {"cnpj": "cpf_cnpj_doador"}, match_nulls=["cnpj"],
+        spread_by=["data_da_contratacao", "valor_desembolsado_reais"], salts=8,
     )
     return kept.groupBy("cnpj").agg(F.count(F.lit(1)).alias("n_loans"))
 
@@ -332,7 +356,9 @@ def base_loan_outcomes_folded(t):
 # --- firm channel ----------------------------------------------------------------------------
 
 def donor_loan_totals(t):
-    return _donor_totals(t).select(
+    totals = donors.donor_loan_totals(
+        _firm_loans(t), _donations(t), _running(t), elections=ELECTIONS, years_after=YEARS_AFTER)
+    return totals.select(
         "ano", "cnpj", "cliente", "uf", "municipio", money("total_contratado"),
         money("total_desembolsado", 4),
     )
@@ -351,18 +377,13 @@ def _donor_columns(df):
 
 def donor_loan_outcomes(t):
     given = _donations(t).filter(F.col("ano").isin(*ELECTIONS))
-    return _donor_columns(donors.donor_loan_outcomes(
-        _running(t), given, _donor_totals(t)
-    ))
+    return _donor_columns(donors.donor_loan_outcomes(_running(t), given, _firm_totals(t)))
 
 
 def donor_loan_outcomes_any(t):
     given = _donations(t).filter(F.col("ano").isin(*ELECTIONS))
-    totals = donors.donor_loan_totals(
-        _firm_windows(t), given, match_nulls=False, skip_nulls=True
-    )
     return _donor_columns(donors.donor_loan_outcomes(
-        _running(t), given, totals, match_nulls=False, indicator="any"
+        _running(t), given, _firm_totals(t, skip_nulls=True), match_nulls=False, indicator="any"
     ))
 
 
@@ -409,6 +430,42 @@ def pooled_panel(t):
     return _panel_columns(_municipality_panel(t), ("log_c", "log_d"))
 
 
+def municipality_panel_of_files(t):
+    """The panel from both loan tables, where a row order says which loan and vote come first."""
+    both = loans.loans_union(
+        t["non_automatic"].withColumn("posicao", _order()),
+        t["automatic"].withColumn("posicao", _order()), "posicao")
+    given = t["votes"].withColumn(
+        "posicao", -F.regexp_extract("nm_municipio", r"(\d+)", 1).cast("long"))
+    made = channels.municipality_panel(
+        _candidates(t), given, both, t["coalition"], elections=ELECTIONS,
+        years_after=YEARS_AFTER, base_size=BASE_SIZE, party=PARTY, statuses=STATUSES,
+        loan_order="posicao", vote_order="posicao")
+    return _panel_columns(made, ("log_c", "log_d"))
+
+
+def municipality_first_rows(t):
+    """Totals per spelling, whose state is the one of the first row in a stated order."""
+    ordered = t["loans"].withColumn("posicao", _order()).withColumn(
+        "uf", F.concat("uf", F.lit("/"), F.month("data_da_contratacao")))
+    return loans.municipality_loan_totals(
+        ordered, elections=ELECTIONS, years_after=YEARS_AFTER, order="posicao"
+    ).select("ano", "municipio_codigo", "municipio", "uf", money("total_contratado"))
+
+
+def pooled_panel_strict_union(t):
+    """Panels of one election each under one layout."""
+    candidates = _candidates(t)
+    single = [
+        channels.municipality_panel(
+            candidates, t["votes"], t["loans"], t["coalition"], elections=(year,),
+            years_after=YEARS_AFTER, base_size=BASE_SIZE, party=PARTY, statuses=STATUSES,
+            check=False).drop("factor_cluster", "factor_uf")
+        for year in ELECTIONS
+    ]
+    return _panel_columns(panel.pooled_panel(*single), ("log_c", "log_d"))
+
+
 def pooled_panel_firms(t):
     return _panel_columns(_firm_panel(t), ("log_avg_c", "log_avg_d"))
 
@@ -420,8 +477,14 @@ def panel_subsamples(t):
 
 
 def panel_in_reading_order(t):
-    ordered = panel.inspection_order(_municipality_panel(t))
-    return ordered.select("ano", "colig", "votos", "id_candidato_bd", "vote_margin")
+    """The panel in reading order with each row's position within its election.
+
+    Rows that tie keep any order among them, so a tied row shows the first of its positions.
+    """
+    ordered = panel.inspection_order(_municipality_panel(t, check=False))
+    place = F.rank().over(Window.partitionBy("ano").orderBy("colig", "votos"))
+    return ordered.select("ano", "colig", "votos", "id_candidato_bd", "vote_margin",
+                          place.cast("long").alias("position"))
 
 
 def state_factor(t):
@@ -470,7 +533,7 @@ def rd_result_grid_firms(t):
 
 def rd_table_layout(t):
     grid = rd.rd_result_grid(_samples(t), "log_c", SPECS)
-    return rd.rd_table_layout(grid).withColumnsRenamed(
+    return rd.rd_table_layout(grid, len(COLUMNS)).withColumnsRenamed(
         {f"({i})": f"spec_{i}" for i in range(1, 5)}
     )
 
@@ -482,8 +545,8 @@ def loan_file_scan(t):
     comma = F.translate(format_pattern(F.col("valor_contratado_reais"), "#,##0.00"), ",.", ".,")
     folder = sinks.work_folder(t.spark)
     text = t["non_automatic"].select(
-        "cliente", "cnpj", F.lit("São João").alias("municipio"), "uf",
-        F.lit("0").alias("municipio_codigo"), "data_da_contratacao",
+        "cliente", "cnpj", "municipio", "uf",
+        F.col("municipio_codigo").cast("string").alias("municipio_codigo"), "data_da_contratacao",
         F.lit("extra").alias("area_operacional"), comma.alias("valor_contratado_reais"),
         F.translate(F.col("valor_desembolsado_reais").cast("decimal(18,2)").cast("string"),
                     ".", ",").alias("valor_desembolsado_reais"),
@@ -493,13 +556,39 @@ def loan_file_scan(t):
         t.spark, folder, schemas.NON_AUTOMATIC_LOANS, sep=";", decimal_mark=",",
         grouping_mark=".", encoding="ISO-8859-1", doubled_quotes=False,
     )
-    return read.groupBy("uf", "municipio", F.year("data_da_contratacao").alias("ano")).agg(
+    return read.groupBy(
+        "uf", "municipio", "municipio_codigo", F.year("data_da_contratacao").alias("ano")).agg(
         F.round(F.sum("valor_contratado_reais").cast("double"), 2).alias("contracted"),
         F.round(F.sum("valor_desembolsado_reais").cast("double"), 2).alias("disbursed"),
         F.count("valor_contratado_reais").alias("n_known"), F.count(F.lit(1)).alias("n"),
     )
 
 
+def coalition_file_scan(t):
+    """Coalitions written as one Latin-1 file per election and read back by their reader."""
+    folder = sinks.work_folder(t.spark)
+    paths = {}
+    for year in ELECTIONS:
+        paths[year] = f"{folder}/{year}"
+        sinks.write_csv(t["coalition"].filter(F.col("ano") == year).drop("ano"), paths[year],
+                        sep=";", encoding="ISO-8859-1")
+    read = readers.read_coalitions(t.spark, paths)
+    return read.groupBy("ano", "sg_uf", "sg_partido", "ds_composicao_coligacao").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("nr_candidato").alias("numbers"))
+
+
+def disbursement_file_scan(t):
+    """Disbursements without grouping marks written as text and read back by their reader."""
+    folder = sinks.work_folder(t.spark)
+    text = t["automatic"].select("cliente", "uf", F.translate(
+        F.col("valor_desembolsado_reais").cast("string"), ".", ",").alias("valor"))
+    sinks.write_csv(text, folder, sep=";")
+    read = readers.read_disbursements(
+        t.spark, folder, {"cliente": "string", "uf": "string", "valor": "decimal(18,4)"})
+    return read.groupBy("cliente", "uf").agg(
+        F.round(F.sum("valor").cast("double"), 4).alias("disbursed"), F.count("valor").alias("n"))
+
+
 def report_file_scan(t):
     """The formatted report table written as a file and read back."""
     folder = sinks.work_folder(t.spark)
@@ -571,6 +660,9 @@ QUERIES = {
         party_coalition_flag_unfilled, vote_margin, vote_margin_consistent, pooled_panel,
         pooled_panel_firms, panel_subsamples, state_factor, rd_effective_counts,
         rd_local_linear, rd_local_cubic, rd_std_error, rd_result_grid, rd_result_grid_firms,
-        rd_table_layout, loan_file_scan, report_file_scan, panel_in_reading_order, vote_files_by_year, snapshot_by_year, panel_folders,
+        rd_table_layout, loan_file_scan, report_file_scan, panel_in_reading_order,
+        vote_files_by_year, snapshot_by_year, panel_folders, candidate_number_violations,
+        municipality_panel_of_files, municipality_first_rows, pooled_panel_strict_union,
+        place_alias, coalition_file_scan, disbursement_file_scan,
     )
 }

@@ -35,6 +35,9 @@ _DONOR_ID = f"""CASE WHEN l_returnflag = 'R' AND l_discount = 0 THEN 'n/d'
 _STATE = "concat('NATION_', l_partkey % 25)"
 _PLACE = "concat('NATION_', l_suppkey % 25)"
 
+_CODE = """cast(CASE WHEN l_suppkey % 25 = 0 THEN 0
+        ELSE (l_partkey % 25) * 100 + l_suppkey % 25 END AS bigint)"""
+
 ROLES = {
     # Candidates: customers in every year they order.
     "demographics": """
@@ -50,7 +53,7 @@ ROLES = {
         FROM (SELECT DISTINCT o_custkey, cast(year(o_orderdate) AS int) AS ano
               FROM {orders}) AS active
             JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
-    # Results: the value of the year's orders; customers with pending orders only have none.
+    # Results: the value of the year's orders; that of pending orders is unknown.
     "voting": """
         SELECT id_candidato_bd, ano, tipo_eleicao, votos,
             CASE WHEN votos >= 450000 AND ano = 1999 THEN 'eleito por qp'
@@ -59,8 +62,9 @@ ROLES = {
             'resultados' AS nome
         FROM (SELECT cast(o_custkey AS string) AS id_candidato_bd,
                   cast(year(o_orderdate) AS int) AS ano, 'eleicao ordinaria' AS tipo_eleicao,
-                  cast(sum(floor(o_totalprice)) AS bigint) AS votos
-              FROM {orders} WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3) AS yearly""",
+                  cast(sum(CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) END) AS bigint)
+                      AS votos
+              FROM {orders} GROUP BY 1, 2, 3) AS yearly""",
     # Votes by municipality: quantities a customer buys per year and municipality.
     "votes": """
         SELECT ano, n_name AS sg_uf, cast(o_custkey AS int) AS nr_candidato,
@@ -71,18 +75,17 @@ ROLES = {
               FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
               GROUP BY 1, 2, 3) AS bought
             JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
-    # Valid votes per municipality; one municipality is missing.
+    # Valid votes per municipality; one municipality has no name.
     "valid_votes": """
-        SELECT ano, sg_uf AS uf, nm_municipio,
+        SELECT ano, sg_uf AS uf, nullif(nm_municipio, 'nãtion_5') AS nm_municipio,
             cast(sum(qt_votos_nom_validos) AS bigint) AS qt_votos_mun
-        FROM {votes} WHERE nm_municipio <> 'nãtion_5' GROUP BY ano, sg_uf, nm_municipio""",
+        FROM {votes} GROUP BY ano, sg_uf, nm_municipio""",
     # Loans: line items; some municipalities are written in two ways.
     "loans": f"""
         SELECT {_CLIENT} AS cliente, {_STATE} AS uf,
             CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN lower({_PLACE})
                  ELSE {_PLACE} END AS municipio,
-            cast(CASE WHEN l_suppkey % 25 = 0 THEN 0
-                 ELSE (l_partkey % 25) * 100 + l_suppkey % 25 END AS bigint) AS municipio_codigo,
+            {_CODE} AS municipio_codigo,
             cast(l_shipdate AS date) AS data_da_contratacao,
             {_CONTRACTED} AS valor_da_operacao_em_reais,
             {_DISBURSED} AS valor_desembolsado_reais
@@ -90,12 +93,13 @@ ROLES = {
     # The two loan tables with the columns each of them has.
     "non_automatic": f"""
         SELECT {_CLIENT} AS cliente, {_LOAN_ID} AS cnpj, {_STATE} AS uf, {_PLACE} AS municipio,
+            {_CODE} AS municipio_codigo,
             cast(l_shipdate AS date) AS data_da_contratacao,
             {_CONTRACTED} AS valor_contratado_reais, {_DISBURSED} AS valor_desembolsado_reais
         FROM {{lineitem}} WHERE l_linestatus = 'O'""",
     "automatic": f"""
         SELECT {_CLIENT} AS cliente, {_STATE} AS uf, {_PLACE} AS municipio,
-            cast(l_shipdate AS date) AS data_da_contratacao,
+            {_CODE} AS municipio_codigo, cast(l_shipdate AS date) AS data_da_contratacao,
             {_CONTRACTED} AS valor_da_operacao_em_reais, {_DISBURSED} AS valor_desembolsado_reais
         FROM {{lineitem}} WHERE l_linestatus <> 'O'""",
     # Donations: a customer's line items, given by the supplier.

@@ -299,3 +299,52 @@ def test_both_channels_end_to_end(table):
 def test_windows_cover_the_loan_of_two_elections(table):
     df = table("cnpj bigint, data_da_contratacao date", (1, date(2010, 6, 1)))
     assert rows(loans_in_election_window(df).select("ano")) == [(2006,), (2010,)]
+
+
+# --- required checks, donors and plans -------------------------------------------------------
+
+def test_two_candidates_on_one_number_raise(table):
+    people = table(CANDIDATE, ("1", 2006, "SP", 10, 100, "deferido", "a"),
+                   ("2", 2006, "SP", 10, 100, "deferido", "b"))
+    given = table(VOTES, (2006, "SP", 10, "A", 5))
+    credit = table("municipio_codigo long, municipio string, uf string, data_da_contratacao date, "
+                   "valor_da_operacao_em_reais decimal(18,2), "
+                   "valor_desembolsado_reais decimal(18,2)")
+    lists = table("ano int, sg_uf string, sg_partido string, ds_composicao_coligacao string")
+    with pytest.raises(ValueError, match="several left rows"):
+        channels.municipality_panel(people, given, credit, lists)
+
+
+def test_donors_come_from_the_candidates(table):
+    people = running(table, ("1", 2006, "o", "deferido", "a", None),
+                     ("2", 2006, "o", "deferido", "without donations", None))
+    loans = table(LOANS, firm(5, 10), firm(6, 1), firm(None, 4))
+    given = table(GIFTS, gift("1", 5, 1), gift("unknown", 6, 1))
+    got = donors.donor_loan_totals(loans, given, people)
+    assert rows(got.select("cnpj")) == [(None,), (5,)]
+    assert rows(donors.donor_loan_totals(loans, given).select("cnpj")) == [(5,), (6,)]
+
+
+def test_raw_donations_are_read_once_and_not_sorted(spark, tmp_path, table):
+    people = running(table, ("1", 2006, "o", "deferido", "a", "x"))
+    table(GIFTS, gift("1", 5, 1)).write.parquet(f"{tmp_path}/gifts")
+    given = spark.read.parquet(f"{tmp_path}/gifts")
+    totals = donors.firm_loan_totals(table(LOANS, firm(5, 10)))
+    got = donors.donor_loan_outcomes(people, given, totals)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/gifts") == 1
+    scan = plan.index("FileScan parquet")
+    below = plan[plan.rindex("Exchange hashpartitioning", 0, scan):scan]
+    assert "HashAggregate" in below and "Sort" not in below
+
+
+def test_first_donation_by_position_and_by_date(table):
+    schema = GIFTS + ", posicao long"
+    given = table(schema, (*gift("1", 5, 9, 1), 7), (*gift("1", 5, 4, 3), 2),
+                  (*gift("1", 5, 6, 1), 9), (*gift("1", 6, None, 1), 3))
+    by_place = rows(donors.combined_gifts(given, order="posicao").select(
+        "cpf_cnpj_doador", "_n", "_value", "_gift.valor_receita", "_gift.data_receita"))
+    assert by_place == [(5, 3, 19, 4, date(2006, 1, 3)), (6, 1, 0, 0, date(2006, 1, 1))]
+    by_date = rows(donors.combined_gifts(given).select(
+        "cpf_cnpj_doador", "_gift.valor_receita", "_gift.data_receita"))
+    assert by_date == [(5, 6, date(2006, 1, 1)), (6, 0, date(2006, 1, 1))]

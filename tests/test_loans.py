@@ -1,6 +1,7 @@
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from conftest import rows
 
 from ballotcredit.operators import loans
@@ -104,3 +105,42 @@ def test_wide_report_table(table):
     assert rows(got, "ano") == [
         (2002, "3,0 bi", "1,5 bi", "2", "500", "500", "1"),
         (2003, None, None, None, None, "1,5 mi", "2")]
+
+
+def test_an_unlisted_type_fails_the_wide_table(table):
+    volume = table("tipo_op string, ano int, total_contratado double, media_contratado double, "
+                   "n_operacoes long", ("Automática", 2002, 1.0, 1.0, 1), ("Outra", 2002, 1.0, 1.0, 1))
+    with pytest.raises(Exception, match="not listed"):
+        loans.loan_table_wide(volume).collect()
+    assert "n_operacoes_Outra" in loans.loan_table_wide(
+        volume, types=("Automática", "Outra")).columns
+
+
+def test_volume_years_reach_the_scan(spark, tmp_path, table):
+    volume_rows(table).write.parquet(f"{tmp_path}/v")
+    got = loans.loan_volume_by_type_year(spark.read.parquet(f"{tmp_path}/v"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(data_da_contratacao,2002-01-01)" in plan
+
+
+def test_state_comes_from_the_first_row_in_file_order(table):
+    df = table(LOAN + ", posicao long", (*loan(1, "X", 1, uf="B", day=date(2007, 1, 1)), 1),
+               (*loan(1, "X", 2, uf="A", day=date(2006, 1, 1)), 2))
+    assert [r.uf for r in loans.municipality_loan_totals(df, order="posicao").collect()] == ["B"]
+    assert [r.uf for r in loans.municipality_loan_totals(df).collect()] == ["A"]
+
+
+def test_loans_are_summed_before_they_meet_the_elections(table):
+    df = table(LOAN, loan(1, "A", 3, day=date(2010, 5, 5)), loan(1, "A", 4, day=date(2011, 5, 5)))
+    got = loans.municipality_loan_totals(df)
+    assert rows(got.select("ano", "total_contratado")) == [(2006, 3), (2010, 7)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    join = plan.index("BroadcastHashJoin")
+    assert "HashAggregate" in plan[join:] and "SortAggregate" not in plan
+
+
+def test_second_table_comes_after_the_first_in_a_union(table):
+    first = table("cliente string, valor_contratado_reais int, posicao long", ("x", 5, 9))
+    second = table("cliente string, valor_da_operacao_em_reais int, posicao long", ("y", 6, 0))
+    got = loans.loans_union(first, second, "posicao").orderBy("posicao")
+    assert [r.cliente for r in got.collect()] == ["x", "y"]

@@ -129,7 +129,7 @@ def test_the_panel_is_read_once(sample):
 def test_printed_layout(sample):
     specs = rd.grid_specs({"all": [(1, H), (1, 30000), (3, H), (3, 40000)]})
     grid = rd.rd_result_grid(sample, "log_c", specs)
-    lines = rows(rd.rd_table_layout(grid), "line")
+    lines = rows(rd.rd_table_layout(grid, 4), "line")
     first = grid.filter("spec = 1").first()
     assert [r[2] for r in lines] == ["LATE", "", "", "Banda", "Ordem", "Kernel"]
     assert lines[0][3] == f"{first.estimate:.3f}{first.stars}"
@@ -165,3 +165,11 @@ def test_inspection_order(table):
     df = table("ano int, colig string, votos int", (2010, "A", 1), (2006, "B", 2), (2006, "B", 1))
     assert [tuple(r) for r in panels.inspection_order(df).collect()] == [
         (2006, "B", 1), (2006, "B", 2), (2010, "A", 1)]
+
+
+def test_layout_does_not_lose_a_specification(sample):
+    specs = rd.grid_specs({"all": [(1, H + 1000 * i) for i in range(6)]})
+    grid = rd.rd_result_grid(sample, "log_c", specs)
+    assert rd.rd_table_layout(grid, 6).columns[3:] == [f"({i})" for i in range(1, 7)]
+    with pytest.raises(Exception, match="does not fit"):
+        rd.rd_table_layout(grid, 4).collect()

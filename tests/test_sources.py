@@ -143,3 +143,34 @@ def test_written_table_has_the_same_rows_and_a_short_plan(spark, table):
     assert kept.schema == df.schema and rows(kept) == rows(df)
     assert "Aggregate" not in kept._jdf.queryExecution().executedPlan().toString()
     assert sinks.work_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text('a,b\n"x\ny",1\n"say ""z""",2\n')
+    types = {"a": "string", "b": "int"}
+    with pytest.raises(ValueError, match="multi_line"):
+        readers.read_delimited(spark, str(path), types)
+    got = readers.read_delimited(spark, str(path), types, multi_line=True)
+    assert [tuple(r) for r in got.collect()] == [("x\ny", 1), ('say "z"', 2)]
+    assert readers.read_delimited(spark, str(path), types, check_quotes=False).count() == 3
+
+
+def test_work_folder_must_be_named(spark, monkeypatch):
+    class Unset:
+        conf = {}
+        sparkContext = spark.sparkContext
+
+    monkeypatch.setattr(sinks, "_own", {})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sinks.work_folder(Unset)
+    sinks.use_work_folder("/shared/folder")
+    assert sinks.work_root(Unset).startswith("/shared/folder/ballotcredit-")
+
+
+def test_row_positions_follow_files(spark, tmp_path):
+    for name, cells in (("b", "3\n4"), ("a", "1\n2")):
+        (tmp_path / f"{name}.csv").write_text(f"v\n{cells}\n")
+    got = readers.read_delimited(spark, str(tmp_path), {"v": "int"}, row_order="p")
+    assert [r.v for r in got.orderBy("p").collect()] == [1, 2, 3, 4]
+    assert dict(got.dtypes)["p"] == "bigint"

@@ -83,10 +83,8 @@ def test_study(spark, folder, tmp_path):
 def test_first_client_is_the_first_in_the_file(spark, folder):
     inputs = study.read_inputs(spark, folder)
     from ballotcredit.operators.donors import donor_loan_totals
-    from ballotcredit.operators.loans import loans_in_election_window
 
-    windows = loans_in_election_window(inputs.non_automatic)
-    totals = donor_loan_totals(windows, inputs.revenue, order=study.POSITION)
+    totals = donor_loan_totals(inputs.non_automatic, inputs.revenue, order=study.POSITION)
     assert rows(totals.select("ano", "cnpj", "cliente")) == [(2006, 191, "BANCO")]
 
 
@@ -108,3 +106,22 @@ def test_warehouse_snapshot(spark, tmp_path, table):
     study.snapshot_tables(spark, {"voting": "w_voting"}, str(tmp_path))
     got = readers.read_table(spark, f"{tmp_path}/voting")
     assert rows(got.select("id", "ano")) == [("a", 2006), ("b", 2010)]
+
+
+def test_options_go_to_the_channels_that_know_them(spark, folder, tmp_path):
+    out = str(tmp_path)
+    study.run_study(spark, folder, out, base_size=3, fold_names=True, match_nulls=False,
+                    skip_nulls=True, indicator="any", salts=2)
+    written = spark.read.option("mergeSchema", True).parquet(f"{out}/panels")
+    firms = written.filter("canal = 'empresas' AND sample = 'all'")
+    assert rows(firms.select("id_candidato_bd", "indic_bndes")) == [("a", 1), ("b", 1)]
+    with pytest.raises(TypeError, match="unknown options"):
+        study.run_study(spark, folder, out, base_sise=3)
+
+
+def test_plans_read_the_snapshot_of_the_files(spark, folder, tmp_path):
+    inputs = study.read_inputs(spark, folder).snapshot(str(tmp_path))
+    plan = study.panels(inputs)["municipios"]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan csv" not in plan
+    loans = inputs.loans()
+    assert loans._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
