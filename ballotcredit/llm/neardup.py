@@ -8,9 +8,10 @@ meet under a key are all pairs under that distance. At a similarity of 0.75 a pa
 ten chunks with probability 1.5e-6, less at higher ones. Every link is confirmed on the full sets.
 
 No group is expanded into its pairs. Documents with equal sets are one class. In each bucket the
-members are first compared with its smallest id only, links give components, and then only pairs
-whose components still differ are compared, in blocks of a bucket and by whole signatures, before
-the full sets decide.
+members are first compared with its smallest id only, and links give components. The buckets that
+still hold several components are gathered into groups; a group's documents meet in blocks, where
+whole signatures pass over most pairs, the full sets decide the others, and only links that join
+two components leave the block.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ballotcredit.sources.sinks import written
 SYMBOLS, CHUNKS, WIDE = 128, 10, 4
 # Pairs that differ in more symbols have a similarity of 0.75 with a probability under 1e-6.
 MOST_ERRORS = 57
-BLOCK_ROWS = 1024
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 _GROUP = 1 << 16  # shingles hashed at a time
 _RANDOM = np.random.default_rng(20)
 _TIMES = (_RANDOM.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1))
@@ -51,6 +52,11 @@ def shingle_set(raw: bytes, words: int) -> np.ndarray:
     return np.unique(total)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """A row of symbols for each set; empty sets give zeros."""
     result = np.zeros((len(sets), SYMBOLS), np.uint16)
@@ -80,15 +86,6 @@ def index_keys(symbols: np.ndarray) -> np.ndarray:
     return keys.reshape(len(symbols), CHUNKS * WIDE)
 
 
-def first_slot(same: np.ndarray) -> np.ndarray:
-    """The first slot in which pairs meet, from the equality of their index symbols; -1 if none."""
-    chunks = same.reshape(len(same), CHUNKS, WIDE)
-    met = chunks.sum(2) >= WIDE - 1
-    chunk = met.argmax(1)
-    out = chunks[np.arange(len(same)), chunk].argmin(1)
-    return np.where(met.any(1), chunk * WIDE + out, -1)
-
-
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     """(id, n, digest, signature) of each row with an id; no digest without words."""
 
@@ -139,9 +136,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
         found = []
         for a, b in zip(raw_texts(left), raw_texts(right), strict=True):
-            x, y = sets(a), sets(b)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            found.append(100 * both >= percent * (len(x) + len(y) - both))
+            found.append(_linked(sets(a), sets(b), percent))
         return pa.array(found, pa.bool_())
 
     ids = pairs.select(F.col("u").alias("id")).unionByName(
@@ -151,52 +146,71 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return joined.where(linked("u_text", "v_text")).select("u", "v").distinct()
 
 
-def _close_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of different components within a block pair whose signatures and sizes allow a link.
+def _new_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(u, v): links that join different components within a pair of blocks, confirmed on full sets.
 
-    Rows come sorted by their group (bucket and pair of blocks), which holds two blocks at most. A
-    pair that meets in several buckets is given by the first one only.
+    Rows are sorted by their group (candidate group and pair of blocks), which holds two blocks at
+    most. Pairs whose signatures or sizes rule a link out are passed over, likelier pairs come
+    first, and a pair whose components a link has joined already is not looked at again, so a
+    group gives fewer links than it has rows.
     """
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        key, one, two = group[["key", "one", "two"]].iloc[0]
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        one, two = group["one"].iloc[0], group["two"].iloc[0]
         marks = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, SYMBOLS)
         ids, own = group["id"].to_numpy(), group["component"].to_numpy()
-        sizes, block = group["n"].to_numpy(), group["block"].to_numpy()
+        sizes, block, texts = group["n"].to_numpy(), group["block"].to_numpy(), group["text"]
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        found = []
-        for at in range(0, len(left), 128):
-            x = left[at : at + 128]
-            may = (own[x][:, None] != own[right][None, :]) & (ids[x][:, None] < ids[right][None, :]
-                if one == two else True)
+        near = []
+        for at in range(0, len(left), 64):
+            x = left[at : at + 64]
+            may = own[x][:, None] != own[right][None, :]
+            if one == two:
+                may &= ids[x][:, None] < ids[right][None, :]
             small = np.minimum(sizes[x][:, None], sizes[right][None, :])
             big = np.maximum(sizes[x][:, None], sizes[right][None, :])
             i, j = np.nonzero(may & (100 * small >= percent * big))
-            for part in range(0, len(i), 65536):
-                p, q = x[i[part : part + 65536]], right[j[part : part + 65536]]
-                same = marks[p] == marks[q]
-                near = (SYMBOLS - same.sum(1)) <= MOST_ERRORS
-                p, q, same = p[near], q[near], same[near]
-                own_slot = first_slot(same[:, : CHUNKS * WIDE]) == key >> 48
-                p, q = p[own_slot], q[own_slot]
-                found.append(pd.DataFrame({"u": np.maximum(ids[p], ids[q]),
-                                           "v": np.minimum(ids[p], ids[q])}))
-        return pd.concat(found) if found else pd.DataFrame({"u": [], "v": []}, dtype="int64")
-
-    def blocks(frames):
+            errors = (marks[x[i]] != marks[right[j]]).sum(1)
+            keep = errors <= MOST_ERRORS
+            near += zip(errors[keep].tolist(), x[i[keep]].tolist(), right[j[keep]].tolist(),
+                        strict=True)
+        near.sort()
+        joined: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set((texts.iloc[i] or "").encode(), words)
+            return sets[i]
+
+        found = []
+        for _, i, j in near:
+            a, b = root(own[i]), root(own[j])
+            if a != b and _linked(shingles(i), shingles(j), percent):
+                joined[max(a, b)] = min(a, b)
+                found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    order = ["candidates", "one", "two"]
+
+    def groups(frames):
         rest = None
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            marks = (frame[["key", "one", "two"]] != frame[["key", "one", "two"]].shift()).any(axis=1)
+            marks = (frame[order] != frame[order].shift()).any(axis=1)
             starts = [*np.flatnonzero(marks.to_numpy()), len(frame)]
             for a, b in zip(starts[:-2], starts[1:-1], strict=True):
-                yield compare(frame.iloc[a:b])
+                yield link(frame.iloc[a:b])
             rest = frame.iloc[starts[-2] :] if len(frame) else None
         if rest is not None and len(rest):
-            yield compare(rest)
+            yield link(rest)
 
-    return rows.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInPandas(
-        blocks, "u long, v long")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInPandas(groups, "u long, v long")
 
 
 def near_duplicates(
@@ -244,21 +258,28 @@ def near_duplicates(
     known = written(shared.unionByName(_confirmed(stars, slim, words, percent)))
     first = written(components(known))
 
+    # Only buckets whose members are still apart go on; what they hold together is a group.
     told = members.where("size > 2").join(first, F.col("id") == F.col("node"), "left").select(
-        "key", "id", "size", F.coalesce("component", "id").alias("component"))
+        "key", "id", "centre", F.coalesce("component", "id").alias("component"))
     mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    count = F.ceil(F.col("size") / BLOCK_ROWS).cast("long")
+    apart = written(told.join(mixed.where("low <> high").select("key"), "key", "left_semi").select(
+        "id", "centre", "component").distinct())
+    held = components(apart.select(F.col("id").alias("u"), F.col("centre").alias("v")))
+    rows = written(
+        apart.select("id", "component").distinct()
+        .join(held.select(F.col("node").alias("id"), F.col("component").alias("candidates")), "id")
+        .join(classes.select("id", "n", "signature"), "id"))
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS),
+                       F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    groups = rows.groupBy("candidates").agg(count.alias("blocks"))
     spread = (
-        told.join(mixed.where("low <> high").select("key"), "key", "left_semi")
-        .withColumn("blocks", count)
+        rows.join(groups, "candidates").join(slim, "id")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
-        .select("key", "one", "two", "block", "id", "component")
-        .join(classes.select("id", "n", "signature"), "id")
+        .select("candidates", "one", "two", "block", "id", "component", "n", "signature", "text")
     )
-    rest = written(_close_pairs(spread, percent).join(stars, ["u", "v"], "left_anti"))
-    links = known.unionByName(_confirmed(rest, slim, words, percent))
+    links = known.unionByName(written(_new_links(spread, words, percent)))
     final = written(components(links))
     result = (
         class_of.join(final, F.col("class") == F.col("node"), "left")
