@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ballotcredit.constants import FEDERAL_DEPUTY, FIRST_YEAR
 from ballotcredit.functions.text import birth_place
 from ballotcredit.operators.joins import key_join
+from ballotcredit.operators.rows import drop_matching
 
 KEYS = ("id_candidato_bd", "ano", "tipo_eleicao")
 
@@ -29,7 +30,8 @@ def candidate_frame(
         & (F.col("ano") >= first_year)
     )
     results = voting.filter(F.col("ano") >= first_year)
-    frame = key_join(people, results, KEYS, match_nulls=("tipo_eleicao",)).drop("email")
+    frame = drop_matching(
+        key_join(people, results, KEYS, match_nulls=("tipo_eleicao",)), "email")
     if "municipio_nascimento" in frame.columns:
         frame = frame.withColumn("municipio_nascimento", birth_place(F.col("municipio_nascimento")))
     return frame

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ballotcredit.constants import PARTY
 from ballotcredit.functions.numeric import if_else
 from ballotcredit.operators.joins import key_join
+from ballotcredit.operators.rows import distinct_on
 
 
 def coalition_map(coalition: DataFrame) -> DataFrame:
     """Distinct (ano, sg_uf, sg_partido, colig); a party may have several rows or NULL."""
-    return coalition.select(
-        "ano", "sg_uf", "sg_partido", F.col("ds_composicao_coligacao").alias("colig")
-    ).distinct()
+    named = coalition.withColumnRenamed("ds_composicao_coligacao", "colig")
+    return distinct_on(named, ["ano", "sg_uf", "sg_partido", "colig"])
 
 
 def party_coalitions(coalitions: DataFrame, party: str = PARTY) -> DataFrame:

@@ -37,15 +37,6 @@ def sample_condition(sample: str, bandwidth: float = BANDWIDTH, party: str = PAR
     return conditions[name] & (F.col("ano") == int(year)) if year else conditions[name]
 
 
-def subsample(
-    panel: DataFrame, sample: str, bandwidth: float = BANDWIDTH, party: str = PARTY
-) -> DataFrame:
-    """One sample of the panel, with the text label of ``elected``."""
-    return panel.filter(sample_condition(sample, bandwidth, party)).withColumn(
-        "elected_label", label(F.col("elected"), ELECTED_LABELS)
-    )
-
-
 def panel_subsamples(
     panel: DataFrame,
     samples: Sequence[str],

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballotcredit.functions.numeric import nan_to_null
+
 
 def keep_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Select ``names`` in order; a name given twice is kept once."""
@@ -51,8 +53,11 @@ def top_with_ties(df: DataFrame, keys: Sequence[str], by: str, n: int) -> DataFr
     """Rows among the ``n`` largest of ``by`` per key; rows tied with the last one all stay.
 
     Limited per task before the shuffle like ``first_row_per_key``. Rows without a value of
-    ``by`` are left out; ``by`` must not hold NaN, which Spark ranks first.
+    ``by``, NaN included, are left out.
     """
     place = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(by).desc()))
-    ranked = df.filter(F.col(by).isNotNull()).withColumn("_place", place)
+    value = F.col(by)
+    if dict(df.dtypes)[by] in ("double", "float"):
+        value = nan_to_null(value)
+    ranked = df.filter(value.isNotNull()).withColumn("_place", place)
     return ranked.filter(F.col("_place") <= n).drop("_place")

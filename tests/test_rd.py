@@ -143,14 +143,14 @@ def test_subsamples(sample):
     assert sizes["all"] == 400 == sum(sizes[f"all_{y}"] for y in (2006, 2010, 2014))
     assert sizes["pt"] == 100 and sizes["pt_colig"] == 200
     whole = sample.filter("sample = 'all'").drop("sample", "elected_label")
-    inside = panels.subsample(whole, "reg")
+    inside = panels.panel_subsamples(whole, ["reg"])
     assert inside.count() == sizes["reg"]
     assert inside.agg(F.max("abs_vote_margin")).first()[0] <= H
     labels = inside.select("elected", "elected_label").distinct()
     assert rows(labels) == [(0, "Não eleito"), (1, "Eleito")]
-    assert panels.subsample(whole, "pt_colig_2010").count() == sizes["pt_colig_2010"]
+    assert panels.panel_subsamples(whole, ["pt_colig_2010"]).count() == sizes["pt_colig_2010"]
     with pytest.raises(ValueError):
-        panels.subsample(whole, "other")
+        panels.panel_subsamples(whole, ["other"])
 
 
 def test_pooling_needs_equal_layouts(table):
