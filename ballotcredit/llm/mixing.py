@@ -140,7 +140,8 @@ def mix_sources(
         base = written(base)
     sizes = base.groupBy(F.col(own["m_source"]).alias("source")).agg(
         F.sum(own["m_size"]).alias("source_size"))
-    targets = source_targets(sizes, weights, cap)
+    # Tables of a row per source and per shard are written: both sides of their joins read them.
+    targets = written(source_targets(sizes, weights, cap))
     seats = F.round(F.col("all") / block_words).cast("long")
     won = (
         sainte_lague(targets.withColumn("seats", seats), [], "target", "seats")
@@ -154,11 +155,11 @@ def mix_sources(
         won.toDF(*[own[c] for c in won.columns]),
         F.col(own["m_source"]).eqNullSafe(F.col(own["t_source"])),
     ).withColumn(own["m_shard"], F.pmod(F.shiftright(own["m_order"], 20), F.col(own["n_shards"])))
-    quotas = sainte_lague(
+    shards = written(
         placed.groupBy(F.col(own["t_place"]).alias("q_source"), F.col(own["m_shard"]).alias("place"))
-        .agg(F.sum(own["m_size"]).alias("shard_size"), F.first(own["t_won"]).alias("seats")),
-        ["q_source"], "shard_size", "seats",
-    ).select("q_source", F.col("place").alias("q_shard"), "shard_size", "won")
+        .agg(F.sum(own["m_size"]).alias("shard_size"), F.first(own["t_won"]).alias("seats"))
+    )
+    quotas = sainte_lague(shards, ["q_source"], "shard_size", "seats").select("q_source", F.col("place").alias("q_shard"), "shard_size", "won")
     own |= {n: fresh(placed.columns, n) for n in ("q_source", "q_shard", "shard_size", "won")}
     shard = Window.partitionBy(own["t_place"], own["m_shard"])
     line = shard.orderBy(own["m_order"], own["m_size"], column(placed, doc_id)).rowsBetween(
