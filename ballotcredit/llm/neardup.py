@@ -31,6 +31,7 @@ SYMBOLS, CHUNKS, WIDE = 128, 10, 4
 # Pairs that differ in more symbols have a similarity of 0.75 with a probability under 1e-6.
 MOST_ERRORS = 57
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+ID_BITS = 24
 _GROUP = 1 << 16  # shingles hashed at a time
 _RANDOM = np.random.default_rng(20)
 _TIMES = (_RANDOM.integers(0, 2**32, SYMBOLS, dtype=np.uint32) | np.uint32(1))
@@ -119,8 +120,61 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("id", "signature").mapInArrow(keyed, "key long, id long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity; texts of other documents stay out."""
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose signatures and sizes do not rule a link out."""
+
+    @F.arrow_udf("boolean")
+    def near(left: pa.Array, right: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(side.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+                for side in (left, right))
+        return pa.array((x != y).sum(1) <= MOST_ERRORS, pa.bool_())
+
+    one = classes.select(F.col("id").alias("u"), F.col("signature").alias("u_signature"))
+    two = classes.select(F.col("id").alias("v"), F.col("signature").alias("v_signature"))
+    met = pairs.join(one, "u").join(two, "v")
+    return met.where(near("u_signature", "v_signature")).select("u", "v")
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``, and few others, before any shuffle of texts.
+
+    The ids set bits of a map of fixed size; tasks drop the rows that miss it.
+    """
+    width = (1 << ID_BITS) // 8
+
+    def place(values: np.ndarray) -> np.ndarray:
+        x = values.astype(np.uint64) * _MIX
+        return (x >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+    def mark(frames):
+        bits = np.zeros(1 << ID_BITS, bool)
+        for frame in frames:
+            bits[place(frame["id"].to_numpy())] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    def merge(frames):
+        bits = np.zeros(width, np.uint8)
+        for frame in frames:
+            for b in frame["bits"]:
+                bits |= np.frombuffer(b, np.uint8)
+        yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+    parts = ids.select("id").mapInPandas(mark, "bits binary").repartition(4).mapInPandas(
+        merge, "bits binary").collect()
+    bits = np.zeros(width, np.uint8)
+    for r in parts:
+        bits |= np.frombuffer(r.bits, np.uint8)
+
+    def keep(batches):
+        known = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[place(batch.column(0).to_numpy())]))
+
+    return docs.where("id IS NOT NULL").mapInArrow(keep, "id long, text string")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the similarity."""
 
     @F.arrow_udf("boolean")
     def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -139,9 +193,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
             found.append(_linked(sets(a), sets(b), percent))
         return pa.array(found, pa.bool_())
 
-    ids = pairs.select(F.col("u").alias("id")).unionByName(
-        pairs.select(F.col("v").alias("id"))).distinct()
-    texts = docs.join(ids, "id", "left_semi").select("id", "text")
     joined = pairs.join(texts.toDF("u", "u_text"), "u").join(texts.toDF("v", "v_text"), "v")
     return joined.where(linked("u_text", "v_text")).select("u", "v").distinct()
 
@@ -247,15 +298,17 @@ def near_duplicates(
     buckets = keys.groupBy("key").agg(
         F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(keys.join(buckets, "key"))
-    stars = written(members.where("id <> centre").select(
-        F.col("id").alias("u"), F.col("centre").alias("v")).distinct())
+    stars = members.where("id <> centre").select(
+        F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
+    texts = written(_texts(slim, members.select("id").distinct()))
     # an id with several texts joins their classes
     class_of = written(sketches.where("digest IS NOT NULL").select("id", "digest").join(
         classes.select("digest", F.col("id").alias("class")), "digest").select("id", "class"))
     shared = class_of.groupBy("id").agg(F.min("class").alias("v"), F.max("class").alias("w"),
                                         F.collect_set("class").alias("all"))
     shared = shared.where("v <> w").select(F.explode("all").alias("u"), "v")
-    known = written(shared.unionByName(_confirmed(stars, slim, words, percent)))
+    known = written(shared.unionByName(
+        _confirmed(written(_near(stars, classes)), texts, words, percent)))
     first = written(components(known))
 
     # Only buckets whose members are still apart go on; what they hold together is a group.
@@ -273,17 +326,24 @@ def near_duplicates(
                        F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
     groups = rows.groupBy("candidates").agg(count.alias("blocks"))
     spread = (
-        rows.join(groups, "candidates").join(slim, "id")
+        rows.join(groups, "candidates").join(texts, "id")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with"))
         .select("candidates", "one", "two", "block", "id", "component", "n", "signature", "text")
     )
-    links = known.unionByName(written(_new_links(spread, words, percent)))
-    final = written(components(links))
+    # New links join components of the first round, so only those are joined anew.
+    found = written(_new_links(spread, words, percent))
+    label = first.select("node", F.col("component").alias("label"))
+    joined = found.join(label.withColumnsRenamed({"node": "u", "label": "a"}), "u", "left").join(
+        label.withColumnsRenamed({"node": "v", "label": "b"}), "v", "left").select(
+        F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
+    merged = components(joined).select(F.col("node").alias("old"), F.col("component").alias("new"))
     result = (
-        class_of.join(final, F.col("class") == F.col("node"), "left")
-        .select("id", F.coalesce("component", "class").alias("component")).distinct()
+        class_of.join(label, F.col("class") == F.col("node"), "left")
+        .select("id", F.coalesce("label", "class").alias("old")).distinct()
+        .join(merged, "old", "left")
+        .select("id", F.coalesce("new", "old").alias("component")).distinct()
     )
     rows = sketches.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
     return rows.join(result, F.col("doc_id") == F.col("id"), "left").select(
