@@ -9,6 +9,7 @@ must map to each other consistently.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -111,54 +112,90 @@ def item_windows(text: str, size: int, least_plain: int) -> tuple[np.ndarray, np
     return found[places], places, size
 
 
+def _matches(item: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places (in the item, in the document) where windows of the same hash begin."""
+    hashes, places = item
+    order = np.argsort(hashes, kind="stable")
+    known, where = hashes[order], places[order]
+    left, right = np.searchsorted(known, doc, "left"), np.searchsorted(known, doc, "right")
+    at = np.flatnonzero(right > left)
+    counts = right[at] - left[at]
+    first = np.repeat(left[at] - np.cumsum(counts) + counts, counts)
+    return where[first + np.arange(len(first))], np.repeat(at, counts)
+
+
+def _runs(i: np.ndarray, d: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(item token, document token, tokens) of each unbroken run of matches on one diagonal."""
+    if not len(i):
+        return []
+    order = np.lexsort((i, d - i))
+    i, d = i[order], d[order]
+    breaks = np.flatnonzero((np.diff(d - i) != 0) | (np.diff(i) > size)) + 1
+    begin = np.concatenate([[0], breaks])
+    end = np.concatenate([breaks, [len(i)]]) - 1
+    return sorted(zip(i[begin].tolist(), d[begin].tolist(), (i[end] - i[begin] + size).tolist(),
+                      strict=True), key=lambda r: r[1])
+
+
+def _aligned(runs: list[tuple[int, int, int]], low: int, high: int,
+             item_plain: np.ndarray, doc_plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of an item and of doc[low:high] matched one to one, the longest runs first, of equal
+    ones those with most equal words."""
+    parts = []
+    for i, d, n in runs:
+        cut = max(0, low - d)
+        i, d, n = i + cut, d + cut, min(n, high - d) - cut
+        if n > 0:
+            equal = int((item_plain[i : i + n] == doc_plain[d : d + n]).sum())
+            parts.append((-n, -equal, d, i))
+    free_i, free_d = np.ones(len(item_plain), bool), np.ones(high - low, bool)
+    left, right = [], []
+    for n, _, d, i in sorted(parts):
+        free = np.flatnonzero(free_i[i : i - n] & free_d[d - low : d - low - n])
+        free_i[i + free] = False
+        free_d[d - low + free] = False
+        left.append(i + free)
+        right.append(d + free)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def leak(doc: str, item: str, size: int, least_plain: int) -> tuple[float, int, int, bool, bool]:
     """How an item stands in a document: (coverage, first token, token after the last, consistent,
-    changed), for the stretch of the document that covers most of the item's tokens."""
-    hashes, places, size = item_windows(item, size, least_plain)
+    changed), for the consistent stretch of the document that covers most of the item's tokens.
+
+    Within a stretch each token of the item stands for one token of the document. Windows of equal
+    words are judged on their own too, as other variants of the item may lie beside a copy.
+    """
     item_marks, item_plain = template(item)
     doc_marks, doc_plain = template(doc)
-    if not len(hashes):
-        return 0.0, 0, 0, False, False
-    order = np.argsort(hashes, kind="stable")
-    known, where = hashes[order], places[order]
-    mine = windows(doc_marks, size)
-    left, right = np.searchsorted(known, mine, "left"), np.searchsorted(known, mine, "right")
-    at = np.flatnonzero(right > left)
+    found, places, size = item_windows(item, size, least_plain)
+    words = windows(item_plain, size)
     number = len(item_marks)
-    best, span = 0, (0, 0)
-    pairs: list[tuple[int, int]] = []
-    reach = number + number // 2 + size
-    low, covered, count = 0, np.zeros(number, np.int32), 0
-
-    def change(d: int, by: int) -> None:
-        nonlocal count
-        for i in where[left[d] : right[d]]:
-            part = covered[i : i + size]
-            count += int((part == 0).sum()) if by > 0 else 0
-            part += by
-            count -= int((part == 0).sum()) if by < 0 else 0
-
-    for k, d in enumerate(at):
-        change(d, 1)
-        while d - at[low] > reach:
-            change(at[low], -1)
-            low += 1
-        if count > best:
-            best, span = count, (low, k)
-    if not best:
-        return 0.0, 0, 0, False, False
-    stretch = at[span[0] : span[1] + 1]
-    pairs = sorted({(int(i) + j, int(d) + j) for d in stretch for i in where[left[d] : right[d]]
-                    for j in range(size)})
-    slots: dict[int, Counter[int]] = {}
-    for i, d in pairs:
-        if item_marks[i] != item_plain[i]:
-            slots.setdefault(int(item_plain[i]), Counter())[int(doc_plain[d])] += 1
-    total = sum(sum(c.values()) for c in slots.values())
-    agreed = sum(c.most_common(1)[0][1] for c in slots.values())
-    changed = any(c.most_common(1)[0][0] != value for value, c in slots.items())
-    return (best / number, int(stretch[0]), int(stretch[-1]) + size,
-            agreed >= 0.8 * total, changed)
+    best = (False, 0.0, False, 0, 0)
+    for kind in ((words, np.arange(len(words)), doc_plain), (found, places, doc_marks)):
+        runs = _runs(*_matches(kind[:2], windows(kind[2], size)), size)
+        longest = max((n for _, _, n in runs), default=0)
+        first = 0
+        for low in sorted({d for _, d, _ in runs}):
+            while runs[first][1] + longest <= low:
+                first += 1
+            for high in (low + number, low + number + number // 2 + 2 * size):
+                high = min(high, len(doc_plain))
+                last = bisect_left(runs, high, key=lambda r: r[1])
+                i, d = _aligned(runs[first:last], low, high, item_plain, doc_plain)
+                slots: dict[int, Counter[int]] = {}
+                for k in np.flatnonzero(item_marks[i] != item_plain[i]):
+                    slots.setdefault(int(item_plain[i[k]]), Counter())[int(doc_plain[d[k]])] += 1
+                total = sum(sum(c.values()) for c in slots.values())
+                agreed = sum(c.most_common(1)[0][1] for c in slots.values())
+                same = all(c.most_common(1)[0][0] == value for value, c in slots.items())
+                judged = (agreed >= 0.8 * total, len(i) / number, same)
+                if judged > best[:3]:
+                    best = (*judged, int(d.min()), int(d.max()) + 1)
+            if best[:3] == (True, 1.0, True):
+                break
+    consistent, covered, same, begin, end = best
+    return covered, begin, end, consistent, bool(covered) and not same
 
 
 def _bitmap(index: DataFrame) -> np.ndarray:
@@ -203,8 +240,8 @@ def find_leaks(
     edges; numbers, units after numbers, and capitalised words within a sentence are placeholders.
     An item is found if windows of ``window`` tokens (all of a shorter item) that it shares with a
     stretch of the document, not much longer than the item, cover at least ``coverage`` of its
-    tokens, and its placeholder values map to the document's consistently: four fifths of the
-    occurrences agree. ``changed`` tells that some value differs. Windows with fewer plain words
+    tokens one to one, and its placeholder values map to the document's consistently: four fifths of
+    the occurrences agree. Every such stretch is judged. ``changed`` tells that some value differs. Windows with fewer plain words
     than ``least_plain`` say nothing; an item of such windows alone is never found.
 
     Missing or empty texts hold and match nothing; rows without an id are left out, as a result

@@ -69,3 +69,21 @@ def test_verbatim_items_of_the_sample(spark, sample):
     shown = dict(texts)
     for d, i in got:  # what is found shares at least half of the item word for word
         assert sum(p in shown[d] for p in parts[i]) >= 0.5 * len(parts[i])
+
+
+TWICE = ("A factory has two machines. Machine A makes 5 parts in 3 hours. Machine A makes 7 parts in "
+         "4 hours. How many parts are made in total?")
+
+
+def test_repeated_templates_and_variants_beside_a_copy(spark, docs):
+    other = TWICE.replace("5", "11").replace("7", "13").replace("3", "2").replace("4", "6")
+    last, rest = TWICE.split(". ")[2:], TWICE.split(". ")[:2]
+    moved = ". ".join(last + rest)
+    got = pairs(docs((1, TWICE), (2, f"{other} {TWICE}"), (3, f"{TWICE} {other}"), (4, other),
+                     (5, moved)), [(1, TWICE)], spark)
+    n = len(TWICE.split())
+    assert {d for d, _ in got} == {1, 2, 3, 4, 5}
+    assert [got[d, 1].changed for d in (1, 2, 3, 4)] == [False, False, False, True]
+    assert [got[d, 1].first_token for d in (1, 2, 3)] == [0, n, 0]
+    assert all(got[d, 1].coverage == 1 and got[d, 1].end_token - got[d, 1].first_token == n
+               for d in (1, 2, 3, 4))
