@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so a question with other numbers or names has
-the same template. Windows of template words are hashed and joined between documents and benchmark
-items; pairs that meet are aligned on their whole texts, and the values behind the placeholders
+the same template. Windows of template words, and of plain words for copies in another letter case,
+are hashed and joined between documents and benchmark items; pairs that meet are aligned on their whole texts, and the values behind the placeholders
 must map to each other consistently.
 """
 
@@ -63,13 +63,14 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def template(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(template hash, plain hash) of each token of a text; they differ at placeholders."""
+def readings(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, template hash with names at sentence starts, plain hash) of each token of a
+    text; the templates differ from the plain hash at placeholders."""
     counts = [len(line.split()) for line in text.split("\n")]
     tokens = text.split()
     codes = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
     if not len(codes):
-        return codes, codes
+        return codes, codes, codes
     flags = (codes & np.uint64(15)).astype(np.int64)
     starts = np.zeros(len(codes), bool)
     begins = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
@@ -82,34 +83,54 @@ def template(text: str) -> tuple[np.ndarray, np.ndarray]:
     unit = (flags & UNIT) > 0
     unit[1:] &= number[:-1]
     unit[0] = False
-    name = ((flags & TITLE) > 0) & ~starts & ~unit
+    title = ((flags & TITLE) > 0) & ~unit
     result = plain.copy()
-    result[name] = _MARKS[TITLE]
-    result[unit] = _MARKS[UNIT]
-    result[number] = _MARKS[NUMBER]
-    return result, plain
+    result[title & ~starts] = _MARKS[TITLE]
+    named = plain.copy()
+    named[title] = _MARKS[TITLE]
+    for marks in (result, named):
+        marks[unit] = _MARKS[UNIT]
+        marks[number] = _MARKS[NUMBER]
+    return result, named, plain
+
+
+def template(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(template hash, plain hash) of each token of a text; they differ at placeholders."""
+    marks, _, plain = readings(text)
+    return marks, plain
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` tokens."""
     if len(hashes) < size or not size:
         return np.zeros(0, np.uint64)
-    total = np.full(len(hashes) - size + 1, size, np.uint64)
-    for k in range(size):
-        total = (total + hashes[k : len(hashes) - size + 1 + k]) * _MIX
+    total = hashes * _MIX
+    total ^= total >> np.uint64(29)
+    width = 1
+    while width < size:  # two runs that may overlap make a longer one
+        step = min(width, size - width)
+        total = total[:-step] * _MIX + total[step:]
         total ^= total >> np.uint64(29)
+        width += step
     return total
 
 
-def item_windows(text: str, size: int, least_plain: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and places of an item's windows that hold enough plain words, and their size."""
-    marks, plain = template(text)
-    size = min(size, len(marks))
-    found = windows(marks, size)
-    words = np.concatenate([[0], np.cumsum(marks == plain)])
-    enough = words[size:] - words[: len(found)] >= min(least_plain, size) if len(found) else []
-    places = np.flatnonzero(enough)
-    return found[places], places, size
+def item_windows(
+    text: str, size: int, least_plain: int
+) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Hashes and places of an item's windows by each of its readings, and their size: templates
+    where they hold enough plain words, all windows of plain words."""
+    *marked, plain = readings(text)
+    size = min(size, len(plain))
+    result = []
+    for marks in marked:
+        found = windows(marks, size)
+        words = np.concatenate([[0], np.cumsum(marks == plain)])
+        enough = words[size:] - words[: len(found)] >= min(least_plain, size) if len(found) else []
+        places = np.flatnonzero(enough)
+        result.append((found[places], places))
+    found = windows(plain, size)
+    return [*result, (found, np.arange(len(found)))], size
 
 
 def _matches(item: tuple[np.ndarray, np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,14 +187,15 @@ def leak(doc: str, item: str, size: int, least_plain: int) -> tuple[float, int,
     Within a stretch each token of the item stands for one token of the document. Windows of equal
     words are judged on their own too, as other variants of the item may lie beside a copy.
     """
-    item_marks, item_plain = template(item)
-    doc_marks, doc_plain = template(doc)
-    found, places, size = item_windows(item, size, least_plain)
-    words = windows(item_plain, size)
+    item_marks, _, item_plain = readings(item)
+    doc_readings = readings(doc)
+    doc_plain = doc_readings[2]
+    found, size = item_windows(item, size, least_plain)
+    met = [_matches(f, windows(marks, size)) for f, marks in zip(found, doc_readings, strict=True)]
     number = len(item_marks)
     best = (False, 0.0, False, 0, 0)
-    for kind in ((words, np.arange(len(words)), doc_plain), (found, places, doc_marks)):
-        runs = _runs(*_matches(kind[:2], windows(kind[2], size)), size)
+    for i, d in (met[2], tuple(map(np.concatenate, zip(*met, strict=True)))):
+        runs = _runs(i, d, size)
         longest = max((n for _, _, n in runs), default=0)
         first = 0
         for low in sorted({d for _, d, _ in runs}):
@@ -184,7 +206,8 @@ def leak(doc: str, item: str, size: int, least_plain: int) -> tuple[float, int,
                 last = bisect_left(runs, high, key=lambda r: r[1])
                 i, d = _aligned(runs[first:last], low, high, item_plain, doc_plain)
                 slots: dict[int, Counter[int]] = {}
-                for k in np.flatnonzero(item_marks[i] != item_plain[i]):
+                other = (item_marks[i] != item_plain[i]) | (item_plain[i] != doc_plain[d])
+                for k in np.flatnonzero(np.isin(item_plain[i], item_plain[i[other]])):
                     slots.setdefault(int(item_plain[i[k]]), Counter())[int(doc_plain[d[k]])] += 1
                 total = sum(sum(c.values()) for c in slots.values())
                 agreed = sum(c.most_common(1)[0][1] for c in slots.values())
@@ -237,12 +260,15 @@ def find_leaks(
     """(doc_id, item_id, coverage, first_token, end_token, changed): items found in documents.
 
     Tokens are runs without white space, compared in lower case without punctuation at their
-    edges; numbers, units after numbers, and capitalised words within a sentence are placeholders.
+    edges; numbers, units after numbers, and capitalised words are placeholders; a capitalised word that
+    begins a sentence or line is read both as a name and as a word. Windows of plain words are
+    compared beside the templates, so copies meet whatever their letter case and line ends.
     An item is found if windows of ``window`` tokens (all of a shorter item) that it shares with a
     stretch of the document, not much longer than the item, cover at least ``coverage`` of its
     tokens one to one, and its placeholder values map to the document's consistently: four fifths of
-    the occurrences agree. Every such stretch is judged. ``changed`` tells that some value differs. Windows with fewer plain words
-    than ``least_plain`` say nothing; an item of such windows alone is never found.
+    the occurrences agree. Every such stretch is judged. ``changed`` tells that some value differs. Templates of windows with
+    fewer plain words than ``least_plain`` say nothing; an item of such windows alone is found only
+    by its plain words.
 
     Missing or empty texts hold and match nothing; rows without an id are left out, as a result
     could not name them; rows that repeat an id give one row per pair, the one of most coverage.
@@ -261,8 +287,8 @@ def find_leaks(
         for batch in batches:
             rows, hashes, sizes = [], [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                found, _, size = item_windows(value, window, least_plain)
-                found = np.unique(found)
+                found, size = item_windows(value, window, least_plain)
+                found = np.unique(np.concatenate([h for h, _ in found]))
                 rows += [i] * len(found)
                 hashes += found.astype(np.int64).tolist()
                 sizes += [size] * len(found)
@@ -278,10 +304,11 @@ def find_leaks(
         for batch in batches:
             rows, hashes = [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                marks, _ = template(value)
+                read = readings(value)
                 for size in sizes:
-                    found = windows(marks, size)
-                    found = np.unique(found[bits[found & np.uint64((1 << _BITS) - 1)]])
+                    found = [windows(marks, size) for marks in read]
+                    found = np.unique(np.concatenate([
+                        h[bits[h & np.uint64((1 << _BITS) - 1)]] for h in found]))
                     rows += [i] * len(found)
                     hashes += found.astype(np.int64).tolist()
             yield pa.RecordBatch.from_arrays(

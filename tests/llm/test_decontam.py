@@ -87,3 +87,15 @@ def test_repeated_templates_and_variants_beside_a_copy(spark, docs):
     assert [got[d, 1].first_token for d in (1, 2, 3)] == [0, n, 0]
     assert all(got[d, 1].coverage == 1 and got[d, 1].end_token - got[d, 1].first_token == n
                for d in (1, 2, 3, 4))
+
+
+def test_letter_case_wrapping_thin_items_and_names_at_sentence_starts(spark, docs):
+    thin = "Anna Bob 1 2 Carl 3 4 Dora 5 6"
+    short = "Tom has 5 apples. Tom gives 2 to Ann."
+    names = "We ask Anna Berg in Boston whether Carl Dunn met Eva Fry in Genoa or Harry Iles"
+    rows = [(1, ITEM.upper()), (2, ITEM.lower()), (3, ITEM.replace(" ", "\n")), (4, f"so {thin} on"),
+            (5, "Eva has 7 apples. Eva gives 3 to Jim."), (6, "Eva has many apples."),
+            (7, names.lower()), (8, "Eva Jim 7 8 Tom 9 1 Bob 2 3"), (9, names.replace(" ", "\n"))]
+    got = pairs(docs(*rows), [(1, ITEM), (2, thin), (3, short), (4, names)], spark)
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (7, 4), (9, 4)}
+    assert all(got[k].coverage == 1 and got[k].changed == (k == (5, 3)) for k in got)
