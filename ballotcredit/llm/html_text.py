@@ -1,9 +1,10 @@
 """Main text of web pages by two passes of block rules.
 
-The page is cut into blocks at block-level tags. The first pass classifies each block: by the
-element that holds it where that says what it is (menu, footer, form, advert, article), otherwise
-by its length, link density and stop-word density. Blocks too short to tell stay open; the second
-pass gives them the label of the nearest decided neighbours.
+The page is cut into blocks at block-level tags. The first pass classifies each block by its length,
+link density and stop-word density and by the element that holds it: menus, footers and the like are
+out; a form or a class word is a doubt that gives way where the prose of the page is in it; an
+article is in but for its lists of links. Blocks too short to tell stay open; the second pass gives
+them the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ STOP_WORDS = frozenset(
 # Elements of markup. Text of the first kind ends only at its own end tag.
 RAW = ("script", "style", "noscript", "title", "textarea", "iframe", "template")
 HIDDEN = ("head", "svg", "math", "object", "select", "canvas", "audio", "video", "datalist")
-OUTSIDE = frozenset({"nav", "header", "footer", "aside", "form", "button", "menu", "dialog",
-                     "fieldset", "label", "legend"})
+OUTSIDE = frozenset({"nav", "header", "footer", "aside", "button", "menu", "dialog",
+                     "label", "legend"})
+DOUBTED = frozenset({"form", "fieldset"})
 INSIDE = frozenset({"article", "main"})
 BLOCKS = frozenset(
     """
@@ -71,46 +73,65 @@ TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>")
 CUT_TAG = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 WORDS = re.compile(r"\w+")
+HEADER = re.compile(r"[\w-]*(?:header|masthead)\b")
 NEGATED = re.compile(r"\b(?:has|no|with|without|hide|show)-[\w-]+")
 
-GOOD, BAD, OPEN = 1, -1, 0
+GOOD, BAD, OPEN, UNSEEN, DOUBT = 1, -1, 0, -2, 2
 
 
-def _beside(name: str, attributes: str) -> bool:
-    """Whether an element stands beside the article: by its kind, its name or being hidden."""
-    if name in OUTSIDE:
-        return True
+def _beside(name: str, attributes: str, inside: bool) -> int:
+    """How an element stands beside the article: BAD by its kind, UNSEEN if hidden, DOUBT by its
+    name or if it is a form, else OPEN. Within an article headers belong to it."""
+    kind = DOUBT if name in DOUBTED else OPEN
+    if name in OUTSIDE and not (inside and name == "header"):
+        kind = BAD
     if not attributes.strip():
-        return False
+        return kind
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
-        return True
+        return UNSEEN
     for key, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "").lower()
         key = key.lower()
-        if key in ("class", "id", "role") and name not in ("html", "body") and BESIDE.search(
-            NEGATED.sub("", value)
-        ):
-            return True
         if key == "style" and SECRET_STYLE.search(value) or key == "aria-hidden" and value == "true":
-            return True
-    return False
+            return UNSEEN
+        if kind == OPEN and key in ("class", "id", "role") and name not in ("html", "body", "main"):
+            value = NEGATED.sub("", value)
+            if BESIDE.search(HEADER.sub("", value) if inside else value):
+                kind = DOUBT
+    return kind
+
 
+def _held(name: str, kind: int, label: int, doubts: tuple[int, ...], new: int) -> tuple[
+        int, tuple[int, ...]]:
+    """Label and doubts of an element in one of the given label and doubts."""
+    if UNSEEN in (kind, label):
+        return UNSEEN, ()
+    if kind == BAD:
+        return BAD, doubts
+    if name == "main":
+        return GOOD, ()
+    if name in INSIDE:
+        return GOOD, (*doubts, new) if kind == DOUBT or label == BAD else doubts
+    return label, (*doubts, new) if kind == DOUBT and label != BAD else doubts
 
-def blocks(page: str) -> list[tuple[str, int, str, int]]:
-    """Blocks of a page in order: (text, label by container, tag, characters in links)."""
+
+def blocks(page: str) -> list[tuple[str, int, str, int, tuple[int, ...]]]:
+    """Blocks of a page in order: (text, label by container, tag, characters in links, numbers of
+    the doubted elements that hold it)."""
     page = HIDDEN_PART.sub(lambda m: "" if m[0].startswith("<!--") else " ", page)
     page = CUT_TAG.sub("", page)
-    found: list[tuple[str, int, str, int]] = []
-    stack: list[tuple[str, int]] = []
+    found: list[tuple[str, int, str, int, tuple[int, ...]]] = []
+    stack: list[tuple[str, tuple[int, tuple[int, ...]]]] = []
     opened: Counter[str] = Counter()
-    label, links, tag, at, linked = OPEN, 0, "", 0, 0
+    label: tuple[int, tuple[int, ...]] = (OPEN, ())
+    links, tag, at, linked = 0, "", 0, 0
     parts: list[str] = []
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append((text, label, tag, linked))
+            found.append((text, label[0], tag, linked, label[1]))
         parts.clear()
         linked = 0
 
@@ -122,7 +143,7 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
 
     def pop(to: int) -> None:
         nonlocal label
-        held = stack[to - 1][1] if to else OPEN
+        held = stack[to - 1][1] if to else (OPEN, ())
         if held != label:
             close()
         opened.subtract(x for x, _ in stack[to:])
@@ -158,8 +179,7 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
                 top -= 1
             if top >= 0 and stack[top][0] in ENDS[name]:
                 pop(top)
-        beside = _beside(name, m[3]) and not (name == "header" and label == GOOD)
-        held = BAD if beside or label == BAD else GOOD if name in INSIDE else label
+        held = _held(name, _beside(name, m[3], label[0] == GOOD), *label, m.start())
         if held != label:
             close()
         stack.append((name, held))
@@ -173,20 +193,60 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
     return found
 
 
-def labels(found: list[tuple[str, int, str, int]], short: int, link: float, stop: float) -> list[bool]:
+def _cleared(found: list[tuple[str, int, str, int, tuple[int, ...]]], weights: list[int],
+             running: list[int]) -> set[int]:
+    """Doubted elements that hold half of the page's weight or more while no article beside them
+    holds any, or running text; for elements without a part of an article, any text."""
+    total, cleared = sum(weights), set()
+    share: Counter[int] = Counter()
+    for (*_, doubts), weight in zip(found, weights, strict=True):
+        share.update(dict.fromkeys(doubts, weight))
+    inside = {new for _, held, _, _, doubts in found if held == GOOD for new in doubts}
+    for new in sorted(share):
+        if share[new] and 2 * share[new] >= total and not any(
+            (w or new not in inside or r and tag[:1] != "h") and held == GOOD and new not in doubts
+            and cleared.issuperset(doubts)
+            for (_, held, tag, _, doubts), w, r in zip(found, weights, running, strict=True)
+        ):
+            cleared.add(new)
+    return cleared
+
+
+def labels(found: list[tuple[str, int, str, int, tuple[int, ...]]], short: int, link: float,
+           stop: float) -> list[bool]:
     """Whether each block belongs to the main text, by the two passes."""
+    dense, sizes, heavy = [], [], []
+    for text, _, _, linked, _ in found:
+        words = WORDS.findall(text.lower())
+        sizes.append(len(words))
+        heavy.append(linked > link * len(text))
+        dense.append(sum(w in STOP_WORDS for w in words) >= stop * len(words))
+    cleared: set[int] = set()
+    if any(doubts for *_, doubts in found):
+        seen = [held not in (BAD, UNSEEN) and not h for (_, held, *_), h in
+                zip(found, heavy, strict=True)]
+        running = [n * (y and n >= short) for n, y in zip(sizes, seen, strict=True)]
+        for weights in ([n * d for n, d in zip(running, dense, strict=True)], running,
+                        [n * (y and x[1] == GOOD) for n, y, x in zip(sizes, seen, found, strict=True)]):
+            if any(weights):
+                cleared = _cleared(found, weights, running)
+                break
+    listed = [h and n < short and x[1] == GOOD and not x[2][:1] == "h" for h, n, x in
+              zip(heavy, sizes, found, strict=True)]
     first = []
-    for text, held, _, linked in found:
-        words = [] if held else [w.lower() for w in WORDS.findall(text)]
-        if held:
-            first.append(held)
-        elif linked > link * len(text):
+    for k, (_, held, _, _, doubts) in enumerate(found):
+        if held in (BAD, UNSEEN) or not cleared.issuperset(doubts):
+            first.append(BAD)
+        elif held == GOOD:
+            first.append(BAD if any(len(part) == 3 and all(part) for part in (
+                listed[max(0, k - 2) : k + 1], listed[max(0, k - 1) : k + 2], listed[k : k + 3]))
+                else GOOD)
+        elif heavy[k]:
             first.append(BAD)
-        elif len(words) < short:
+        elif sizes[k] < short:
             first.append(OPEN)
         else:
-            dense = sum(w in STOP_WORDS for w in words) >= stop * len(words)
-            first.append(GOOD if dense else BAD if len(words) < 3 * short else OPEN)
+            first.append(GOOD if dense[k] else BAD if sizes[k] < 3 * short else OPEN)
     before, last = [], OPEN
     for x in first:
         last = x or last
@@ -197,7 +257,7 @@ def labels(found: list[tuple[str, int, str, int]], short: int, link: float, stop
         after.append(last)
     after.reverse()
     keep = []
-    for x, a, b, (_, _, tag, _) in zip(first, before, after, found, strict=True):
+    for x, a, b, (_, _, tag, _, _) in zip(first, before, after, found, strict=True):
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         sides = (b or a,) if heading else (a or b, b or a)
         keep.append(x == GOOD or x == OPEN and all(s == GOOD for s in sides))
@@ -222,11 +282,13 @@ def extract_text(
 ) -> DataFrame:
     """``pages`` with text (the main text) and n_chars (its code points).
 
-    Blocks in menus, headers, footers, asides, forms and parts whose class, id or role names an
-    advert, notice, comment or the like are out, also within the article; other blocks in an
-    article or main element are in. Elsewhere a block is out if more than ``link_density`` of it is
-    links, in if it has ``short_words`` words and ``stop_density`` stop words; open blocks are in
-    if the nearest decided blocks on both sides are (a heading asks the one that follows).
+    Blocks in menus, headers, footers, asides and hidden parts are out. Forms and parts whose class,
+    id or role names an advert, notice, comment or the like are out, also within the article, unless
+    they hold half of the page's prose or more and no article or main element beside them holds text.
+    An article or main element is in, but for runs of three or more short blocks of links. Elsewhere
+    a block is out if more than ``link_density`` of it is links, in if it has ``short_words`` words
+    and ``stop_density`` stop words; open blocks are in if the nearest decided blocks on both sides
+    are (a heading asks the one that follows).
     Character references are decoded, white space becomes one space, blocks are joined by newlines.
     A page on which nothing is decided to be text gives all blocks that are not out.
 

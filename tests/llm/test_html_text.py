@@ -53,3 +53,24 @@ def test_articles_of_the_sample(sample):
         pieces = [html.unescape(re.sub(r"</?b>", "", re.sub("<br>", " ", x)))
                   for x in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n".join(" ".join(x.split()) for x in pieces if x.strip())
+
+
+def test_wrappers_do_not_lose_the_article():
+    for wrapper in ("<form action=x>", "<div class='layout sidebar-right'>",
+                    "<div id='widget-area-wrapper'>", "<nav>"):
+        assert main_text(f"{wrapper}<article><h1>Title</h1><p>{PROSE}</article>") == (
+            f"Title\n{PROSE}")
+        assert main_text(f"{wrapper}<main><p>kolme sanaa</main>") == "kolme sanaa"
+    page = f"<form><div>{PROSE}</div><div class=sidebar>{PROSE}</div><p>{PROSE}<label>Name</label></form>"
+    assert main_text(page) == f"{PROSE}\n{PROSE}"
+    assert main_text(f"<article><div class='entry-header'><h1>Head</h1></div><p>{PROSE}") == (
+        f"Head\n{PROSE}")
+
+
+def test_beside_the_article_however_long_and_lists_of_links_within_it():
+    comments = f"<section id=comments><article><p>{PROSE}</p><p>{PROSE}</p></article></section>"
+    links = "<ul><li><a href=x>One</a><li><a href=y>Two</a><li><a href=z>Three</a></ul>"
+    assert main_text(f"<article><p>{PROSE}</p>{links}{comments}</article>{comments}") == PROSE
+    assert main_text(f"<article><h1><a href=x>Head</a></h1><p>{PROSE}</p><p><a href=y>More</a>") == (
+        f"Head\n{PROSE}\nMore")
+    assert main_text(f"<form hidden><main>{PROSE}</main></form>") == ""
