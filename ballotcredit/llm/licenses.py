@@ -2,11 +2,13 @@
 
 Words that are unique both in a notice and in a part of the text anchor the alignment; the longest
 increasing run of anchors is kept, and the gaps between them are aligned in the same way. The share
-of a notice's words that are matched is its coverage.
+of a notice's words that are matched is its coverage. One-line notices, which are too short to
+align, are told by patterns of a license name and a version.
 """
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ballotcredit.llm.common import column, fresh, without
 
-# Notices by name, as their licenses word them.
+# One-line notices, file headers and opening paragraphs by name.
 NOTICES: Mapping[str, str] = {
     "Apache-2.0 line": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-4.0 line": "Licensed under CC BY 4.0.",
@@ -65,6 +67,64 @@ NOTICES: Mapping[str, str] = {
         source code form or as a compiled binary, for any purpose, commercial or non-commercial, and
         by any means.""",
 }
+_DISCLAIMED = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+    EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+    MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+    COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+    EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+    GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND
+    ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+    OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+    POSSIBILITY OF SUCH DAMAGE."""
+_WHOLE = ("Apache-2.0", "CC0-1.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "GFDL-1.3",
+          "Artistic")
+# Whole licenses by name.
+TEXTS: Mapping[str, str] = {
+    "MIT text": NOTICES["MIT"] + """ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+        FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+        USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC text": NOTICES["ISC"] + """ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+        AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "BSD-2-Clause text": NOTICES["BSD-2-Clause"] + " " + _DISCLAIMED,
+    "BSD-3-Clause text": NOTICES["BSD-2-Clause"] + """ Neither the name of the copyright holder nor
+        the names of its contributors may be used to endorse or promote products derived from this
+        software without specific prior written permission. """ + _DISCLAIMED,
+    **{f"{n} text": (pkgutil.get_data(__package__, f"license_texts/{n}.txt") or b"").decode()
+       for n in _WHOLE},
+}
+# License names in one-line notices, with or without a version.
+_VERSION = r"(?:[\s,(-]{0,3}(?:version|ver\.?|v\.?)?\s{0,2}(\d(?:\.\d)?)(?![\w])(?:\.0\b)?)"
+_NAMES = (
+    ("CC-{}", r"(?:CC|Creative\s+Commons)[\s-]+(BY(?:[\s-]+(?:NC|SA|ND))*)" + _VERSION),
+    ("CC0", r"CC0(?:[\s-]+1\.0)?"),
+    ("CC-{}", r"Creative\s+Commons\s+(Attribution(?:[\s-]+(?:Non-?Commercial|Share-?Alike|"
+              r"No-?Deriv(?:ative)?s))*)(?:\s+licen[sc]e)?" + _VERSION + "?"),
+    ("AGPL", r"(?:GNU\s+)?(?:AGPL|Affero\s+General\s+Public\s+Licen[sc]e)" + _VERSION + "?"),
+    ("LGPL", r"(?:GNU\s+)?(?:LGPL|(?:Lesser|Library)\s+General\s+Public\s+Licen[sc]e)" + _VERSION + "?"),
+    ("GPL", r"(?:(?:GNU\s+)?GPL|GNU\s+General\s+Public\s+Licen[sc]e)" + _VERSION + "?"),
+    ("Apache", r"Apache(?:\s+Software)?(?:\s+Licen[sc]e" + _VERSION + r"?|[\s-]2\.0\b)"),
+    ("MPL", r"(?:MPL|Mozilla\s+Public\s+Licen[sc]e)" + _VERSION),
+    ("EPL", r"(?:EPL|Eclipse\s+Public\s+Licen[sc]e)" + _VERSION),
+    ("BSL", r"Boost\s+Software\s+Licen[sc]e" + _VERSION + "?"),
+    ("BSD", r"(?:(\d)-clause\s+)?BSD(?:[\s-]+(\d)[\s-]+clause(?:\s+licen[sc]e)?|[\s-]+(?:style\s+)?"
+            r"licen[sc]e)"),
+    ("MIT", r"MIT(?:/X11)?[\s-]+licen[sc]e"),
+    ("ISC", r"ISC\s+licen[sc]e"),
+    ("Unlicense", r"The\s+Unlicense"),
+)
+_UNDER = (r"(?:(?:licen[sc]ed|released|distributed|published|available|made\s+available|provided|"
+          r"offered|shared)\s+under\s+)?(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:an?\s+)?")
+_LINES = [(name, re.compile(rf"(?<!\w){_UNDER}{shape}(?!\w)", re.I)) for name, shape in _NAMES]
+_SPDX = re.compile(r"SPDX-License-Identifier:\s{0,3}([\w.+-]+(?:[ \t]+(?-i:AND|OR|WITH)"
+                   r"[ \t]+[\w.+-]+)*)", re.I)
+_TOLD = re.compile(rb"licen[sc]|gpl|cc[ -]+by|commons|cc0|\bmpl|\bepl|bsd|apache")
 _WORD = re.compile(r"\w+")
 _BYTES = re.compile(rb"[a-z0-9_]+")
 
@@ -73,6 +133,25 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def lines(text: str) -> list[tuple[int, int, str]]:
+    """(first character, character after the last, license) of each one-line notice, by a license
+    name and its version."""
+    found = [(m.start(), m.end(), f"{m[1].rstrip('.')} line") for m in _SPDX.finditer(text)]
+    for name, shape in _LINES:
+        for m in shape.finditer(text):
+            told = [g.rstrip(".") for g in m.groups() if g]
+            if "{}" in name:
+                shown = name.format("-".join(re.split(r"[\s-]+", told.pop(0))).upper())
+            else:
+                shown = name
+            if name == "BSD" and told:
+                told = [f"{told[0]}-Clause"]
+            elif told and "." not in told[0]:
+                told = [f"{told[0]}.0"]
+            found.append((m.start(), m.end(), "-".join([shown, *told]) + " line"))
+    return found
+
+
 def longest_rise(values: list[int]) -> list[int]:
     """Places of a longest increasing subsequence, by patience piles."""
     tops, at, before = [], [], []
@@ -130,11 +209,16 @@ class Notice:
         counts = Counter(self.words)
         unique = sorted((w for w in counts if counts[w] == 1), key=lambda w: (-len(w), w))
         may_miss = len(self.words) - self.need
-        self.seeds = {w: self.words.index(w) for w in unique[: may_miss + 1]}
+        enough = len(unique) if len(self.words) > 150 else may_miss + 1
+        self.seeds = {w: self.words.index(w) for w in unique[:enough]}
+        self.least = max(1, len(self.seeds) - may_miss)
+        self.hints = frozenset(w.encode() for w in self.seeds if w.isascii())
         self.slack = len(self.words) // 4 + 2
 
     def find(self, text: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, int]]:
         """(first word, word after the last, matched words) of each match."""
+        if sum(w in places for w in self.seeds) < self.least:
+            return []
         starts = sorted(p - k for w, k in self.seeds.items() for p in places.get(w, ()))
         found, i = [], 0
         while i < len(starts):
@@ -152,7 +236,7 @@ class Notice:
 
 def scan_licenses(
     docs: DataFrame,
-    notices: Mapping[str, str] = NOTICES,
+    notices: Mapping[str, str] | None = None,
     coverage: float = 0.9,
     text: str = "text",
 ) -> DataFrame:
@@ -160,15 +244,18 @@ def scan_licenses(
 
     Every place of a text is reported where at least ``coverage`` of a notice's words align; of
     matches that overlap, the one with most matched words stays, then the earlier one, then the
-    first name. Words are compared in lower case without punctuation. Notices, which the caller
-    lists, need at least one word that occurs once in them.
+    first name. Words are compared in lower case without punctuation. Without ``notices`` these are
+    ``NOTICES`` and ``TEXTS``, and license names with a version, or SPDX identifiers, are told by
+    pattern as well, in whatever sentence (coverage 1). Notices that the caller lists need at least
+    one word that occurs once in them.
 
     A missing or empty text has no licenses; rows that repeat are scanned alike; an input column
     named licenses is replaced. An empty table gives none.
     """
-    known = [n for n in (Notice(k, v, coverage) for k, v in notices.items()) if n.seeds]
-    # each notice is told by an ASCII part of a seed, so most texts are passed over as bytes
-    hints = {s.encode() for n in known for s in n.seeds if s.isascii()}
+    by_pattern = notices is None
+    listed = {**NOTICES, **TEXTS} if notices is None else notices
+    known = [n for n in (Notice(k, v, coverage) for k, v in listed.items()) if n.seeds]
+    # each notice is told by an ASCII part of its seeds, so most texts are passed over as bytes
     plain = all(s.isascii() for n in known for s in n.seeds)
     item = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                       ("coverage", pa.float64())])
@@ -179,7 +266,13 @@ def scan_licenses(
         for value in texts:
             raw = value.as_buffer()
             low = b"" if raw is None else raw.to_pybytes().lower()
-            if plain and hints.isdisjoint(_BYTES.findall(low)):
+            told = by_pattern and _TOLD.search(low) is not None
+            if plain:
+                seen = set(_BYTES.findall(low))
+                near = [n for n in known if len(n.hints & seen) >= n.least]
+            else:
+                near = known
+            if not near and not told:
                 result.append([])
                 continue
             found = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(value.as_py() or "")]
@@ -188,7 +281,12 @@ def scan_licenses(
             for i, w in enumerate(text_words):
                 places.setdefault(w, []).append(i)
             matches = [(-n, a, notice.name, b, n / len(notice.words))
-                       for notice in known for a, b, n in notice.find(text_words, places)]
+                       for notice in near for a, b, n in notice.find(text_words, places)]
+            if told:
+                begins, ends = [a for _, a, _ in found], [b for _, _, b in found]
+                for x, y, name in lines(value.as_py()):
+                    a, b = bisect_left(begins, x), bisect_left(ends, y) + 1
+                    matches.append((a - b, a, name, b, 1.0))
             kept: list[tuple[int, int, str, float]] = []
             for _, a, name, b, share in sorted(matches):
                 if all(b <= x or a >= y for x, y, _, _ in kept):

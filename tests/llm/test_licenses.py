@@ -1,4 +1,4 @@
-from ballotcredit.llm.licenses import NOTICES, align, longest_rise, scan_licenses
+from ballotcredit.llm.licenses import NOTICES, TEXTS, align, longest_rise, scan_licenses
 
 
 def found(frame, **options):
@@ -60,3 +60,20 @@ def test_lines_of_the_sample(sample):
         lines = sum(any(n.rstrip(".") in line for n in NOTICES.values() if "\n" not in n)
                     for line in r.text.split("\n"))
         assert len(got[r.doc_id]) == lines
+
+
+def test_other_wordings_versions_and_whole_texts(docs):
+    shown = {"Licensed under the MIT License": "MIT line", "see CC BY-SA 3.0 here": "CC-BY-SA-3.0 line",
+             "It is GNU GPL v3": "GPL-3.0 line", "the 3-Clause BSD License": "BSD-3-Clause line",
+             "under Apache License 2.0, we": "Apache-2.0 line", "LGPL v2.1 or later": "LGPL-2.1 line",
+             "// SPDX-License-Identifier: MPL-2.0": "MPL-2.0 line",
+             "Mozilla Public License, v. 2.0 is": "MPL-2.0 line"}
+    rows = [*shown, *TEXTS.values()]
+    names = [*shown.values(), *TEXTS]
+    got = found(docs(*((i, f"Words first. {t}\nand last") for i, t in enumerate(rows))))
+    for i, name in enumerate(names):
+        assert name in [n for n, _, _ in got[i]], (name, got[i][:5])
+    n = len(shown)
+    assert [x for x, _, _ in got[n]] == ["MIT text"]
+    assert got[n][0][2] == len("Words first. " + TEXTS["MIT text"]) - 1
+    assert found(docs((1, "mit der BSD und the GNU is not Apache of 2.0")))[1] == []
