@@ -29,8 +29,3 @@ def spark(tmp_path_factory):
 def table(spark):
     """Rows of tuples with a schema string as a DataFrame."""
     return lambda schema, *rows: spark.createDataFrame(list(rows), schema)
-
-
-def rows(df, *order):
-    """Rows as tuples in a stated order."""
-    return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]

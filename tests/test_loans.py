@@ -2,7 +2,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from ballotcredit.operators import loans
 

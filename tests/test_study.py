@@ -1,7 +1,7 @@
 """The whole study from files to panels, report and result table."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from ballotcredit.plans import study
 from ballotcredit.sources import readers
