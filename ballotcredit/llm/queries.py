@@ -17,6 +17,7 @@ from ballotcredit.llm import (
     lm,
     mixing,
     neardup,
+    repeats,
     topk,
     toxicity,
 )
@@ -96,6 +97,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.remove_repeats(docs, length=100).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     made = fim.fill_in_middle(docs, seed=7, fim_percent=100, spm_percent=50)
@@ -109,7 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_line_dedup, op2_near_dedup, op3_lm_score, op4_exact_topk, op5_toxicity,
               op6_secret_scan, op7_source_mix, op8_license_scan, op9_decontamination, op10_html_text,
-              op13_fill_in_middle)
+              op11_suffix_dedup, op13_fill_in_middle)
 }
 
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -178,6 +185,33 @@ WITH ints AS (
   FROM scored
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op11_suffix_dedup": """
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hex, strlen(coalesce(text, '')) AS n_bytes
+  FROM documents
+), strings AS (
+  SELECT doc_id, i, md5(hex[2 * i + 1:2 * i + 200]) AS string
+  FROM bytes, unnest(range(0, n_bytes - 99)) AS u(i)
+), gone AS (
+  SELECT doc_id, i FROM strings
+  QUALIFY row_number() OVER (PARTITION BY string ORDER BY doc_id, i) > 1
+), steps AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER w + 100, true) AS new FROM gone
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM steps)
+  GROUP BY doc_id, span
+), pieces AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+), cut AS (
+  SELECT p.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+    string_agg(hex[2 * before + 1:2 * a], '' ORDER BY a) AS kept
+  FROM pieces p JOIN bytes USING (doc_id) GROUP BY p.doc_id
+)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || hex[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)""",
     "op13_fill_in_middle": r"""
 WITH drawn AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex,
