@@ -18,6 +18,7 @@ from ballotcredit.llm import (
     mixing,
     neardup,
     repeats,
+    spelling,
     topk,
     toxicity,
 )
@@ -103,6 +104,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_forms(docs, min_chars=5, min_count=3, times=2, damage=97).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     made = fim.fill_in_middle(docs, seed=7, fim_percent=100, spm_percent=50)
@@ -116,7 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_line_dedup, op2_near_dedup, op3_lm_score, op4_exact_topk, op5_toxicity,
               op6_secret_scan, op7_source_mix, op8_license_scan, op9_decontamination, op10_html_text,
-              op11_suffix_dedup, op13_fill_in_middle)
+              op11_suffix_dedup, op12_spelling_variants, op13_fill_in_middle)
 }
 
 _WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
@@ -212,6 +219,53 @@ WITH bytes AS (
 SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(kept, '') || hex[2 * coalesce(last, 0) + 1:])) AS kept_sha256
 FROM bytes LEFT JOIN cut USING (doc_id)""",
+    # CRC-32 bit by bit; near words by the letter left out of either or both.
+    "op12_spelling_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n, (coalesce(doc_id::VARCHAR, '') || ':' || run) AS name
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+    FROM documents) GROUP BY doc_id, run
+), coded AS (
+  SELECT run, n, flatten(list_transform(string_split(name, ''), lambda c: CASE
+    WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c)::BIGINT - 64] END)) AS bytes
+  FROM runs
+), checked AS (
+  SELECT run, n, xor(4294967295, list_reduce(flatten(list_transform(bytes, lambda b:
+    list_transform(range(8), lambda i: (b >> i) & 1))),
+    lambda c, bit: xor(c >> 1, 3988292384 * (xor(c, bit) & 1)), 4294967295)) AS h
+  FROM coded
+), counts AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT)
+    || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM checked GROUP BY 1
+), words AS (
+  SELECT word, n FROM counts WHERE length(word) >= 5 AND n >= 3
+), less AS (
+  SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM words, unnest(range(1, length(word) + 1)) AS u(i)
+), pairs AS (
+  SELECT a.word, b.word AS near FROM less a JOIN less b
+    ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM words)
+), ranked AS (
+  SELECT p.word, p.near, m.n AS m, count(*) OVER (PARTITION BY p.word) AS n_near,
+    row_number() OVER (PARTITION BY p.word ORDER BY m.n DESC, encode(p.near)) AS place
+  FROM pairs p JOIN words m ON p.near = m.word
+), forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN near END AS form,
+    CASE WHEN m >= 2 * w.n THEN m END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND place = 1
+), steps AS (
+  SELECT word, word AS at, 0 AS far FROM forms
+  UNION ALL
+  SELECT s.word, f.form, far + 1 FROM steps s JOIN forms f ON s.at = f.word
+  WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(at, far) AS root FROM steps GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
     "op13_fill_in_middle": r"""
 WITH drawn AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hex,
