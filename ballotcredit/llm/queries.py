@@ -258,12 +258,12 @@ WITH RECURSIVE runs AS (
     CASE WHEN m >= 2 * w.n THEN m END AS form_n
   FROM words w LEFT JOIN ranked r ON w.word = r.word AND place = 1
 ), steps AS (
-  SELECT word, word AS at, 0 AS far FROM forms
+  SELECT word, word AS stop, 0 AS far FROM forms
   UNION ALL
-  SELECT s.word, f.form, far + 1 FROM steps s JOIN forms f ON s.at = f.word
+  SELECT s.word, f.form, far + 1 FROM steps s JOIN forms f ON s.stop = f.word
   WHERE f.form IS NOT NULL
 ), roots AS (
-  SELECT word, arg_max(at, far) AS root FROM steps GROUP BY word
+  SELECT word, arg_max(stop, far) AS root FROM steps GROUP BY word
 )
 SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
     "op13_fill_in_middle": r"""
