@@ -73,7 +73,7 @@ def _parsed(df: DataFrame, column: str) -> DataFrame:
 
 def read_inputs(
     spark: SparkSession, folder: str, elections: Sequence[int] = ELECTIONS,
-    multi_line: bool = False,
+    multi_line: bool | str = False,
 ) -> Inputs:
     """All input tables of a folder of files in their original formats, with row positions."""
 
@@ -137,7 +137,7 @@ def panels(inputs: Inputs, **options) -> dict[str, DataFrame]:
 
 
 def run_study(
-    spark: SparkSession, folder: str, output: str, *, multi_line: bool = False, **options
+    spark: SparkSession, folder: str, output: str, *, multi_line: bool | str = False, **options
 ) -> None:
     """Write both channels' panels with the party subsamples, the volume series and its report.
 

@@ -6,6 +6,7 @@ copy, where filters and column selection reach the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from functools import reduce
 
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from ballotcredit.constants import FEDERAL_DEPUTY, LAST_REVENUE_YEAR
 from ballotcredit.functions.text import parse_decimal
 from ballotcredit.sources import schemas
+from ballotcredit.sources.records import file_name, quoted_records
 
+# Value of ``multi_line`` that reads all splits of a file at once.
+SPLITS = "splits"
 # Texts that mean "missing" in the files.
 MISSING = ("", "NA")
 
@@ -42,7 +46,7 @@ def read_delimited(
     encoding: str = "UTF-8",
     doubled_quotes: bool = True,
     row_order: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | str = False,
     check_quotes: bool = True,
 ) -> DataFrame:
     """Columns of ``schema`` from a CSV file with a header, selected by name.
@@ -51,20 +55,24 @@ def read_delimited(
     cell is NULL. A column the header lacks raises. ``row_order`` names a column for the position
     of the row in its file (a long, sortable over all files of the scan), for "first row" rules.
 
-    Cells with line breaks need ``multi_line``, which reads each file in one task. Without it a
-    line with an odd number of quotes raises (a job that reads the lines), unless ``check_quotes``
-    is off: such a row would otherwise be cut in two without notice.
+    Cells with line breaks need ``multi_line``: "splits" finds the records in all splits of a file
+    at once (``records.quoted_records`` says in which files it can), True reads each file in one
+    task. Without it a line with an odd number of quotes raises (a job that reads the lines), unless
+    ``check_quotes`` is off: such a row would otherwise be cut in two without notice.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("escape", '"' if doubled_quotes else "")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    if multi_line not in (False, True, SPLITS):
+        raise ValueError(f"multi_line is False, True or {SPLITS!r}")
+    options = {
+        "sep": sep, "escape": '"' if doubled_quotes else "",
+        "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+        "multiLine": str(bool(multi_line)).lower(),
+    }
+    raw = spark.read.options(header=True, encoding=encoding, **options).csv(path)
+    position = _position(raw) if row_order and multi_line != SPLITS else None
+    if multi_line == SPLITS:
+        cells, position = _split_cells(
+            spark, path, raw, sep, encoding, doubled_quotes, options, row_order is not None)
+        raw = cells
     if check_quotes and not multi_line:
         require_balanced_quotes(spark, path)
     missing = [c for c in schema if c not in raw.columns]
@@ -75,10 +83,32 @@ def read_delimited(
         for c, to in schema.items()
     ]
     if row_order:
-        columns.append(_position(raw).alias(row_order))
+        columns.append(position.alias(row_order))
     return raw.select(*columns)
 
 
+def _split_cells(
+    spark: SparkSession, path: str | list[str], header: DataFrame, sep: str, encoding: str,
+    doubled_quotes: bool, options: Mapping[str, str], ordered: bool,
+) -> tuple[DataFrame, Column]:
+    """The cells of all records, by the columns of ``header``, and the column of their position."""
+    record = F.col("record")
+    if not doubled_quotes:  # the parser takes two quotes alone for a text, not for an empty cell
+        empty = f'(^|{re.escape(sep)})""(?={re.escape(sep)}|$)'
+        record = F.regexp_replace(record, empty, "$1")
+    place = F.lit(0).cast("long")
+    if ordered:
+        place = _file_places(header, F.xxhash64, F.col("file"))
+    rows = quoted_records(spark, path, sep, encoding, doubled_quotes).where(
+        "block > 0 OR row > 0").select(
+        F.from_csv(record, header.schema.toDDL(), options).alias("cells"),
+        (F.shiftleft(place, 44) + F.col("block") + F.col("row")).alias("at"))
+    at = "at"
+    while at in header.columns:
+        at += "_"
+    return rows.select("cells.*", F.col("at").alias(at)), F.col(at)
+
+
 def require_balanced_quotes(spark: SparkSession, path: str | list[str]) -> None:
     """Raise if a line holds an odd number of quotes: a quoted cell goes on in the next line.
 
@@ -95,28 +125,37 @@ def _position(raw: DataFrame) -> Column:
     A row takes a byte at least, so positions of a split stay below the next split's offset; a
     task that reads several splits reads no more than one that another follows.
     """
-    files = sorted(raw.inputFiles())
-    place = F.lit(0).cast("long")
-    if len(files) > 1:
-        if len(files) >= 1 << 15:
-            raise ValueError("too many files for row positions")
-        pairs = [F.lit(x) for i, name in enumerate(files) for x in (name, i)]
-        place = F.element_at(F.create_map(*pairs), F.col("_metadata.file_path")).cast("long")
+    place = _file_places(raw, lambda name: name, file_name(F.col("_metadata.file_path")))
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return F.shiftleft(place, 44) + F.col("_metadata.file_block_start") + row
 
 
+def _file_places(raw: DataFrame, key: Callable[[Column], Column], file: Column) -> Column:
+    """Place of a row's file among the files of a scan, in order of their paths.
+
+    ``file`` is the ``key`` of ``records.file_name``. A file that the scan does not list fails.
+    """
+    files = sorted(raw.inputFiles())
+    if len(files) == 1:
+        return F.lit(0).cast("long")
+    if len(files) >= 1 << 15:
+        raise ValueError("too many files for row positions")
+    pairs = [x for i, name in enumerate(files) for x in (key(file_name(F.lit(name))), F.lit(i))]
+    place = F.element_at(F.create_map(*pairs), file)
+    return F.coalesce(place, F.raise_error(F.lit("a row of a file that is not listed"))).cast("long")
+
+
 def read_by_year(paths: Mapping[int, str], read: Callable[[str], DataFrame]) -> DataFrame:
     """Files of one layout per election as one table with the election in ``ano``."""
     years = [read(path).withColumn("ano", F.lit(year)) for year, path in paths.items()]
     return reduce(lambda a, b: a.unionByName(b), years)
 
 
-def read_demographics(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_demographics(spark: SparkSession, path: str, multi_line: bool | str = False) -> DataFrame:
     return read_delimited(spark, path, schemas.DEMOGRAPHICS, multi_line=multi_line)
 
 
-def read_voting(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_voting(spark: SparkSession, path: str, multi_line: bool | str = False) -> DataFrame:
     return read_delimited(spark, path, schemas.VOTING, multi_line=multi_line)
 
 
@@ -126,7 +165,7 @@ def read_revenue(
     office: str = FEDERAL_DEPUTY,
     last_year: int = LAST_REVENUE_YEAR,
     row_order: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | str = False,
 ) -> DataFrame:
     """Donations of one office up to ``last_year``."""
     revenue = read_delimited(
@@ -141,7 +180,7 @@ def read_loans(
     *,
     grouping_mark: str = ".",
     row_order: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | str = False,
 ) -> DataFrame:
     """A loan table: semicolons, decimal comma, grouping dots (or none)."""
     return read_delimited(
@@ -151,14 +190,14 @@ def read_loans(
 
 
 def read_disbursements(
-    spark: SparkSession, path: str, schema: Mapping[str, str], multi_line: bool = False
+    spark: SparkSession, path: str, schema: Mapping[str, str], multi_line: bool | str = False
 ) -> DataFrame:
     """The monthly disbursements: a loan table whose numbers have no grouping marks."""
     return read_loans(spark, path, schema, grouping_mark="", multi_line=multi_line)
 
 
 def read_coalitions(
-    spark: SparkSession, paths: Mapping[int, str], multi_line: bool = False
+    spark: SparkSession, paths: Mapping[int, str], multi_line: bool | str = False
 ) -> DataFrame:
     """Coalition files (Latin-1, semicolons), one per election."""
     return read_by_year(paths, lambda path: read_delimited(
@@ -169,14 +208,14 @@ def read_coalitions(
 
 def read_municipal_votes(
     spark: SparkSession, paths: Mapping[int, str], row_order: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool | str = False,
 ) -> DataFrame:
     return read_by_year(paths, lambda path: read_delimited(
         spark, path, schemas.VOTES_BY_MUNICIPALITY, row_order=row_order, multi_line=multi_line))
 
 
 def read_valid_votes(
-    spark: SparkSession, paths: Mapping[int, str], multi_line: bool = False
+    spark: SparkSession, paths: Mapping[int, str], multi_line: bool | str = False
 ) -> DataFrame:
     """Valid votes per municipality with plain column names: ano, uf, nm_municipio, qt_votos_mun."""
     table = read_by_year(paths, lambda path: read_delimited(

@@ -563,6 +563,11 @@ ORACLES = {
                 AS disbursed,
             count(valor_contratado_reais) AS n_known, count(*) AS n
         FROM non_automatic GROUP BY ALL"""),
+    "quoted_file_scan": r"""
+        SELECT source, count(*) AS n, sum(doc_id)::BIGINT AS ids,
+            sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS words,
+            sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D][^\n]*')))::BIGINT AS lines
+        FROM documents GROUP BY source""",
     "candidate_number_violations": query(
         ("demographics", "voting", "votes"), [CANDIDATES, RUNNING], """
         SELECT ano, sigla_uf, numero_candidato % 1000 AS numero_candidato, count(*) AS n_left

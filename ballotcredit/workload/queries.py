@@ -598,6 +598,21 @@ def report_file_scan(t):
     return readers.read_delimited(t.spark, folder, types)
 
 
+def quoted_file_scan(t):
+    """Texts with line breaks and quotes written as cells, their records found in all splits."""
+    folder = sinks.work_folder(t.spark)
+    sinks.write_csv(t["documents"].select("doc_id", "source", "text"), folder)
+    read = readers.read_delimited(
+        t.spark, folder, {"doc_id": "bigint", "source": "string", "text": "string"},
+        multi_line=readers.SPLITS)
+    # Words, and lines that hold one: white space at a text's ends is not kept in a file.
+    words, lines = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D][^\n]*"
+    return read.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"),
+        F.sum(F.regexp_count("text", F.lit(words))).cast("long").alias("words"),
+        F.sum(F.regexp_count("text", F.lit(lines))).cast("long").alias("lines"))
+
+
 def vote_files_by_year(t):
     """Votes written as one comma file per election and read back as one table."""
     folder = sinks.work_folder(t.spark)
@@ -663,6 +678,6 @@ QUERIES = {
         rd_table_layout, loan_file_scan, report_file_scan, panel_in_reading_order,
         vote_files_by_year, snapshot_by_year, panel_folders, candidate_number_violations,
         municipality_panel_of_files, municipality_first_rows, pooled_panel_strict_union,
-        place_alias, coalition_file_scan, disbursement_file_scan,
+        place_alias, coalition_file_scan, disbursement_file_scan, quoted_file_scan,
     )
 }

@@ -173,4 +173,5 @@ def test_row_positions_follow_files(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(f"v\n{cells}\n")
     got = readers.read_delimited(spark, str(tmp_path), {"v": "int"}, row_order="p")
     assert [r.v for r in got.orderBy("p").collect()] == [1, 2, 3, 4]
+    assert [r.p >> 44 for r in got.orderBy("p").collect()] == [0, 0, 1, 1]
     assert dict(got.dtypes)["p"] == "bigint"
