@@ -46,10 +46,9 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def damaged(doc_id, run: str, every: int) -> str:
-    """The run without one letter where ``every`` divides the CRC-32 of ``id:run``."""
-    name = "" if doc_id is None else doc_id
-    check = zlib.crc32(f"{name}:{run}".encode())
+def damaged(start: int, run: str, every: int) -> str:
+    """The run without one letter where ``every`` divides its CRC-32, which goes on from ``start``."""
+    check = zlib.crc32(run.encode(), start)
     if check % every:
         return run
     i = check % len(run)
@@ -70,8 +69,9 @@ def word_counts(docs: DataFrame, doc_id: str, text: str, every: int | None) -> D
                 if every is None:
                     total.update(found)
                     continue
+                start = zlib.crc32(f"{'' if doc is None else doc}:".encode())
                 for run, n in found.items():
-                    total[damaged(doc, run, every)] += n
+                    total[damaged(start, run, every)] += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                 names=["word", "n"])
@@ -107,7 +107,8 @@ def _paths(words: DataFrame) -> DataFrame:
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """(side, node, first, label, child, ends): letters from node to child; words may end there."""
+    """(side, node, first, label, child, ends, next): letters from node to child, whether a word
+    ends there, and the first letters of the child's own edges."""
     pair = F.arrays_zip(F.slice("stops", F.lit(1), F.size("stops") - 1).alias("a"),
                         F.slice("stops", F.lit(2), F.size("stops") - 1).alias("b"))
     word, a, b = F.col("word"), F.col("p.a"), F.col("p.b")
@@ -115,8 +116,10 @@ def _edges(paths: DataFrame) -> DataFrame:
         paths.where(F.size("stops") > 1).select("side", "word", F.explode(pair).alias("p"))
         .select("side", _node(word, a).alias("node"),
                 F.substring(word, a + 1, b - a).alias("label"), _node(word, b).alias("child"),
-                (b == F.char_length(word)).alias("ends"))
-        .groupBy("side", "node", "label", "child").agg(F.max("ends").alias("ends"))
+                (b == F.char_length(word)).alias("ends"),
+                F.substring(word, b + 1, F.lit(1)).alias("next"))
+        .groupBy("side", "node", "label", "child").agg(
+            F.max("ends").alias("ends"), F.array_join(F.collect_set("next"), "").alias("next"))
         .withColumn("first", F.substring("label", 1, 1))
     )
 
@@ -141,24 +144,17 @@ def follow(word: str, rest: str, label: str, ends: bool) -> Iterator[tuple[str,
     j, most = 0, min(len(rest), len(label))
     while j < most and rest[j] == label[j]:
         j += 1
-    at = len(word) - len(rest) + j
     if j == len(label):
         if ends and len(rest) - j == 1:
             yield "", word[:-1]
-        yield rest[j:], None
-        return
-    head, letter, tail = word[:at], label[j], label[j + 1:]
-    if j == len(rest):
-        if not tail:
-            yield "", head + letter
-        return
-    for left, behind, near in (
-        (rest[j + 1:], tail, head + letter + word[at + 1:]),
-        (rest[j:], tail, head + letter + word[at:]),
-        (rest[j + 1:], label[j:], head + word[at + 1:]),
-    ):
-        if left.startswith(behind):
-            yield left[len(behind):], near
+        if j < len(rest):
+            yield rest[j:], None
+    elif j < len(rest):
+        at, left = len(word) - len(rest) + j, rest[j + 1:]
+        if label[j] > rest[j] and left.startswith(label[j + 1:]):
+            yield left[len(label) - j - 1:], word[:at] + label[j] + word[at + 1:]
+        if left.startswith(label[j:]):
+            yield left[len(label) - j:], word[:at] + word[at + 1:]
 
 
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
@@ -166,11 +162,12 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
 
     def branch(batches):
         for batch in batches:
-            side, word, rest, child, label, ends = (c.to_pylist() for c in batch.columns)
+            side, word, rest, child, label, ends, ahead = (c.to_pylist() for c in batch.columns)
             out = []
             for i in range(len(word)):
                 for left, near in follow(word[i], rest[i], label[i], ends[i]):
-                    if near is None or left or ends[i]:
+                    # An edited state goes on where its next letter does, or ends with a word.
+                    if near is None or (left[0] in ahead[i] if left else ends[i]):
                         out.append((side[i], word[i], left, child[i], near,
                                     near is not None and not left))
             columns = zip(*out, strict=True) if out else ((),) * 6
@@ -180,13 +177,14 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
                 names=["side", "word", "rest", "node", "near", "found"])
 
     whole = states.where("near IS NULL").join(edges, ["side", "node"]).select(
-        "side", "word", "rest", "child", "label", "ends").mapInArrow(
+        "side", "word", "rest", "child", "label", "ends", "next").mapInArrow(
         branch, f"{STATES}, found boolean")
     edited = states.where("near IS NOT NULL").withColumn("first", F.substring("rest", 1, 1)).join(
         edges, ["side", "node", "first"]).where(F.expr("startswith(rest, label)")).select(
         "side", "word", F.expr("substring(rest, char_length(label) + 1)").alias("rest"),
-        F.col("child").alias("node"), "near", "ends")
-    return whole.unionByName(edited.where("rest <> '' OR ends").select(
+        F.col("child").alias("node"), "near", "ends", "next")
+    return whole.unionByName(edited.where(
+        "CASE WHEN rest = '' THEN ends ELSE contains(next, left(rest, 1)) END").select(
         "side", "word", "rest", "node", "near", (F.col("rest") == "").alias("found")))
 
 
@@ -209,7 +207,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    return pairs.distinct()
+    pairs = pairs.distinct()
+    return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
 def _roots(links: DataFrame) -> DataFrame:
