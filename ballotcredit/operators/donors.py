@@ -22,8 +22,10 @@ from ballotcredit.operators.loans import window_sums
 
 CANDIDATE = ("id_candidato_bd", "ano")
 CONTRACTED = "valor_contratado_reais"
-# A donation's order and value in one number: order * _STEP + value + _SHIFT.
+# A donation's order and value in one number: order * _STEP + value + _SHIFT. An order is a long, of
+# 19 digits, and a value has 18 and a sign: the number fits a decimal of 38 digits whatever they are.
 _STEP, _SHIFT = Decimal(10**19), Decimal(10**18)
+_UNKNOWN = Decimal(-(2**63))
 # Candidate columns of the outcome table, as far as the inputs have them.
 ATTRIBUTES = (
     "sigla_uf", "nome", "resultado", "votos", "numero_partido", "sigla_partido", "situacao",
@@ -94,8 +96,9 @@ def combined_gifts(
     """Donations of one origin per candidate and donor: count, value, and the first donation.
 
     The first donation has the smallest ``order`` (a date or a file position), then the smallest
-    value. Both lie in one decimal, so that raw rows are combined by hash aggregation: the order
-    above 19 digits for the value, which is a decimal of at most 18 digits.
+    value; an unknown order, which counts as the smallest long, comes first. Both lie in one
+    decimal, so that raw rows are combined by hash aggregation: the order, any long, above 19
+    digits for the value, which is a decimal of at most 18 digits.
     """
     value = zero_if_missing(F.col("valor_receita"))
     kind = donations.schema["valor_receita"].dataType
@@ -106,9 +109,8 @@ def combined_gifts(
     units = (value.cast(f"decimal(18,{scale})").cast(f"decimal(38,{scale})")
              * F.lit(10**scale)).cast("decimal(20,0)")
     # An unknown order comes first, as a missing value does in a sort.
-    key = (F.coalesce(place.cast("decimal(17,0)"), F.lit(-(10**16)).cast("decimal(17,0)"))
-           .cast("decimal(18,0)") * F.lit(_STEP)
-           + units + F.lit(_SHIFT)).cast("decimal(38,0)")
+    key = (F.coalesce(place.cast("decimal(19,0)"), F.lit(_UNKNOWN).cast("decimal(19,0)"))
+           * F.lit(_STEP) + units + F.lit(_SHIFT)).cast("decimal(38,0)")
     gifts = donations.filter(F.col("origem_receita") == origin).groupBy(
         *KEYS, "cpf_cnpj_doador").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_value"), F.min(key).alias("_key"),

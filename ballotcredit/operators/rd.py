@@ -77,6 +77,25 @@ def _moments(
     )
 
 
+def eliminate(system: DataFrame, size: int, rights: Sequence[str]) -> DataFrame:
+    """Gauss-Jordan elimination on the columns m<i><j>, with diagonals d<i> before it started.
+
+    The right-hand sides, named by patterns as "b{}", become solutions; a singular system gives
+    NULL.
+    """
+    for k in range(size):
+        columns = [f"m{{}}{j}" for j in range(k + 1, size)] + list(rights)
+        pivot = F.when(F.col(f"m{k}{k}") > SINGULAR * F.col(f"d{k}"), F.col(f"m{k}{k}"))
+        scaled = system.withColumn("pivot", pivot).withColumns(
+            {c.format(k): F.col(c.format(k)) / F.col("pivot") for c in columns}
+        )
+        system = scaled.withColumns({
+            c.format(i): F.col(c.format(i)) - F.col(f"m{i}{k}") * F.col(c.format(k))
+            for i in range(size) if i != k for c in columns
+        })
+    return system
+
+
 def _solve(moments: DataFrame, top: int) -> DataFrame:
     """Coefficients b0..bp, weights a0..ap and the intercept at the cutoff, per row of moments.
 
@@ -99,16 +118,7 @@ def _solve(moments: DataFrame, top: int) -> DataFrame:
         *[F.when(used[i], F.col(f"t{i}")).otherwise(0.0).alias(f"b{i}") for i in size],
         *[F.when(used[i], F.lit((-1.0) ** i)).otherwise(0.0).alias(f"a{i}") for i in size],
     )
-    for k in size:
-        columns = [f"m{{}}{j}" for j in size if j > k] + ["b{}", "a{}"]
-        pivot = F.when(F.col(f"m{k}{k}") > SINGULAR * F.col(f"d{k}"), F.col(f"m{k}{k}"))
-        scaled = system.withColumn("pivot", pivot).withColumns(
-            {c.format(k): F.col(c.format(k)) / F.col("pivot") for c in columns}
-        )
-        system = scaled.withColumns({
-            c.format(i): F.col(c.format(i)) - F.col(f"m{i}{k}") * F.col(c.format(k))
-            for i in size if i != k for c in columns
-        })
+    system = eliminate(system, top + 1, ("b{}", "a{}"))
     at_cutoff = sum(F.lit((-1.0) ** i) * F.col(f"b{i}") for i in size)
     return system.select(
         *others, *[f"b{i}" for i in size], *[f"a{i}" for i in size],

@@ -51,6 +51,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(table: DataFrame) -> bool:
+    """Whether the files that a written table reads are still there."""
+    spark = table.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(name) for name in table.inputFiles()]
+    return all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def snapshot(df: DataFrame, path: str, partition_by: Sequence[str] = ("ano",)) -> None:
     """Write a whole table as Parquet folders by ``partition_by``.
 

@@ -12,6 +12,7 @@ from ballotcredit.workload.queries import (
     BANDWIDTH,
     CUBIC,
     LINEAR,
+    ROBUST,
     SAMPLES,
     SPECS,
     VOLUME_FROM,
@@ -348,10 +349,95 @@ def rd_ctes(outcome: str, specs) -> list[str]:
     return ctes
 
 
+def robust_ctes(outcome: str, specs, matches: int) -> list[str]:
+    """Order 1 with a pilot of order 2; neighbours by all pairs of margins of a side."""
+    rows = ", ".join(
+        f"('{s}', {number}, {degree}, cast({width} AS double), cast({pilot} AS double))"
+        for s, number, degree, width, pilot in specs
+    )
+    side = "sample, spec, degree, bandwidth, pilot, is_right"
+
+    def moments(name: str, weight: str, top: int) -> str:
+        sums = ", ".join([f"sum({weight} * x**{m}) AS s{m}" for m in range(2 * top + 2)]
+                         + [f"sum({weight} * x**{j} * y) AS t{j}" for j in range(top + 1)])
+        return f"{name} AS (SELECT {side}, {sums} FROM inside GROUP BY ALL)"
+
+    def solved(name: str, top: int, unit: int) -> str:
+        return ", ".join(f"{c} AS {name}{k}" for k, c in enumerate(
+            cramer(top, ["1" if i == unit else "0" for i in range(top + 1)])))
+
+    def coefficients(name: str, top: int) -> str:
+        return ", ".join(f"{c} AS {name}{k}" for k, c in enumerate(
+            cramer(top, [f"t{i}" for i in range(top + 1)])))
+
+    def jump(c: str) -> str:
+        return f"max(CASE WHEN is_right THEN {c} END) - max(CASE WHEN NOT is_right THEN {c} END)"
+
+    def error(c: str) -> str:
+        return (f"sqrt(max(CASE WHEN is_right THEN {c} END) "
+                f"+ max(CASE WHEN NOT is_right THEN {c} END))")
+
+    def grid(name: str, source: str) -> str:
+        return f"""{name} AS (SELECT sample, spec, degree, bandwidth, pilot,
+                {jump('b0')} AS estimate, {jump('b0 - kappa * q2')} AS estimate_bc,
+                {error('plain')} AS std_error, {error('robust')} AS robust_error,
+                cast(coalesce(sum(n) FILTER (NOT is_right), 0) AS bigint) AS n_left,
+                cast(coalesce(sum(n) FILTER (is_right), 0) AS bigint) AS n_right
+            FROM fits JOIN {source} USING ({side}) JOIN counts USING ({side}) GROUP BY ALL)"""
+
+    pulls = "w * (a0 + a1 * x)", "w * (a0 + a1 * x) - kappa * g * (c0 + c1 * x + c2 * x**2)"
+    return [
+        samples(),
+        f"specs AS (SELECT * FROM (VALUES {rows}) v(sample, spec, degree, bandwidth, pilot))",
+        f"""inside AS (SELECT sample, spec, degree, bandwidth, pilot, factor_cluster, vote_margin,
+                vote_margin >= 0 AS is_right, vote_margin / greatest(bandwidth, pilot) AS x,
+                greatest(1 - abs(vote_margin) / bandwidth, 0) AS w,
+                greatest(1 - abs(vote_margin) / pilot, 0) AS g, {outcome} AS y
+            FROM samples JOIN specs USING (sample)
+            WHERE abs(vote_margin) <= greatest(bandwidth, pilot) AND {outcome} IS NOT NULL)""",
+        f"""counts AS (SELECT {side}, count(*) FILTER (abs(vote_margin) <= bandwidth) AS n
+            FROM inside GROUP BY ALL)""",
+        moments("low", "w", 1), moments("high", "g", 2),
+        f"""low_fit AS (SELECT {side}, {coefficients('b', 1)}, a0, a1, a0 * s2 + a1 * s3 AS kappa
+            FROM (SELECT *, {solved('a', 1, 0)} FROM low))""",
+        f"high_fit AS (SELECT {side}, {coefficients('q', 2)}, {solved('c', 2, 2)} FROM high)",
+        f"fits AS (SELECT * FROM low_fit JOIN high_fit USING ({side}))",
+        f"""scores AS (SELECT {side}, factor_cluster,
+                sum(({pulls[0]}) * (y - b0 - b1 * x)) AS plain,
+                sum(({pulls[1]}) * (y - q0 - q1 * x - q2 * x**2)) AS robust
+            FROM inside JOIN fits USING ({side}) GROUP BY ALL)""",
+        f"""clustered AS (SELECT {side}, sum(plain * plain) AS plain, sum(robust * robust) AS robust
+            FROM scores GROUP BY ALL)""",
+        f"""margins AS (SELECT {side}, vote_margin, count(*) AS m, sum(y) AS total
+            FROM inside GROUP BY ALL)""",
+        f"""met AS (SELECT {side}, a.vote_margin, b.m, b.total,
+                abs(a.vote_margin - b.vote_margin) AS far,
+                sum(b.m) OVER near - sum(b.m) OVER tied AS nearer
+            FROM margins a JOIN margins b USING ({side})
+            WINDOW near AS (PARTITION BY {side}, a.vote_margin
+                    ORDER BY abs(a.vote_margin - b.vote_margin)),
+                tied AS (PARTITION BY {side}, a.vote_margin, abs(a.vote_margin - b.vote_margin)))""",
+        f"""close AS (SELECT {side}, vote_margin, sum(m) - 1 AS j, sum(total) AS total
+            FROM met WHERE far = 0 OR nearer - 1 < {matches} GROUP BY ALL)""",
+        f"""near AS (SELECT {side}, sum(({pulls[0]})**2 * v) AS plain, sum(({pulls[1]})**2 * v) AS robust
+            FROM (SELECT *, j / (j + 1) * (y - (total - y) / j)**2 AS v
+                FROM inside JOIN fits USING ({side}) JOIN close USING ({side}, vote_margin))
+            GROUP BY ALL)""",
+        grid("clustered_grid", "clustered"), grid("near_grid", "near"),
+    ]
+
+
 def rd(specs, body: str, outcome: str = "log_c") -> str:
     return query(MUNICIPALITY_ROLES, [*MUNICIPALITY_PANEL, *rd_ctes(outcome, specs)], body)
 
 
+def robust(grid: str) -> str:
+    return query(MUNICIPALITY_ROLES, [*MUNICIPALITY_PANEL, *robust_ctes("log_c", ROBUST, 3)], f"""
+        SELECT sample, spec, degree, bandwidth, pilot, {money("estimate", 5)},
+            {money("estimate_bc", 5)}, {money("std_error", 5)}, {money("robust_error", 5)},
+            n_left, n_right FROM {grid}""")
+
+
 GRID_COLUMNS = f"""SELECT sample, spec, {money("estimate", 4)}, stars, {money("std_error", 4)},
     n_left, n_right, bandwidth, degree AS "order", 'Triangular' AS kernel FROM starred"""
 
@@ -552,6 +638,8 @@ ORACLES = {
     "rd_std_error": rd(LINEAR, f"""
         SELECT sample, spec, degree, bandwidth, {money("estimate", 5)},
             {money("std_error", 5)}, n_left, n_right FROM grid"""),
+    "rd_robust_error": robust("clustered_grid"),
+    "rd_neighbour_error": robust("near_grid"),
     "rd_result_grid": rd(SPECS, GRID_COLUMNS),
     "rd_result_grid_firms": query(
         FIRM_ROLES, [*FIRM_PANEL, *rd_ctes("log_avg_c", SPECS)], GRID_COLUMNS),

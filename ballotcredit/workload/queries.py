@@ -11,7 +11,7 @@ from ballotcredit import functions as fn
 from ballotcredit.constants import AUTOMATIC, NON_AUTOMATIC
 from ballotcredit.functions.numeric import format_pattern
 from ballotcredit.operators import coalition as co
-from ballotcredit.operators import donors, joins, loans, margin, panel, rd, rows, votes
+from ballotcredit.operators import donors, joins, loans, margin, panel, rd, rd_robust, rows, votes
 from ballotcredit.operators.candidates import candidate_frame
 from ballotcredit.plans import channels
 from ballotcredit.sources import readers, schemas, sinks
@@ -35,10 +35,12 @@ COLUMNS = ((1, BANDWIDTH), (1, 200000), (3, BANDWIDTH), (3, 300000))
 SPECS = rd.grid_specs({sample: COLUMNS for sample in SAMPLES})
 LINEAR = [s for s in SPECS if s[2] == 1]
 CUBIC = [s for s in SPECS if s[2] == 3]
+# The first column of each sample with a wider pilot bandwidth.
+ROBUST = rd_robust.with_pilots([s for s in SPECS if s[1] == 1], 1.5)
 
 
-# Written municipality panels, which the regression queries share.
-_PANELS: dict[tuple[str, str], DataFrame] = {}
+# Written municipality panels, which the regression queries share while the tables stay the same.
+_PANELS: dict[tuple, DataFrame] = {}
 
 
 def money(name: str, digits: int = 2):
@@ -119,9 +121,10 @@ def _firm_panel(t, **options):
 
 
 def _samples(t):
-    """The subsamples of the municipality panel, written once per session and data folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _PANELS:
+    """The subsamples of the municipality panel, written once per session and state of the tables."""
+    key = (t.spark.sparkContext.applicationId, *t.state())
+    known = _PANELS.get(key)
+    if known is None or not sinks.exists(known):
         _PANELS[key] = sinks.written(_municipality_panel(t, check=False))
     return panel.panel_subsamples(_PANELS[key], SAMPLES, BANDWIDTH, PARTY)
 
@@ -518,6 +521,20 @@ def rd_std_error(t):
                          "n_right")
 
 
+def _robust(errors):
+    return errors.select(
+        *rd_robust.KEYS, money("estimate", 5), money("estimate_bc", 5), money("std_error", 5),
+        money("robust_error", 5), "n_left", "n_right")
+
+
+def rd_robust_error(t):
+    return _robust(rd_robust.rd_robust_error(_samples(t), "log_c", ROBUST))
+
+
+def rd_neighbour_error(t):
+    return _robust(rd_robust.rd_neighbour_error(_samples(t), "log_c", ROBUST))
+
+
 def rd_result_grid(t):
     grid = rd.rd_result_grid(_samples(t), "log_c", SPECS)
     return grid.select("sample", "spec", money("estimate", 4), "stars", money("std_error", 4),
@@ -674,8 +691,8 @@ QUERIES = {
         donor_loan_outcomes, donor_loan_outcomes_any, coalition_map, party_coalition_flag,
         party_coalition_flag_unfilled, vote_margin, vote_margin_consistent, pooled_panel,
         pooled_panel_firms, panel_subsamples, state_factor, rd_effective_counts,
-        rd_local_linear, rd_local_cubic, rd_std_error, rd_result_grid, rd_result_grid_firms,
-        rd_table_layout, loan_file_scan, report_file_scan, panel_in_reading_order,
+        rd_local_linear, rd_local_cubic, rd_std_error, rd_robust_error, rd_neighbour_error,
+        rd_result_grid, rd_result_grid_firms, rd_table_layout, loan_file_scan, report_file_scan, panel_in_reading_order,
         vote_files_by_year, snapshot_by_year, panel_folders, candidate_number_violations,
         municipality_panel_of_files, municipality_first_rows, pooled_panel_strict_union,
         place_alias, coalition_file_scan, disbursement_file_scan, quoted_file_scan,

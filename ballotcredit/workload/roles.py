@@ -148,6 +148,19 @@ class Tables:
                 self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._known[name]
 
+    def state(self) -> tuple:
+        """Path, length and time of each file of the driver tables that roles are made of."""
+        names = {p for text in ROLES.values() for p in _parts(text)} - set(ROLES)
+        hadoop, found = self.spark._jvm.org.apache.hadoop.fs, []
+        for name in sorted(names):
+            path = hadoop.Path(f"{self.folder}/{name}.parquet")
+            files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(path, True)
+            while files.hasNext():
+                status = files.next()
+                found.append((status.getPath().toString(), status.getLen(),
+                              status.getModificationTime()))
+        return tuple(sorted(found))
+
 
 def _parts(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))

@@ -9,6 +9,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from ballotcredit import functions as fn
+from ballotcredit.constants import CORPORATE_ORIGIN
 from ballotcredit.operators import coalition as co
 from ballotcredit.operators import donors, votes
 from ballotcredit.operators.candidates import candidate_frame
@@ -348,3 +349,28 @@ def test_first_donation_by_position_and_by_date(table):
     by_date = rows(donors.combined_gifts(given).select(
         "cpf_cnpj_doador", "_gift.valor_receita", "_gift.data_receita"))
     assert by_date == [(5, 6, date(2006, 1, 1)), (6, 0, date(2006, 1, 1))]
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_first_gift_by_any_position(spark, table, ansi):
+    """The last of 32,767 files, and every other long; equal positions go by value."""
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        last, top = 32766 << 44, 2**63 - 1
+        most = Decimal("9999999999999999.99")
+        given = table(
+            "id_candidato_bd string, ano int, tipo_eleicao string, cpf_cnpj_doador string, "
+            "valor_receita decimal(18,2), data_receita date, origem_receita string, posicao long",
+            *[("c", 2006, "o", donor, value, date(2006, 1, day), CORPORATE_ORIGIN, position)
+              for donor, day, position, value in (
+                ("late", 2, last + 5, Decimal(3)), ("late", 1, last + 6, Decimal(1)),
+                ("ends", 3, top, most), ("ends", 4, -top, Decimal(-1)), ("ends", 5, -top, -most),
+                ("unknown", 6, None, Decimal(7)), ("unknown", 7, -top, Decimal(1)))])
+        got = donors.combined_gifts(given, order="posicao")
+        assert rows(got.select("cpf_cnpj_doador", "_gift.data_receita", "_gift.valor_receita")) == [
+            ("ends", date(2006, 1, 5), -most), ("late", date(2006, 1, 2), Decimal(3)),
+            ("unknown", date(2006, 1, 6), Decimal(7))]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
