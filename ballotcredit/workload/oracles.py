@@ -431,6 +431,10 @@ def rd(specs, body: str, outcome: str = "log_c") -> str:
     return query(MUNICIPALITY_ROLES, [*MUNICIPALITY_PANEL, *rd_ctes(outcome, specs)], body)
 
 
+PANELS = (("municipios", MUNICIPALITY_ROLES, MUNICIPALITY_PANEL),
+          ("empresas", FIRM_ROLES, FIRM_PANEL))
+
+
 def robust(grid: str) -> str:
     return query(MUNICIPALITY_ROLES, [*MUNICIPALITY_PANEL, *robust_ctes("log_c", ROBUST, 3)], f"""
         SELECT sample, spec, degree, bandwidth, pilot, {money("estimate", 5)},
@@ -701,12 +705,11 @@ ORACLES = {
     "snapshot_by_year": query(("voting",), [], f"""
         SELECT ano, resultado, cast(sum(votos) AS bigint) AS votos, count(*) AS n
         FROM voting WHERE ano IN ({YEARS}) GROUP BY ALL"""),
-    "panel_folders": " UNION ALL ".join(
+    **{name: " UNION ALL ".join(
         "SELECT * FROM (" + query(roles, panel, f"""
         SELECT '{channel}' AS canal, ano, count(*) AS n,
             cast(sum(vote_margin) AS bigint) AS margins, cast(sum(elected) AS bigint) AS elected
         FROM panel GROUP BY ano""") + ")"
-        for channel, roles, panel in (
-            ("municipios", MUNICIPALITY_ROLES, MUNICIPALITY_PANEL),
-            ("empresas", FIRM_ROLES, FIRM_PANEL))),
+        for channel, roles, panel in chosen)
+       for name, chosen in (("panel_folders", PANELS), ("panel_one_year_again", PANELS[:1]))},
 }

@@ -672,6 +672,19 @@ def panel_folders(t):
     )
 
 
+def panel_one_year_again(t):
+    """A panel of all elections but the last, to which the last is added and one written again."""
+    folder = sinks.work_folder(t.spark)
+    whole = _municipality_panel(t).select("id_candidato_bd", "ano", "vote_margin", "elected")
+    sinks.write_panel(whole.where(F.col("ano") < ELECTIONS[-1]), folder, channels.MUNICIPALITY)
+    for year in (ELECTIONS[-1], ELECTIONS[0]):
+        sinks.write_panel(whole, folder, channels.MUNICIPALITY, elections=[year])
+    return t.spark.read.parquet(folder).groupBy("canal", "ano").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("vote_margin").alias("margins"),
+        F.sum("elected").alias("elected"),
+    )
+
+
 def _on_tables(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(Tables(spark, sf_dir))
@@ -696,5 +709,6 @@ QUERIES = {
         vote_files_by_year, snapshot_by_year, panel_folders, candidate_number_violations,
         municipality_panel_of_files, municipality_first_rows, pooled_panel_strict_union,
         place_alias, coalition_file_scan, disbursement_file_scan, quoted_file_scan,
+        panel_one_year_again,
     )
 }

@@ -130,6 +130,46 @@ def test_panels_of_two_channels_stay_apart(spark, tmp_path, table):
     assert rows(spark.read.parquet(path).select("canal", "ano")) == [("a", 2014), ("b", 2006)]
 
 
+def test_one_election_is_written_again(spark, tmp_path, table):
+    def panel(*rows):
+        return table("id string, sample string, ano int", *rows)
+
+    def folders():
+        return {str(f.relative_to(tmp_path).parent): f.name for f in tmp_path.rglob("*.parquet")}
+
+    path = str(tmp_path / "p q")
+    sinks.write_panel(panel(("a", "all", 2006), ("b", "all", 2010), ("b", "pt", 2010)), path, "m")
+    first = folders()
+    # A new election; rows of other elections are not written.
+    sinks.write_panel(panel(("c", "all", 2014), ("c", "pt", 2014), ("x", "all", 2006)), path, "m",
+                      elections=[2014])
+    got = ["canal", "sample", "ano", "id"]
+    assert rows(spark.read.parquet(path).select(*got)) == [
+        ("m", "all", 2006, "a"), ("m", "all", 2010, "b"), ("m", "all", 2014, "c"),
+        ("m", "pt", 2010, "b"), ("m", "pt", 2014, "c")]
+    assert first.items() <= folders().items()
+    # Written again, twice: a sample that has no rows any more goes, other elections stay.
+    for _ in range(2):
+        sinks.write_panel(panel(("d", "all", 2010)), path, "m", elections=[2010])
+        assert rows(spark.read.parquet(path).select(*got)) == [
+            ("m", "all", 2006, "a"), ("m", "all", 2010, "d"), ("m", "all", 2014, "c"),
+            ("m", "pt", 2014, "c")]
+    name = "p q/canal=m/sample=all/ano=2006"
+    assert folders()[name] == first[name]
+    sinks.write_panel(panel(("e", "all", 2018)).limit(0), path, "m", elections=[2014])
+    assert rows(spark.read.parquet(path).select("ano")) == [(2006,), (2010,)]
+
+
+def test_snapshot_of_some_values(spark, tmp_path, table):
+    df = table("k string, v int", ("a/b", 1), ("c d", 2), ("é", 3))
+    sinks.snapshot(df, f"{tmp_path}/s", ["k"], only={"k": ["a/b", "é"]})
+    sinks.snapshot(df.where("v = 3"), f"{tmp_path}/s", ["k"], only={"k": ["a/b", "é", "c d"]})
+    assert rows(spark.read.parquet(f"{tmp_path}/s").select("k", "v")) == [("é", 3)]
+    for bad in ({}, {"v": [1]}):
+        with pytest.raises(ValueError, match="can be replaced"):
+            sinks.snapshot(df, f"{tmp_path}/s", ["k"], only=bad)
+
+
 def test_report(spark, tmp_path, table):
     sinks.write_report(table("ano int, t string", (2006, "1,0 bi")), f"{tmp_path}/r")
     got = readers.read_delimited(spark, f"{tmp_path}/r", {"ano": "int", "t": "string"})
