@@ -12,7 +12,8 @@ import pkgutil
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Mapping
+from collections.abc import KeysView, Mapping
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,6 +77,16 @@ _DISCLAIMED = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBU
     ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
     OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
     POSSIBILITY OF SUCH DAMAGE."""
+
+
+def _template(name: str) -> str:
+    """A whole license as its authors publish it, from the package."""
+    text = pkgutil.get_data(__package__, f"license_texts/{name}.txt")
+    if not text:
+        raise FileNotFoundError(f"no text of the license {name}")
+    return text.decode()
+
+
 _WHOLE = ("Apache-2.0", "CC0-1.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "GFDL-1.3",
           "Artistic")
 # Whole licenses by name.
@@ -96,16 +107,15 @@ TEXTS: Mapping[str, str] = {
     "BSD-3-Clause text": NOTICES["BSD-2-Clause"] + """ Neither the name of the copyright holder nor
         the names of its contributors may be used to endorse or promote products derived from this
         software without specific prior written permission. """ + _DISCLAIMED,
-    **{f"{n} text": (pkgutil.get_data(__package__, f"license_texts/{n}.txt") or b"").decode()
-       for n in _WHOLE},
+    **{f"{n} text": _template(n) for n in _WHOLE},
 }
 # License names in one-line notices, with or without a version.
 _VERSION = r"(?:[\s,(-]{0,3}(?:version|ver\.?|v\.?)?\s{0,2}(\d(?:\.\d)?)(?![\w])(?:\.0\b)?)"
 _NAMES = (
     ("CC-{}", r"(?:CC|Creative\s+Commons)[\s-]+(BY(?:[\s-]+(?:NC|SA|ND))*)" + _VERSION),
     ("CC0", r"CC0(?:[\s-]+1\.0)?"),
-    ("CC-{}", r"Creative\s+Commons\s+(Attribution(?:[\s-]+(?:Non-?Commercial|Share-?Alike|"
-              r"No-?Deriv(?:ative)?s))*)(?:\s+licen[sc]e)?" + _VERSION + "?"),
+    ("CC-{}", r"Creative\s+Commons\s+(Attribution(?:[\s-]+(?:Non[\s-]?Commercial|Share[\s-]?Alike|"
+              r"No[\s-]?Deriv(?:ative)?s))*)(?:\s+licen[sc]e)?" + _VERSION + "?"),
     ("AGPL", r"(?:GNU\s+)?(?:AGPL|Affero\s+General\s+Public\s+Licen[sc]e)" + _VERSION + "?"),
     ("LGPL", r"(?:GNU\s+)?(?:LGPL|(?:Lesser|Library)\s+General\s+Public\s+Licen[sc]e)" + _VERSION + "?"),
     ("GPL", r"(?:(?:GNU\s+)?GPL|GNU\s+General\s+Public\s+Licen[sc]e)" + _VERSION + "?"),
@@ -119,11 +129,15 @@ _NAMES = (
     ("ISC", r"ISC\s+licen[sc]e"),
     ("Unlicense", r"The\s+Unlicense"),
 )
+# The parts of a Creative Commons license by their names.
+_PARTS = {"attribution": "BY", "noncommercial": "NC", "sharealike": "SA", "noderivatives": "ND",
+          "noderivs": "ND"}
 _UNDER = (r"(?:(?:licen[sc]ed|released|distributed|published|available|made\s+available|provided|"
           r"offered|shared)\s+under\s+)?(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?(?:an?\s+)?")
 _LINES = [(name, re.compile(rf"(?<!\w){_UNDER}{shape}(?!\w)", re.I)) for name, shape in _NAMES]
 _SPDX = re.compile(r"SPDX-License-Identifier:\s{0,3}([\w.+-]+(?:[ \t]+(?-i:AND|OR|WITH)"
                    r"[ \t]+[\w.+-]+)*)", re.I)
+ANCHORS = (1, 2, 4)  # words of an anchor, the first that finds one
 _TOLD = re.compile(rb"licen[sc]|gpl|cc[ -]+by|commons|cc0|\bmpl|\bepl|bsd|apache")
 _WORD = re.compile(r"\w+")
 _BYTES = re.compile(rb"[a-z0-9_]+")
@@ -141,7 +155,9 @@ def lines(text: str) -> list[tuple[int, int, str]]:
         for m in shape.finditer(text):
             told = [g.rstrip(".") for g in m.groups() if g]
             if "{}" in name:
-                shown = name.format("-".join(re.split(r"[\s-]+", told.pop(0))).upper())
+                parts = re.sub(r"(?i)(non|share|no)[\s-]+(?=c|a|d)", r"\1", told.pop(0))
+                parts = [p.lower() for p in re.split(r"[\s-]+", parts)]
+                shown = name.format("-".join(_PARTS.get(p, p.upper()) for p in parts))
             else:
                 shown = name
             if name == "BSD" and told:
@@ -170,10 +186,24 @@ def longest_rise(values: list[int]) -> list[int]:
     return chain[::-1]
 
 
+def _anchors(notice: list[str], a: int, b: int, text: list[str], c: int, d: int,
+             size: int) -> list[tuple[int, int]]:
+    """Places of runs of ``size`` words that occur once in notice[a:b] and once in text[c:d], as
+    many as rise in both."""
+    ours = notice[a:b] if size == 1 else [tuple(notice[i:i + size]) for i in range(a, b - size + 1)]
+    theirs = text[c:d] if size == 1 else [tuple(text[i:i + size]) for i in range(c, d - size + 1)]
+    once = Counter(ours)
+    there = Counter(w for w in theirs if w in once)
+    place = {w: j for j, w in enumerate(theirs, c) if there.get(w) == 1}
+    pairs = [(i, place[w]) for i, w in enumerate(ours, a) if once[w] == 1 and w in place]
+    return [pairs[i] for i in longest_rise([y for _, y in pairs])]
+
+
 def align(notice: list[str], text: list[str]) -> list[tuple[int, int]]:
     """Matched places (in the notice, in the text) in rising order.
 
-    Beside an anchor the words that continue it match too; at the outer edges nothing does.
+    Where no word is unique on both sides, runs of two and of four words are. Beside an anchor the
+    words that continue it match too; at the outer edges nothing does.
     """
     found, gaps = [], [(0, len(notice), 0, len(text), False, False)]
     while gaps:
@@ -186,12 +216,9 @@ def align(notice: list[str], text: list[str]) -> list[tuple[int, int]]:
             found.append((b, d))
         if a == b or c == d:
             continue
-        once = Counter(notice[a:b])
-        there = Counter(w for w in text[c:d] if w in once)
-        place = {text[i]: i for i in range(c, d) if there.get(text[i]) == 1}
-        pairs = [(i, place[notice[i]]) for i in range(a, b)
-                 if once[notice[i]] == 1 and notice[i] in place]
-        chain = [pairs[i] for i in longest_rise([y for _, y in pairs])]
+        chain = []
+        for size in ANCHORS:
+            chain = chain or _anchors(notice, a, b, text, c, d, size)
         found += chain
         if chain:
             edges = [(a - 1, c - 1), *chain, (b, d)]
@@ -201,25 +228,45 @@ def align(notice: list[str], text: list[str]) -> list[tuple[int, int]]:
 
 
 class Notice:
-    """A notice's words, and seeds: words unique in it, so many that no match can miss them all."""
+    """A notice's words, and what every match of it holds.
+
+    A match lacks ``may_miss`` of the words at most. So the text has ``need`` words that the notice
+    has, each counted as often as both have it (inserted words do no harm); of any ``may_miss`` + 1
+    different words it has one; and of ``seeds``, words with more than ``may_miss`` places in the
+    notice, one is matched at one of its places, which tells where the match starts.
+    """
 
     def __init__(self, name: str, text: str, coverage: float):
         self.name, self.words = name, words(text)
+        self.counts = Counter(self.words)
+        if not self.words:
+            raise ValueError(f"the notice {name} has no words")
         self.need = max(1, -int(-coverage * len(self.words) // 1))
-        counts = Counter(self.words)
-        unique = sorted((w for w in counts if counts[w] == 1), key=lambda w: (-len(w), w))
         may_miss = len(self.words) - self.need
-        enough = len(unique) if len(self.words) > 150 else may_miss + 1
-        self.seeds = {w: self.words.index(w) for w in unique[:enough]}
-        self.least = max(1, len(self.seeds) - may_miss)
-        self.hints = frozenset(w.encode() for w in self.seeds if w.isascii())
+        rare = sorted(self.counts, key=lambda w: (self.counts[w], -len(w), w))
+        self.hints = frozenset(w.encode() for w in rare[:may_miss + 1]) if (
+            len(rare) > may_miss) else None
+        self.plain = {w.encode(): n for w, n in self.counts.items()}
+        self.seeds: dict[str, list[int]] = {}
+        left = may_miss + 1
+        for w in rare:
+            if left <= 0:
+                break
+            self.seeds[w] = [k for k, v in enumerate(self.words) if v == w]
+            left -= len(self.seeds[w])
         self.slack = len(self.words) // 4 + 2
 
+    def may_be_in(self, there: Counter, seen: KeysView) -> bool:
+        """Whether a text of these words can hold a match."""
+        if self.hints is not None and self.hints.isdisjoint(seen):
+            return False
+        return sum(min(n, there[w]) for w, n in self.plain.items() if w in seen) >= self.need
+
     def find(self, text: list[str], places: dict[str, list[int]]) -> list[tuple[int, int, int]]:
         """(first word, word after the last, matched words) of each match."""
-        if sum(w in places for w in self.seeds) < self.least:
+        if sum(min(n, len(places.get(w, ()))) for w, n in self.counts.items()) < self.need:
             return []
-        starts = sorted(p - k for w, k in self.seeds.items() for p in places.get(w, ()))
+        starts = sorted(p - k for w, at in self.seeds.items() for p in places.get(w, ()) for k in at)
         found, i = [], 0
         while i < len(starts):
             j = i
@@ -246,17 +293,16 @@ def scan_licenses(
     matches that overlap, the one with most matched words stays, then the earlier one, then the
     first name. Words are compared in lower case without punctuation. Without ``notices`` these are
     ``NOTICES`` and ``TEXTS``, and license names with a version, or SPDX identifiers, are told by
-    pattern as well, in whatever sentence (coverage 1). Notices that the caller lists need at least
-    one word that occurs once in them.
+    pattern as well, in whatever sentence (coverage 1). A notice without words raises.
 
     A missing or empty text has no licenses; rows that repeat are scanned alike; an input column
     named licenses is replaced. An empty table gives none.
     """
     by_pattern = notices is None
     listed = {**NOTICES, **TEXTS} if notices is None else notices
-    known = [n for n in (Notice(k, v, coverage) for k, v in listed.items()) if n.seeds]
-    # each notice is told by an ASCII part of its seeds, so most texts are passed over as bytes
-    plain = all(s.isascii() for n in known for s in n.seeds)
+    known = sorted((Notice(k, v, coverage) for k, v in listed.items()), key=lambda n: n.need)
+    # ASCII notices are compared with bytes first, which passes most texts over
+    plain = all(w.isascii() for n in known for w in n.counts)
     item = pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()),
                       ("coverage", pa.float64())])
 
@@ -268,8 +314,10 @@ def scan_licenses(
             low = b"" if raw is None else raw.to_pybytes().lower()
             told = by_pattern and _TOLD.search(low) is not None
             if plain:
-                seen = set(_BYTES.findall(low))
-                near = [n for n in known if len(n.hints & seen) >= n.least]
+                there = Counter(_BYTES.findall(low))
+                seen = there.keys()
+                near = [n for n in takewhile(lambda n: n.need <= there.total(), known)
+                        if n.may_be_in(there, seen)]
             else:
                 near = known
             if not near and not told:

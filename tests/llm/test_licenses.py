@@ -1,3 +1,8 @@
+import random
+
+import pytest
+
+from ballotcredit.llm import licenses
 from ballotcredit.llm.licenses import NOTICES, TEXTS, align, longest_rise, scan_licenses
 
 
@@ -54,6 +59,65 @@ def test_alignment():
     assert rise == [1, 2, 4, 5] and longest_rise([]) == []
 
 
+def common(a, b):
+    """Length of a longest common subsequence, by plain dynamic programming."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_alignment_against_dynamic_programming():
+    """Never more than the best, in rising order, and the best where all words are unique."""
+    draw = random.Random(8)
+    for _ in range(300):
+        kinds = draw.choice([4, 30, 300])
+        a = [f"w{draw.randrange(kinds)}" for _ in range(draw.randrange(25))]
+        b = [w if draw.random() < 0.8 else "x" for w in a for _ in range(draw.choice([1, 1, 1, 0, 2]))]
+        pairs = align(a, b)
+        assert pairs == sorted(set(pairs)) and all(a[i] == b[j] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+        assert len(pairs) <= common(a, b)
+        if len(set(a)) == len(a) and len(set(b) - {"x"}) == sum(w != "x" for w in b):
+            assert len(pairs) == common(a, b)
+
+
+def test_nothing_that_reaches_the_coverage_is_passed_over(docs):
+    """Copies without any of the words that occur once in their license, and of few words only."""
+    from collections import Counter
+
+    rows, want = [], {}
+    for i, name in enumerate(("GPL-3 text", "GFDL-1.3 text", "MIT text", "Apache-2.0")):
+        text = ({**NOTICES, **TEXTS})[name]
+        notice = licenses.words(text)
+        once = {w for w, n in Counter(notice).items() if n == 1}
+        lost = sorted(once)[:len(notice) // 10]
+        rows.append((i, " ".join("other" if w in lost else w for w in notice)))
+        want[i] = name
+        assert name != "GPL-3 text" or len(lost) >= 500
+    got = found(docs(*rows))
+    assert {k: [n for n, _, _ in v if n == want[k]] for k, v in got.items()} == {
+        k: [v] for k, v in want.items()}
+
+
+def test_names_of_one_license_and_unusable_notices(docs, monkeypatch):
+    told = {"Creative Commons Attribution 4.0": "CC-BY-4.0 line", "CC BY 4.0": "CC-BY-4.0 line",
+            "Creative Commons Attribution-NonCommercial-ShareAlike 3.0": "CC-BY-NC-SA-3.0 line",
+            "Creative Commons Attribution-Non Commercial-No Derivatives 4.0": "CC-BY-NC-ND-4.0 line",
+            "Creative Commons BY-ND 2.5": "CC-BY-ND-2.5 line"}
+    got = found(docs(*((i, f"under {t}, see") for i, t in enumerate(told))))
+    assert [[n for n, _, _ in got[i]] for i in range(len(told))] == [[n] for n in told.values()]
+    with pytest.raises(ValueError, match="has no words"):
+        scan_licenses(docs((1, "a")), notices={"n": " - "})
+    repeated = scan_licenses(docs((1, "x a b a b y")), notices={"n": "a b a b"}).first().licenses
+    assert [(x.start, x.end) for x in repeated] == [(2, 9)]
+    monkeypatch.setattr(licenses.pkgutil, "get_data", lambda package, name: b"")
+    with pytest.raises(FileNotFoundError):
+        licenses._template("MIT")
+
+
 def test_lines_of_the_sample(sample):
     got = found(sample("documents"))
     for r in sample("documents").collect():
