@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballotcredit import functions as fn
 from ballotcredit.constants import AUTOMATIC, NON_AUTOMATIC
 from ballotcredit.functions.numeric import format_pattern
 from ballotcredit.operators import coalition as co
-from ballotcredit.operators import donors, joins, loans, margin, panel, rd, rd_robust, rows, votes
+from ballotcredit.operators import (
+    donors,
+    joins,
+    loans,
+    margin,
+    numbering,
+    panel,
+    rd,
+    rd_robust,
+    rows,
+    votes,
+)
 from ballotcredit.operators.candidates import candidate_frame
 from ballotcredit.plans import channels
 from ballotcredit.sources import readers, schemas, sinks
@@ -484,15 +495,15 @@ def panel_in_reading_order(t):
 
     Rows that tie keep any order among them, so a tied row shows the first of its positions.
     """
-    ordered = panel.inspection_order(_municipality_panel(t, check=False))
-    place = F.rank().over(Window.partitionBy("ano").orderBy("colig", "votos"))
-    return ordered.select("ano", "colig", "votos", "id_candidato_bd", "vote_margin",
-                          place.cast("long").alias("position"))
+    read = numbering.with_rank(
+        _municipality_panel(t, check=False), ["colig", "votos"], "position", within=["ano"])
+    return panel.inspection_order(read).select(
+        "ano", "colig", "votos", "id_candidato_bd", "vote_margin", "position")
 
 
 def state_factor(t):
     listed = _with_coalition(t)
-    levels = fn.factor_levels(listed, "sigla_uf", "code")
+    levels = numbering.factor_levels(listed, "sigla_uf", "code")
     coded = joins.key_join(listed, levels, ["sigla_uf"])
     return coded.groupBy("sigla_uf", "code").agg(F.count(F.lit(1)).alias("n"))
 
@@ -705,7 +716,8 @@ QUERIES = {
         party_coalition_flag_unfilled, vote_margin, vote_margin_consistent, pooled_panel,
         pooled_panel_firms, panel_subsamples, state_factor, rd_effective_counts,
         rd_local_linear, rd_local_cubic, rd_std_error, rd_robust_error, rd_neighbour_error,
-        rd_result_grid, rd_result_grid_firms, rd_table_layout, loan_file_scan, report_file_scan, panel_in_reading_order,
+        rd_result_grid, rd_result_grid_firms, rd_table_layout, loan_file_scan, report_file_scan,
+        panel_in_reading_order,
         vote_files_by_year, snapshot_by_year, panel_folders, candidate_number_violations,
         municipality_panel_of_files, municipality_first_rows, pooled_panel_strict_union,
         place_alias, coalition_file_scan, disbursement_file_scan, quoted_file_scan,

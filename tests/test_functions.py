@@ -87,11 +87,6 @@ def test_compound_key_and_label(table):
                                 ("2014.RJ", None, 2014)]
 
 
-def test_factor_levels(table):
-    df = table("uf string", ("SP",), ("AC",), ("SP",), (None,))
-    assert rows(fn.factor_levels(df, "uf", "code")) == [("AC", 1), ("SP", 2)]
-
-
 # Estimates, errors and stars as printed.
 @pytest.mark.parametrize("estimate,error,marks", [
     (0.767, 0.512, ""), (1.117, 0.633, "+"), (1.216, 0.517, "*"), (1.018, 0.327, "**"),
