@@ -1,12 +1,14 @@
 """Exact top-k inner products: norm order, rotation, and Cauchy-Schwarz bounds.
 
-Vectors become integers, so scores are exact. They are rotated by the singular vectors of the
-whole table (its matrix of second moments), which puts most of a score into the first dimensions;
-partial score plus product of the remaining lengths bounds the whole. Candidates lie in blocks of
-descending length, queries in blocks, and every pair of blocks is one row of work: first each
-query block meets the block of longest candidates, which gives every query a score that its k-th
-best cannot fall below, then the pairs whose lengths cannot reach that score are left out, and
-within the others only vectors whose bounds reach it are scored in full.
+Vectors become integers, and scores are added up without rounding. For the bounds they are rotated
+by the singular vectors of the whole table (its matrix of second moments), which puts most of a
+score into the first dimensions; partial score plus product of the remaining lengths bounds the
+whole. Candidates lie in blocks of descending length, queries in blocks. Each query block first
+meets the block of longest candidates, which gives every query a score that its k-th best cannot
+fall below. The other pairs of blocks whose lengths can reach that score are worked through by
+candidate block: it is rotated once, and for each of its query blocks the partial sums grow stage
+by stage; a candidate that no query of the block can want any more is left out of the next stage,
+and those left after the last are scored exactly.
 """
 
 from __future__ import annotations
@@ -19,14 +21,24 @@ from pyspark.sql import functions as F
 from ballotcredit.llm.common import column
 from ballotcredit.sources.sinks import written
 
+STAGES = (8, 16, 32)  # dimensions of the partial sums
+EXACT = 2.0 ** 53  # integers below it are exact in doubles
+LEAST = np.iinfo(np.int64).min
+
+
 def integer_vectors(rows: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(id, v array of long, norm): floor(scale * x); rows that take no part are left out."""
+    """(id, v array of long, norm): floor(scale * x); rows that take no part are left out.
+
+    A component of 2^62 or more fails: its scores are no longs.
+    """
     part = rows.select(column(rows, vec_id).cast("long").alias("id"),
                        column(rows, vector).cast("array<double>").alias("x"))
     limit = F.lit(float("inf"))
     sound = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < limit))
     ints = part.where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(sound).select(
-        "id", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+        "id", F.transform("x", lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale))
+                          .otherwise(F.raise_error(F.lit("a component does not fit a long")))
+                          .cast("long")).alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     return ints.distinct().withColumn("norm", F.sqrt(square))
 
@@ -37,7 +49,7 @@ def moments(vectors: DataFrame, dims: int) -> np.ndarray:
     def outer(batches):
         total = np.zeros((dims, dims))
         for frame in batches:
-            m = _matrix(frame["v"], dims)
+            m = _matrix(frame["v"], dims).astype(np.float64)
             total += m.T @ m
         yield pd.DataFrame({"part": [0], "total": [total.tobytes()]})
 
@@ -52,13 +64,54 @@ def moments(vectors: DataFrame, dims: int) -> np.ndarray:
 
 
 def _matrix(values, dims: int) -> np.ndarray:
-    """Rows as a matrix of integers in doubles; shorter vectors end in zeros."""
-    m = np.zeros((len(values), dims))
+    """Rows as a matrix of integers; shorter vectors end in zeros."""
+    m = np.zeros((len(values), dims), np.int64)
     for i, v in enumerate(values):
         m[i, : len(v)] = v
     return m
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m.astype(np.float64) ** 2).sum(1))
+
+
+def exact_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows as longs; one that is no long fails.
+
+    No partial sum exceeds the product of the lengths: below 2^53 doubles add without rounding,
+    below 2^63 longs do, and Python's integers beyond.
+    """
+    if not len(queries) or not len(candidates):
+        return np.zeros((len(queries), len(candidates)), np.int64)
+    most = _lengths(queries).max() * _lengths(candidates).max() * (1 + 1e-9)
+    if most < EXACT:
+        return (queries.astype(np.float64) @ candidates.T.astype(np.float64)).astype(np.int64)
+    if most < 2.0**63:
+        return queries @ candidates.T
+    whole = queries.astype(object) @ candidates.T.astype(object)
+    if whole.max() >= 2**63 or whole.min() < -(2**63):
+        raise OverflowError("a score does not fit a long")
+    return whole.astype(np.int64)
+
+
+def rotated(vectors: np.ndarray, rotation: np.ndarray, stages) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rotated rows, and their lengths beyond the dimensions of each stage."""
+    turned = vectors.astype(np.float64) @ rotation
+    return turned, [np.sqrt((turned[:, at:] ** 2).sum(1)) for at in stages]
+
+
+def within_reach(queries, candidates, floors: np.ndarray, stages, slack: float) -> np.ndarray:
+    """Places of the candidates that some query can still want, by the bounds of all stages."""
+    (q, q_rest), (c, c_rest) = queries, candidates
+    left, partial, before = np.arange(len(c)), np.zeros((len(q), len(c))), 0
+    for at, q_far, c_far in zip(stages, q_rest, c_rest, strict=True):
+        partial += q[:, before:at] @ c[left, before:at].T
+        bound = partial + q_far[:, None] * c_far[left][None, :]
+        stay = (bound >= (floors - slack)[:, None]).any(0)
+        left, partial, before = left[stay], partial[:, stay], at
+    return left
+
+
 def _blocks(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
     """Vectors packed in blocks of about ``rows`` rows, numbered from 1 by descending length.
 
@@ -84,7 +137,7 @@ def _blocks(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
         m = _matrix(values, dims)
         return pd.DataFrame({
             "ids": [np.array(ids, np.int64).tobytes()], "vectors": [m.tobytes()],
-            "longest": [float(np.sqrt((m * m).sum(1).max()))]})
+            "longest": [float(_lengths(m).max())]})
 
     ordered = vectors.repartitionByRange(parts, F.desc("norm"), "id").sortWithinPartitions(
         F.desc("norm"), "id")
@@ -97,7 +150,7 @@ def _blocks(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
 
 
 def _unpack(ids: bytes, vectors: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors).reshape(-1, dims)
+    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dims)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
@@ -117,7 +170,8 @@ def top_k(
     scale: int = 64,
     query_rows: int = 512,
     block_rows: int = 4096,
-    head_dims: float = 0.25,
+    stages: tuple[int, ...] = STAGES,
+    spread: int = 4,
     vec_id: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
@@ -127,10 +181,13 @@ def top_k(
     own id is no candidate. Fewer candidates give fewer rows. Rows whose id or vector is missing
     or holds a missing or non-finite component take no part; a shorter vector counts as ending in
     zeros; rows that repeat id and vector count once. Other columns of the tables are not read.
-    An empty table gives no rows. Result columns have fixed names.
+    An empty table gives no rows. Result columns have fixed names. A component or a score that no
+    long can hold fails the query.
 
-    Work per row is one pair of a block of ``query_rows`` queries and one of ``block_rows``
-    candidates, whatever the sizes of the tables and whatever vectors repeat.
+    A task holds one block of ``block_rows`` candidates and takes its blocks of ``query_rows``
+    queries one after the other, whatever the sizes of the tables and whatever vectors repeat. The
+    query blocks of a candidate block are dealt to ``spread`` tasks. ``stages`` are the dimensions
+    at which candidates are dropped.
     """
     spark = rows.sparkSession
     result = "query_id long, rank int, vec_id long, score long"
@@ -142,53 +199,58 @@ def top_k(
     dims = max(dims, 1)
     _, rotation = np.linalg.eigh(moments(base, dims))
     rotation = np.ascontiguousarray(rotation[:, ::-1])
-    lead = max(1, round(head_dims * dims))
+    stages = [at for at in stages if at < dims]
     blocks = written(_blocks(base, block_rows, dims))
     askers = written(_blocks(asked, query_rows, dims))
     last = blocks.count()
     head = blocks.where("block = 1").drop("block").first()  # bounded by the rows of a block
 
-    def score(query: pd.Series, candidates, floors: np.ndarray | None) -> pd.DataFrame:
+    def prepared(block):
+        ids, m = _unpack(block.ids, block.vectors, dims)
+        return ids, m, rotated(m, rotation, stages), _lengths(m).max()
+
+    def score(query, block, floors: np.ndarray | None) -> pd.DataFrame:
         """Best k of a pair of blocks, of those that can reach the query's floor."""
-        qid, q = _unpack(query.q_ids, query.q_vectors, dims)
-        cid, c = _unpack(candidates.ids, candidates.vectors, dims)
-        floors = np.full(len(qid), -np.inf) if floors is None else floors
-        qr, cr = q @ rotation, c @ rotation
-        bound = qr[:, :lead] @ cr[:, :lead].T
-        q_rest = np.sqrt((qr[:, lead:] ** 2).sum(1))
-        bound += q_rest[:, None] * np.sqrt((cr[:, lead:] ** 2).sum(1))[None, :]
-        slack = 1e-6 * (1 + np.sqrt((q * q).sum(1))[:, None] * candidates.longest)
-        qi, ci = np.nonzero(bound + slack >= floors[:, None])
-        own = qid[qi] != cid[ci]
-        qi, ci = qi[own], ci[own]
-        scores = np.empty(len(qi))
-        for at in range(0, len(qi), 65536):
-            part = slice(at, at + 65536)
-            scores[part] = np.einsum("ij,ij->i", q[qi[part]], c[ci[part]])
-        reach = scores >= floors[qi]
-        qi, ids, scores = _best(qi[reach], cid[ci[reach]], scores[reach], k)
+        qid, q = _unpack(query.ids, query.vectors, dims)
+        cid, c, turned, longest = block
+        places = np.arange(len(cid))
+        if floors is not None:
+            slack = 1e-6 * (1 + _lengths(q) * longest)
+            places = within_reach(rotated(q, rotation, stages), turned, floors.astype(np.float64),
+                                  stages, slack)
+        scores = exact_scores(q, c[places])
+        wanted = qid[:, None] != cid[places][None, :]
+        if len(places) > k + 1:  # the own id may be among the k + 1 best
+            wanted &= scores >= np.partition(scores, -k - 1, axis=1)[:, -k - 1, None]
+        if floors is not None:
+            wanted &= scores >= floors[:, None]
+        qi, ci = np.nonzero(wanted)
+        qi, ids, best = _best(qi, cid[places[ci]], scores[qi, ci], k)
         return pd.DataFrame({
-            "q_block": query.q_block, "at": qi, "query_id": qid[qi], "vec_id": ids,
-            "score": scores.astype(np.int64)})
+            "q_block": query.q_block, "at": qi, "query_id": qid[qi], "vec_id": ids, "score": best})
 
     def score_head(frames):
+        block = prepared(head)
         for frame in frames:
             for row in frame.itertuples():
-                yield score(row, head, None)
+                yield score(row, block, None)
 
     def score_pairs(frames):
+        block = None
         for frame in frames:
             for row in frame.itertuples():
-                yield score(row, row, np.frombuffer(row.floors))
+                if row.q_block < 0:
+                    block = prepared(row)
+                else:
+                    yield score(row, block, np.frombuffer(row.floors, np.int64))
 
     found = "q_block long, at long, query_id long, vec_id long, score long"
-    q = askers.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"),
-                      F.col("vectors").alias("q_vectors"), F.col("longest").alias("q_longest"))
+    q = askers.select(F.col("block").alias("q_block"), "ids", "vectors")
     first = written(q.mapInPandas(score_head, found))
 
     def floor(frame: pd.DataFrame) -> pd.DataFrame:
         """Score that a query's k-th best cannot fall below: its k-th in the head block."""
-        low = np.full(query_rows * 2, -np.inf)
+        low = np.full(query_rows * 2, LEAST)
         kth = frame.groupby("at")["score"].agg(["size", "min"])
         kth = kth[kth["size"] >= k]
         low[kth.index] = kth["min"]
@@ -200,11 +262,11 @@ def top_k(
         for frame in frames:
             lows, weak = [], []
             for row in frame.itertuples():
-                ids, m = _unpack(row.q_ids, row.q_vectors, dims)
-                low = (np.full(len(ids), -np.inf) if row.low is None
-                       else np.frombuffer(row.low)[: len(ids)])
+                ids, m = _unpack(row.ids, row.vectors, dims)
+                low = (np.full(len(ids), LEAST) if row.low is None
+                       else np.frombuffer(row.low, np.int64)[: len(ids)])
                 lows.append(low.tobytes())
-                length = np.sqrt((m * m).sum(1))
+                length = _lengths(m)
                 # shortest candidate that can still matter to some query of the block
                 with np.errstate(divide="ignore", invalid="ignore"):
                     need = np.where(low > 0, low / length, 0.0)
@@ -212,15 +274,20 @@ def top_k(
             yield frame.drop(columns=["low"]).assign(floors=lows, need=weak)
 
     asking = q.join(floors, F.col("q_block") == F.col("f_block"), "left").drop("f_block").mapInPandas(
-        reach, "q_block long, q_ids binary, q_vectors binary, q_longest double, floors binary, "
-               "need double")
+        reach, "q_block long, ids binary, vectors binary, floors binary, need double")
     others = F.explode(F.when(F.lit(last > 1), F.sequence(F.lit(2), F.lit(max(last, 2)))))
     plan = asking.select("q_block", "need", others.alias("block")).join(
         blocks.select("block", "longest"), "block"
     ).where(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("q_block", "block")
-    work = plan.join(asking.drop("need"), "q_block").join(blocks, "block").repartition(
-        "q_block", "block")
-    rest = work.mapInPandas(score_pairs, found)
+    # Each task gets a candidate block (q_block -1) and then its query blocks.
+    part = F.pmod(F.col("q_block"), F.lit(spread)).cast("int")
+    work = plan.join(asking.drop("need"), "q_block").withColumn("part", part)
+    held = blocks.where("block > 1").drop("longest").withColumns({
+        "q_block": F.lit(-1).cast("long"), "floors": F.lit(None).cast("binary"),
+        "part": F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))})
+    rest = held.unionByName(work).repartition("block", "part").sortWithinPartitions(
+        "block", "part", "q_block").select("q_block", "ids", "vectors", "floors").mapInPandas(
+        score_pairs, found)
     ranked = Window.partitionBy("query_id", "q_block", "at").orderBy(F.desc("score"), "vec_id")
     return (
         first.unionByName(rest)

@@ -1,7 +1,10 @@
 import math
 import random
 
-from ballotcredit.llm.topk import top_k
+import numpy as np
+import pytest
+
+from ballotcredit.llm.topk import exact_scores, rotated, top_k, within_reach
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -39,7 +42,7 @@ def test_blocks_ties_and_odd_rows(spark):
     want = brute(rows, 20)
     assert run(spark, rows) == want
     assert run(spark, rows, query_rows=4, block_rows=16) == want
-    assert run(spark, rows, query_rows=3, block_rows=7, head_dims=1.0) == want
+    assert run(spark, rows, query_rows=3, block_rows=7, stages=(1, 2, 5), spread=1) == want
 
 
 def test_unequal_lengths_are_pruned_rightly(spark):
@@ -55,3 +58,39 @@ def test_few_rows(spark):
     rows = [(0, [1.0]), (1, [-1.0]), (2, [1.0])]
     assert run(spark, rows) == brute(rows, 20)
     assert run(spark, [(0, None), (20, [])]) == []
+
+
+def test_large_components_are_scored_without_rounding(spark):
+    """Scores beyond 2^53, where doubles round, against Python's integers."""
+    rng = random.Random(6)
+    for size in (1_000_000, 1_000_000_000 // 64):
+        rows = [(i, [float(np.float32(rng.uniform(-size, size))) for _ in range(5)])
+                for i in range(150)]
+        assert run(spark, rows, k=7, query_rows=4, block_rows=20) == brute(rows, 7)
+
+
+def test_scores_that_no_long_holds_fail(spark):
+    a, b = np.array([[2**40, 1]]), np.array([[2**22, 3], [-(2**22), 5]])
+    assert exact_scores(a, b).tolist() == [[2**62 + 3, -(2**62) + 5]]
+    with pytest.raises(OverflowError):
+        exact_scores(a, np.array([[2**24, 1]]))
+    wide = np.array([[2**40, 2**40]])
+    assert exact_scores(wide, np.array([[2**24, -(2**24)]])).tolist() == [[0]]
+    for bad in (1e30, 2.0**36):
+        with pytest.raises(Exception, match="does not fit a long"):
+            run(spark, [(0, [bad, 1.0]), (1, [bad, 1.0])])
+
+
+def test_bounds_never_drop_a_candidate_in_reach():
+    rng = np.random.default_rng(3)
+    c = (rng.normal(size=(400, 24)) * np.linspace(40, 1, 24)).astype(np.int64)
+    q = c[:30]
+    _, rotation = np.linalg.eigh((c.T @ c).astype(float))
+    rotation = rotation[:, ::-1]
+    scores = q @ c.T
+    for k in (1, 5, 50):
+        floors = np.sort(scores, 1)[:, -k]
+        left = within_reach(rotated(q, rotation, (4, 8, 16)), rotated(c, rotation, (4, 8, 16)),
+                            floors.astype(float), (4, 8, 16), np.full(30, 1e-3))
+        assert set(np.nonzero((scores >= floors[:, None]).any(0))[0]) <= set(left.tolist())
+        assert k > 1 or len(left) < 400
