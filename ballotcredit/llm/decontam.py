@@ -2,8 +2,12 @@
 
 Numbers, names and units become typed placeholders, so a question with other numbers or names has
 the same template. Windows of template words, and of plain words for copies in another letter case,
-are hashed and joined between documents and benchmark items; pairs that meet are aligned on their whole texts, and the values behind the placeholders
-must map to each other consistently.
+are hashed and joined between documents and benchmark items; pairs that meet are aligned on their
+whole texts, and the values behind the placeholders must map to each other consistently.
+
+An item that is found shares many windows with the document, so it need not be looked up by all: its
+most frequent windows, which many items have, are left out as far as no match can share them alone.
+A document's text is sent once with the texts of up to ``TOGETHER`` items that it met.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ballotcredit.llm.common import column
@@ -38,6 +43,7 @@ _MARKS = {NUMBER: 0x1111111111111111, TITLE: 0x2222222222222222, UNIT: 0x4444444
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 24
 _KEPT = 200_000
+TOGETHER = 64
 
 
 class _Codes(dict):
@@ -63,26 +69,32 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def readings(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, template hash with names at sentence starts, plain hash) of each token of a
-    text; the templates differ from the plain hash at placeholders."""
-    counts = [len(line.split()) for line in text.split("\n")]
-    tokens = text.split()
-    codes = np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
-    if not len(codes):
-        return codes, codes, codes
-    flags = (codes & np.uint64(15)).astype(np.int64)
-    starts = np.zeros(len(codes), bool)
-    begins = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    if sum(counts) == len(codes):
-        starts[begins[begins < len(codes)]] = True
-    starts[1:] |= (flags[:-1] & STOP) > 0
-    starts[0] = True
+def read_batch(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(row, template hash, template hash with names at sentence starts, plain hash) of each token
+    of some texts, in one pass over all of them; a missing text has no tokens.
+
+    The templates differ from the plain hash at placeholders.
+    """
+    lines = pc.split_pattern(texts, "\n")
+    split = pc.utf8_split_whitespace(pc.list_flatten(lines))
+    tokens = pc.list_flatten(split)
+    whole = pc.not_equal(tokens, "")
+    tokens = tokens.filter(whole).dictionary_encode()
+    line = pc.list_parent_indices(split).filter(whole)
+    row = pc.list_parent_indices(lines).take(line).to_numpy()
+    line = line.to_numpy()
+    words = tokens.dictionary.to_pylist()
+    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    if not len(row):
+        return row, codes, codes, codes
+    codes = codes[tokens.indices.to_numpy()]
+    flags = (codes & np.uint64(15)).astype(np.uint8)
+    opens = np.concatenate([[True], row[1:] != row[:-1]])  # the first token of a text
+    starts = opens | np.concatenate([[True], (line[1:] != line[:-1]) | ((flags[:-1] & STOP) > 0)])
     plain = codes & ~np.uint64(15)
     number = (flags & NUMBER) > 0
-    unit = (flags & UNIT) > 0
+    unit = ((flags & UNIT) > 0) & ~opens
     unit[1:] &= number[:-1]
-    unit[0] = False
     title = ((flags & TITLE) > 0) & ~unit
     result = plain.copy()
     result[title & ~starts] = _MARKS[TITLE]
@@ -91,7 +103,12 @@ def readings(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for marks in (result, named):
         marks[unit] = _MARKS[UNIT]
         marks[number] = _MARKS[NUMBER]
-    return result, named, plain
+    return row, result, named, plain
+
+
+def readings(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three hashes of ``read_batch`` for one text."""
+    return read_batch(pa.array([text], pa.string()))[1:]
 
 
 def template(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -180,15 +197,16 @@ def _aligned(runs: list[tuple[int, int, int]], low: int, high: int,
     return np.concatenate(left), np.concatenate(right)
 
 
-def leak(doc: str, item: str, size: int, least_plain: int) -> tuple[float, int, int, bool, bool]:
-    """How an item stands in a document: (coverage, first token, token after the last, consistent,
+def leak(doc: tuple[np.ndarray, ...] | str, item: str, size: int, least_plain: int,
+         ) -> tuple[float, int, int, bool, bool]:
+    """How an item stands in a document, or in its readings: (coverage, first token, token after the last, consistent,
     changed), for the consistent stretch of the document that covers most of the item's tokens.
 
     Within a stretch each token of the item stands for one token of the document. Windows of equal
     words are judged on their own too, as other variants of the item may lie beside a copy.
     """
     item_marks, _, item_plain = readings(item)
-    doc_readings = readings(doc)
+    doc_readings = readings(doc) if isinstance(doc, str) else doc
     doc_plain = doc_readings[2]
     found, size = item_windows(item, size, least_plain)
     met = [_matches(f, windows(marks, size)) for f, marks in zip(found, doc_readings, strict=True)]
@@ -246,6 +264,19 @@ def _bitmap(index: DataFrame) -> np.ndarray:
     return np.unpackbits(bits).astype(bool)
 
 
+def _rare_windows(index: DataFrame, coverage: float) -> DataFrame:
+    """Rows of ``index`` without the windows that no match can share alone.
+
+    A match covers ``coverage`` of an item's tokens, by windows of ``size``: it shares a number of
+    its windows. The most frequent windows, whose places are fewer than that, may all be left out.
+    """
+    spread = index.groupBy("hash").agg(F.count(F.lit(1)).alias("items"))
+    commonest = Window.partitionBy("item_id", "item").orderBy(F.desc("items"), "hash").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return index.join(spread, "hash").withColumn("passed", F.sum("places").over(commonest)).where(
+        F.col("passed") * F.col("size") >= F.col("tokens") * coverage).drop("passed", "items", "item")
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -285,54 +316,78 @@ def find_leaks(
 
     def enter(batches):
         for batch in batches:
-            rows, hashes, sizes = [], [], []
+            rows, hashes, sizes, tokens, places = [], [], [], [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
                 found, size = item_windows(value, window, least_plain)
-                found = np.unique(np.concatenate([h for h, _ in found]))
-                rows += [i] * len(found)
-                hashes += found.astype(np.int64).tolist()
-                sizes += [size] * len(found)
+                hash_, place = (np.concatenate(parts) for parts in zip(*found, strict=True))
+                # A window that two readings share at one place is one.
+                pairs = np.unique(np.stack([hash_.view(np.int64), place.astype(np.int64)]), axis=1)
+                hash_, n = np.unique(pairs[0], return_counts=True)
+                rows += [i] * len(hash_)
+                hashes += hash_.tolist()
+                sizes += [size] * len(hash_)
+                tokens += [len(readings(value)[0])] * len(hash_)
+                places += n.tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(hashes, pa.int64()),
-                 pa.array(sizes, pa.int32())], names=["item_id", "hash", "size"])
-
-    index = written(items.mapInArrow(enter, f"item_id {item_type}, hash long, size int"))
+                [batch.column(0).take(pa.array(rows, pa.int32())),
+                 batch.column(1).take(pa.array(rows, pa.int32())), pa.array(hashes, pa.int64()),
+                 pa.array(sizes, pa.int32()), pa.array(tokens, pa.int64()),
+                 pa.array(places, pa.int64())],
+                names=["item_id", "item", "hash", "size", "tokens", "places"])
+
+    whole = written(items.mapInArrow(
+        enter, f"item_id {item_type}, item string, hash long, size int, tokens long, places long"))
+    index = written(_rare_windows(whole, coverage))
     sizes = sorted(r.size for r in index.select("size").distinct().collect())
     bits = _bitmap(index)
 
     def look(batches):
         for batch in batches:
-            rows, hashes = [], []
-            for i, value in enumerate(batch.column(1).to_pylist()):
-                read = readings(value)
-                for size in sizes:
-                    found = [windows(marks, size) for marks in read]
-                    found = np.unique(np.concatenate([
-                        h[bits[h & np.uint64((1 << _BITS) - 1)]] for h in found]))
-                    rows += [i] * len(found)
-                    hashes += found.astype(np.int64).tolist()
+            row, *read = read_batch(batch.column(1))
+            rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for size in sizes:
+                inside = row[size - 1:] == row[: max(0, len(row) - size + 1)]
+                for marks in read:
+                    found = windows(marks, size)
+                    at = np.flatnonzero(inside & bits[found & np.uint64((1 << _BITS) - 1)])
+                    rows.append(row[at])
+                    hashes.append(found[at])
+            pairs = np.unique(np.stack(
+                [np.concatenate(rows), np.concatenate(hashes).view(np.int64)]), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int32())), pa.array(hashes, pa.int64())],
+                [batch.column(0).take(pa.array(pairs[0])), pa.array(pairs[1])],
                 names=["doc_id", "hash"])
 
     met = slim.mapInArrow(look, f"doc_id {doc_type}, hash long").join(
         index.select("item_id", "hash"), "hash").select("doc_id", "item_id").distinct()
-    met = written(met)
-    texts = slim.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
-
-    @F.arrow_udf("coverage double, first_token long, end_token long, consistent boolean, "
-                 "changed boolean")
-    def judged(doc_texts: pa.Array, item_texts: pa.Array) -> pa.Array:
-        found = [leak(d, i, window, least_plain) for d, i in
-                 zip(doc_texts.to_pylist(), item_texts.to_pylist(), strict=True)]
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("item_id"))
+    asked = written(
+        met.withColumn("group", F.floor((number - 1) / TOGETHER)).join(items, "item_id")
+        .groupBy("doc_id", "group").agg(F.collect_list(F.struct("item_id", "item")).alias("asked"))
+        .drop("group"))
+    judged_type = (f"array<struct<item_id:{item_type},coverage:double,first_token:bigint,"
+                   "end_token:bigint,consistent:boolean,changed:boolean>>")
+
+    @F.arrow_udf(judged_type)
+    def judged(doc_texts: pa.Array, items: pa.Array) -> pa.Array:
+        ids = pc.struct_field(items.values, "item_id")
+        texts = pc.struct_field(items.values, "item").to_pylist()
+        edges, found = items.offsets.to_pylist(), []
+        for value, a, b in zip(doc_texts.to_pylist(), edges, edges[1:], strict=False):
+            doc = readings(value)
+            found += [leak(doc, texts[k], window, least_plain) for k in range(a, b)]
         columns = list(zip(*found, strict=True)) or [[], [], [], [], []]
         kinds = [pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-        return pa.StructArray.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-            names=["coverage", "first_token", "end_token", "consistent", "changed"])
-
-    pairs = met.join(items, "item_id").join(texts, "doc_id").select(
-        "doc_id", "item_id", judged("doc", "item").alias("leak"))
+        shown = ids.slice(edges[0], edges[-1] - edges[0]) if edges else ids
+        structs = pa.StructArray.from_arrays(
+            [shown, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
+            names=["item_id", "coverage", "first_token", "end_token", "consistent", "changed"])
+        return pa.ListArray.from_arrays(
+            pa.array([e - edges[0] for e in edges], pa.int32()), structs)
+
+    pairs = asked.join(slim, "doc_id").select(
+        "doc_id", F.explode(judged("doc", "asked")).alias("leak")).select(
+        "doc_id", "leak.item_id", "leak")
     best = pairs.where((F.col("leak.coverage") >= coverage) & F.col("leak.consistent")).groupBy(
         "doc_id", "item_id").agg(F.max(F.struct(
             "leak.coverage", "leak.first_token", "leak.end_token", "leak.changed")).alias("leak"))
