@@ -30,7 +30,6 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 PIECE = 1 << 20  # code points of a long text that are split at a time
 NAMED = 32  # prefixes up to so many letters are nodes by their letters, longer ones by a digest
 DEPTH = 2  # of the tries' roots: no state starts above
-STATES = "side int, word string, rest string, node string, near string"
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -46,12 +45,8 @@ def _pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def damaged(start: int, run: str, every: int) -> str:
-    """The run without one letter where ``every`` divides its CRC-32, which goes on from ``start``."""
-    check = zlib.crc32(run.encode(), start)
-    if check % every:
-        return run
-    i = check % len(run)
+def without_letter(run: str, number: int) -> str:
+    i = number % len(run)
     return run[:i] + run[i + 1:]
 
 
@@ -71,7 +66,8 @@ def word_counts(docs: DataFrame, doc_id: str, text: str, every: int | None) -> D
                     continue
                 start = zlib.crc32(f"{'' if doc is None else doc}:".encode())
                 for run, n in found.items():
-                    total[damaged(start, run, every)] += n
+                    check = zlib.crc32(run.encode(), start)
+                    total[run if check % every else without_letter(run, check)] += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
                 names=["word", "n"])
@@ -135,57 +131,46 @@ def _starts(paths: DataFrame) -> DataFrame:
         _node(F.col("word"), F.col("at")).alias("node"), F.lit(None).cast("string").alias("near"))
 
 
-def follow(word: str, rest: str, label: str, ends: bool) -> Iterator[tuple[str, str | None]]:
-    """(letters left, neighbour so far) of a state without edits behind an edge.
-
-    At the first letter that differs the state takes its edit; every neighbour is met there, since
-    each of its edges is followed as far as it equals the word.
-    """
-    j, most = 0, min(len(rest), len(label))
-    while j < most and rest[j] == label[j]:
-        j += 1
-    if j == len(label):
-        if ends and len(rest) - j == 1:
-            yield "", word[:-1]
-        if j < len(rest):
-            yield rest[j:], None
-    elif j < len(rest):
-        at, left = len(word) - len(rest) + j, rest[j + 1:]
-        if label[j] > rest[j] and left.startswith(label[j + 1:]):
-            yield left[len(label) - j - 1:], word[:at] + label[j] + word[at + 1:]
-        if left.startswith(label[j:]):
-            yield left[len(label) - j:], word[:at] + word[at + 1:]
-
-
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states behind one more edge; ``found`` marks those that reached a neighbour's end."""
+    """The states behind one more edge; ``found`` marks those that reached a neighbour's end.
 
-    def branch(batches):
-        for batch in batches:
-            side, word, rest, child, label, ends, ahead = (c.to_pylist() for c in batch.columns)
-            out = []
-            for i in range(len(word)):
-                for left, near in follow(word[i], rest[i], label[i], ends[i]):
-                    # An edited state goes on where its next letter does, or ends with a word.
-                    if near is None or (left[0] in ahead[i] if left else ends[i]):
-                        out.append((side[i], word[i], left, child[i], near,
-                                    near is not None and not left))
-            columns = zip(*out, strict=True) if out else ((),) * 6
-            kinds = (pa.int32(), *[pa.string()] * 4, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["side", "word", "rest", "node", "near", "found"])
-
-    whole = states.where("near IS NULL").join(edges, ["side", "node"]).select(
-        "side", "word", "rest", "child", "label", "ends", "next").mapInArrow(
-        branch, f"{STATES}, found boolean")
-    edited = states.where("near IS NOT NULL").withColumn("first", F.substring("rest", 1, 1)).join(
-        edges, ["side", "node", "first"]).where(F.expr("startswith(rest, label)")).select(
-        "side", "word", F.expr("substring(rest, char_length(label) + 1)").alias("rest"),
-        F.col("child").alias("node"), "near", "ends", "next")
-    return whole.unionByName(edited.where(
-        "CASE WHEN rest = '' THEN ends ELSE contains(next, left(rest, 1)) END").select(
-        "side", "word", "rest", "node", "near", (F.col("rest") == "").alias("found")))
+    A state without edits goes on where its edge equals the word's letters, and ends with the word
+    before its last letter. Elsewhere the first letter that differs lies inside the edge, which is
+    the next letters of the neighbour: one letter of the word is replaced by a greater one, or left
+    out. Every neighbour is met there, since its edges are followed as far as they equal the word.
+    """
+    ahead = F.expr("CASE WHEN left = '' THEN ends ELSE contains(next, left(left, 1)) END")
+    # Letters that an edit leaves behind the edge, and the neighbour so far, or null.
+    options = """CASE
+        WHEN startswith(rest, label) THEN array(
+            IF(char_length(rest) > n, struct(substring(rest, n + 1) AS left, CAST(NULL AS STRING) AS near),
+               NULL),
+            IF(ends AND char_length(rest) = n + 1, struct('' AS left, left(word, char_length(word) - 1)
+               AS near), NULL))
+        ELSE array(
+            IF(char_length(rest) >= n AND label > left(rest, n) AND levenshtein(left(rest, n), label, 1) = 1,
+               struct(substring(rest, n + 1) AS left, concat(head, label, substring(rest, n + 1)) AS near),
+               NULL),
+            IF(char_length(rest) > n AND levenshtein(left(rest, n + 1), label, 1) = 1,
+               struct(substring(rest, n + 2) AS left, concat(head, label, substring(rest, n + 2)) AS near),
+               NULL)) END"""
+    met = (
+        states.where("near IS NULL").drop("near").join(edges, ["side", "node"])
+        .withColumn("n", F.char_length("label"))
+        .withColumn("head", F.expr("left(word, char_length(word) - char_length(rest))"))
+        .select("side", "word", "child", "ends", "next", F.explode(F.expr(options)).alias("option"))
+        .where("option IS NOT NULL").select("side", "word", "child", "ends", "next", "option.*")
+        .where(F.col("near").isNull() | ahead)
+    )
+    edited = (
+        states.where("near IS NOT NULL").withColumn("first", F.substring("rest", 1, 1))
+        .join(edges, ["side", "node", "first"]).where(F.expr("startswith(rest, label)"))
+        .withColumn("left", F.expr("substring(rest, char_length(label) + 1)")).where(ahead)
+        .select(*met.columns)
+    )
+    return met.unionByName(edited).select(
+        "side", "word", F.col("left").alias("rest"), F.col("child").alias("node"), "near",
+        (F.col("near").isNotNull() & (F.col("left") == "")).alias("found"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
