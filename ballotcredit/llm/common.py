@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The white space of a text, code points 9 to 13 and 32.
@@ -40,3 +40,9 @@ def raw_texts(values: pa.Array) -> list[bytes]:
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for a missing one."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's JVM
+    collects garbage, now and not some time later."""
+    spark._jvm.System.gc()

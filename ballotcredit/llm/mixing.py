@@ -123,10 +123,12 @@ def mix_sources(
 
     ``size`` names a column of ready word counts, for calls without the texts; without it the rows
     are written once with their counts, so texts are counted once. The four result
-    columns replace input columns of these names. A missing or empty text has size 0 and is not
-    taken; rows that repeat an id are separate documents; an empty table gives none.
+    columns replace input columns of these names. A missing or empty text has size 0, is not taken
+    and takes no part in a shard, however many there are; rows that repeat an id are separate
+    documents; an empty table gives none.
     """
-    words = word_count(column(docs, text)) if size is None else column(docs, size).cast("long")
+    words = word_count(column(docs, text)) if size is None else F.coalesce(
+        column(docs, size).cast("long"), F.lit(0))
     slim = without(docs, ["size", "source_size", "target", "taken"] if size != "size" else
                    ["source_size", "target", "taken"])
     names = [c for c in slim.columns if c != size or size != "size"]
@@ -151,10 +153,11 @@ def mix_sources(
     )
     own |= {n: fresh(base.columns, n) for n in ("t_source", "t_place", "source_size", "target",
                                                  "t_won", "n_shards")}
-    placed = base.join(
+    known = base.join(
         won.toDF(*[own[c] for c in won.columns]),
         F.col(own["m_source"]).eqNullSafe(F.col(own["t_source"])),
-    ).withColumn(own["m_shard"], F.pmod(F.shiftright(own["m_order"], 20), F.col(own["n_shards"])))
+    )
+    placed = known.where(F.col(own["m_size"]) > 0).withColumn(own["m_shard"], F.pmod(F.shiftright(own["m_order"], 20), F.col(own["n_shards"])))
     shards = written(
         placed.groupBy(F.col(own["t_place"]).alias("q_source"), F.col(own["m_shard"]).alias("place"))
         .agg(F.sum(own["m_size"]).alias("shard_size"), F.first(own["t_won"]).alias("seats"))
@@ -186,10 +189,15 @@ def mix_sources(
     first, last = F.floor(start / block_words), F.floor((stop - 1) / block_words)
     more = F.when(length > 0, F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), overlap))
     taken = passes * length + F.coalesce(more, F.lit(0))
-    return laid.select(
-        *[column(laid, c) for c in names],
-        length.alias("size"),
-        F.col(own["source_size"]).alias("source_size"),
-        F.col(own["target"]).alias("target"),
-        taken.cast("long").alias("taken"),
-    )
+
+    def shown(rows: DataFrame, taken: Column) -> DataFrame:
+        return rows.select(
+            *[column(rows, c) for c in names],
+            F.col(own["m_size"]).alias("size"),
+            F.col(own["source_size"]).alias("source_size"),
+            F.col(own["target"]).alias("target"),
+            taken.cast("long").alias("taken"),
+        )
+
+    empty = known.where(F.col(own["m_size"]) <= 0)
+    return shown(laid, taken).unionByName(shown(empty, F.lit(0)))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotcredit.llm.common import column, fresh, raw_texts, without
+from ballotcredit.llm.common import column, fresh, raw_texts, release, without
 from ballotcredit.llm.suffixes import first_starts
 from ballotcredit.sources.sinks import written
 
@@ -233,6 +233,7 @@ def repeated_windows(texts: DataFrame, length: int, k: int) -> DataFrame:
                 .where("places > 1").select("class"))
     spans = written(_spans(texts, length, k).join(
         repeated.hint("shuffle_hash"), "class", "left_semi"))
+    release(texts.sparkSession)
     firsts = written(_firsts(spans))
     mixed = firsts.groupBy("class").agg(
         F.count(F.lit(1)).alias("spans"), F.max("several").alias("any")).where("spans > 1 OR any")
@@ -263,6 +264,7 @@ def repeated_windows(texts: DataFrame, length: int, k: int) -> DataFrame:
         texts.join(wanted, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("tie") == F.col("tie_")))
         .select("doc", "tie", "text", "w").mapInArrow(
             cut, f"class long, spans long, doc {kind}, tie long, start long, n int, text binary"))
+    release(texts.sparkSession)
     hot = pieces.where(F.col("spans") > MOST_SPANS)
     windows = _spans(hot, length, length)
     return (

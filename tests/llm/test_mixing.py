@@ -55,6 +55,19 @@ def test_all_full_sources_and_one_long_text(docs):
     check(docs(*rows), rows, 20)
 
 
+def test_sources_of_empty_texts_take_no_part_in_shards(docs):
+    rows = [(i, None if i % 2 else " \n", "empty") for i in range(500)]
+    rows += [(500 + i, "w " * (i % 7), "some") for i in range(60)] + [(None, "", None)]
+    got = mix_sources(docs(*rows), block_words=2, shard_words=20).collect()
+    assert len(got) == len(rows)
+    assert all(r["size"] == r.taken == r.source_size == 0 for r in got if r.source != "some")
+    some = [r for r in got if r.source == "some"]
+    words = sum(i % 7 for i in range(60))
+    assert {r.source_size for r in some} == {words} and {r.target for r in some} == {float(words)}
+    assert all(r.taken <= 3 * r["size"] for r in some)
+    assert abs(sum(r.taken for r in some) - words) <= words / 4
+
+
 def test_ready_sizes_extra_columns_and_empty_table(docs):
     rows = [(i, "w " * 20, "s") for i in range(10)]
     frame = docs(*rows, extra="taken place seats won m_size")
