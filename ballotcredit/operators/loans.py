@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +73,37 @@ def loans_in_election_window(
     return dated.join(windows, F.year(date) == windows["_window_year"]).drop("_window_year")
 
 
+def loans_in_date_windows(
+    loans: DataFrame,
+    windows: Sequence[tuple[int, date, date]],
+    day: str = "data_da_contratacao",
+    bin_days: int = 64,
+) -> DataFrame:
+    """Every loan once per window that holds its date, with the window's number in ``ano``.
+
+    Windows are (number, first day, last day), both inclusive, of any length; they may overlap. A
+    window is a row for each range of ``bin_days`` days that it touches, a loan belongs to the range
+    of its date, and the dates decide inside an equi join on the range: each pair meets once. The
+    days from the first window to the last reach the scan. A loan without a date is in no window.
+    """
+    if any(last < first for _, first, last in windows) or not windows or bin_days < 1:
+        raise ValueError("a window ends before it begins, or there is none")
+    epoch = date(1970, 1, 1)
+    ranges = [
+        (number, (first - epoch).days, (last - epoch).days, bin_)
+        for number, first, last in windows
+        for bin_ in range((first - epoch).days // bin_days, (last - epoch).days // bin_days + 1)
+    ]
+    table = parameter_table(
+        loans.sparkSession, {"ano": "int", "_from": "int", "_to": "int", "_bin": "int"}, ranges)
+    dated = loans.filter(F.col(day).between(
+        F.lit(min(first for _, first, _ in windows)), F.lit(max(last for _, _, last in windows))))
+    number = F.unix_date(day)
+    return dated.withColumn("_day", number).withColumn(
+        "_bin", F.floor(F.col("_day") / bin_days).cast("int")).join(table, "_bin").filter(
+        F.col("_day").between(F.col("_from"), F.col("_to"))).drop("_day", "_bin", "_from", "_to")
+
+
 def window_sums(
     loans: DataFrame,
     keys: Sequence[str],
@@ -169,14 +201,32 @@ def loan_volume_by_type_year(
     )
 
 
+def found_names(df: DataFrame, column: str, most: int = 200) -> list[str]:
+    """The values of a column of labels in code point order, found by a job; a missing one is NA.
+
+    More than ``most`` values raise: their columns would make no table.
+    """
+    label = F.coalesce(F.col(column).cast("string"), F.lit("NA"))
+    found = df.select(label.alias("label")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(r.label for r in found)
+
+
 def pivot_measures(
-    df: DataFrame, keys: Sequence[str], names_from: str, names: Sequence[str],
+    df: DataFrame, keys: Sequence[str], names_from: str, names: Sequence[str] | None,
     measures: Sequence[str],
 ) -> DataFrame:
     """Long to wide: one ``<measure>_<name>`` column per measure and name.
 
-    ``names`` are all values that ``names_from`` may have; another one fails the query.
+    ``names`` are all values that ``names_from`` may have; another one fails the query. Without
+    them the data name them first (``found_names``, which runs a job on ``df``).
     """
+    if names is None:
+        names = found_names(df, names_from)
+        df = df.withColumn(names_from, F.coalesce(F.col(names_from).cast("string"), F.lit("NA")))
+        if not names:
+            return df.select(*keys).distinct()
     unknown = F.raise_error(F.concat(
         F.lit(f"{names_from} has a value that is not listed: "),
         F.coalesce(F.col(names_from).cast("string"), F.lit("NULL"))))
@@ -184,19 +234,25 @@ def pivot_measures(
     wide = df.withColumn(names_from, known).groupBy(*keys).pivot(names_from, list(names)).agg(
         *[F.first(m).alias(m) for m in measures]
     )
-    columns = [F.col(f"`{n}_{m}`").alias(f"{m}_{n}") for m in measures for n in names]
+    # A pivot of one measure names its columns by the names alone.
+    columns = [F.col(f"`{n}_{m}`" if len(measures) > 1 else f"`{n}`").alias(f"{m}_{n}")
+               for m in measures for n in names]
     return wide.select(*keys, *columns)
 
 
 def loan_table_wide(
     volume: DataFrame,
-    types: Sequence[str] = (AUTOMATIC, NON_AUTOMATIC),
+    types: Sequence[str] | None = (AUTOMATIC, NON_AUTOMATIC),
     measures: Sequence[str] = ("total_contratado", "media_contratado", "n_operacoes"),
 ) -> DataFrame:
-    """Report table: one row per year, formatted text per type and measure, first type first."""
+    """Report table: one row per year, formatted text per type and measure, first type first.
+
+    With ``types=None`` the table has a column for every type of the data, the automatic ones first;
+    ``volume`` is read twice then.
+    """
     wide = pivot_measures(volume, ["ano"], "tipo_op", types, measures)
     texts = wide.select(
         "ano", *[magnitude(F.col(f"`{c}`")).alias(c) for c in wide.columns if "_" in c]
     )
-    of_first_type = [c for c in texts.columns if c.endswith(f"_{types[0]}")]
-    return move_columns(texts, of_first_type, after="ano")
+    first = types[0] if types else AUTOMATIC
+    return move_columns(texts, [c for c in texts.columns if c.endswith(f"_{first}")], after="ano")

@@ -78,7 +78,7 @@ def _moments(rows: DataFrame, top: int, *cluster: str) -> DataFrame:
     )
 
 
-def _fit(sums: DataFrame, moment: str, size: int, order: Column,
+def fit_moments(sums: DataFrame, moment: str, size: int, order: Column,
          rights: Mapping[str, Sequence[Column]]) -> DataFrame:
     """``sums`` with the solutions of the moment system of an order, zero beyond it."""
     used = [F.lit(i) <= order for i in range(size)]
@@ -111,10 +111,10 @@ def _fits(sums: DataFrame, top: int) -> DataFrame:
     """
     degree = F.col("degree")
     sign = F.when(degree % 2 == 0, -1.0).otherwise(1.0)  # z^(p+1) at the cutoff, z = -1
-    fit = _fit(sums, "u", top + 1, degree, {
+    fit = fit_moments(sums, "u", top + 1, degree, {
         "b": [F.col(f"v{j}") for j in range(top + 1)],
         "a": [F.lit((-1.0) ** j) for j in range(top + 1)]})
-    fit = _fit(fit, "s", top + 2, degree + 1, {
+    fit = fit_moments(fit, "s", top + 2, degree + 1, {
         "q": [F.col(f"t{k}") for k in range(top + 2)],
         "c": [F.when(degree + 1 == k, 1.0).otherwise(0.0) for k in range(top + 2)]})
     # a<j> is zero for orders beyond the degree: the index then only has to exist.

@@ -11,7 +11,9 @@ from itertools import permutations
 from ballotcredit.workload.queries import (
     BANDWIDTH,
     CUBIC,
+    DATE_WINDOWS,
     LINEAR,
+    MIXED,
     ROBUST,
     SAMPLES,
     SPECS,
@@ -427,6 +429,40 @@ def robust_ctes(outcome: str, specs, matches: int) -> list[str]:
     ]
 
 
+def bandwidth_ctes(outcome: str) -> list[str]:
+    """The plug-in rule: cubics of whole sides, then quadratics of their windows."""
+    def sums(width: str, top: int) -> str:
+        return ", ".join([f"sum((d / {width})**{m}) AS s{m}" for m in range(2 * top + 1)]
+                         + [f"sum((d / {width})**{j} * y) AS t{j}" for j in range(top + 1)])
+
+    third, curve = (cramer(top, [f"t{i}" for i in range(top + 1)])[top] for top in (3, 2))
+    return [
+        samples(),
+        f"""points AS (SELECT sample, vote_margin >= 0 AS is_right, {outcome} AS y,
+                cast(vote_margin AS double) AS x, abs(cast(vote_margin AS double)) AS d
+            FROM samples WHERE {outcome} IS NOT NULL AND vote_margin IS NOT NULL)""",
+        """spread AS (SELECT sample, count(*) AS n, 1.84 * stddev_samp(x) * count(*)**(-0.2) AS h
+            FROM points GROUP BY sample)""",
+        "reaches AS (SELECT sample, is_right, max(d) AS reach FROM points GROUP BY ALL)",
+        f"""sides AS (SELECT sample, is_right, n, h, reach, count(*) AS m,
+                count(*) FILTER (d <= h) AS near, var_samp(y) FILTER (d <= h) AS noise,
+                {sums("reach", 3)}
+            FROM points JOIN spread USING (sample) JOIN reaches USING (sample, is_right)
+            GROUP BY ALL)""",
+        """densities AS (SELECT sample, sum(near) / (2 * any_value(n) * any_value(h)) AS density
+            FROM sides GROUP BY sample)""",
+        f"""windows AS (SELECT sample, is_right, m, n, noise, density, least(reach,
+                3.56 * (noise / (density * third * third))**(1 / 7) * m**(-1 / 7)) AS wide
+            FROM (SELECT *, 6 * {third} / reach**3 AS third FROM sides)
+                JOIN densities USING (sample))""",
+        f"""bends AS (SELECT sample, is_right, wide, count(*) AS inside, {sums("wide", 2)}
+            FROM points JOIN windows USING (sample, is_right) WHERE d <= wide GROUP BY ALL)""",
+        f"""ruled AS (SELECT sample, is_right, m, n, noise, density,
+                2 * {curve} / wide**2 AS bend, 2160 * noise / (inside * wide**4) AS regular
+            FROM bends JOIN windows USING (sample, is_right, wide))""",
+    ]
+
+
 def rd(specs, body: str, outcome: str = "log_c") -> str:
     return query(MUNICIPALITY_ROLES, [*MUNICIPALITY_PANEL, *rd_ctes(outcome, specs)], body)
 
@@ -515,6 +551,25 @@ ORACLES = {
     "loan_table_wide": query(LOAN_TABLES, [ALL_LOANS, VOLUME], _wide_table()),
     "report_file_scan": query(LOAN_TABLES, [ALL_LOANS, VOLUME], _wide_table()),
     "loan_measures_wide": query(LOAN_TABLES, [ALL_LOANS, VOLUME], _wide_measures()),
+    "loan_types_found": query(LOAN_TABLES, [ALL_LOANS, f"""typed AS (
+            SELECT *, CASE WHEN month(data_da_contratacao) % 3 = 0 THEN '{MIXED}' ELSE tipo_op END
+                AS kind, cast(year(data_da_contratacao) AS int) AS ano
+            FROM all_loans
+            WHERE year(data_da_contratacao) BETWEEN {VOLUME_FROM} AND {VOLUME_TO})"""],
+        "SELECT ano, " + ", ".join(
+            f"""cast(nullif(count(*) FILTER (kind = '{kind}'), 0) AS double) AS n_operacoes_{short},
+            CASE WHEN count(*) FILTER (kind = '{kind}')
+                = count(valor_desembolsado_reais) FILTER (kind = '{kind}')
+            THEN round(cast(sum(valor_desembolsado_reais) FILTER (kind = '{kind}') AS double), 4)
+            END AS total_desembolsado_{short}"""
+            for kind, short in (("Automática", "aut"), ("Não automática", "nao_aut"),
+                                (MIXED, "mista"))) + " FROM typed GROUP BY ano"),
+    "loans_in_date_windows": query(("non_automatic",), [], f"""
+        SELECT w.ano, cliente, cast(data_da_contratacao AS varchar) AS data,
+            {money("valor_desembolsado_reais", 4)}
+        FROM non_automatic JOIN (VALUES {', '.join(
+            f"({n}, DATE '{a}', DATE '{b}')" for n, a, b in DATE_WINDOWS)}) w(ano, a, b)
+            ON data_da_contratacao BETWEEN w.a AND w.b"""),
     "loans_union_types": query(LOAN_TABLES, [ALL_LOANS], f"""
         SELECT tipo_op, cliente, cnpj, uf,
             cast(data_da_contratacao AS varchar) AS data_da_contratacao,
@@ -642,6 +697,16 @@ ORACLES = {
     "rd_std_error": rd(LINEAR, f"""
         SELECT sample, spec, degree, bandwidth, {money("estimate", 5)},
             {money("std_error", 5)}, n_left, n_right FROM grid"""),
+    "rd_bandwidth_rule": query(
+        MUNICIPALITY_ROLES, [*MUNICIPALITY_PANEL, *bandwidth_ctes("log_c")], """
+        SELECT sample, round(3.4375 * (sum(noise) / (any_value(density) * (
+                (sum(bend) FILTER (is_right) - sum(bend) FILTER (NOT is_right))**2
+                + sum(regular))))**0.2 * any_value(n)**(-0.2), 1) AS bandwidth,
+            round(any_value(density) * 1e6, 6) AS density_mi,
+            round(sum(noise) FILTER (NOT is_right), 6) AS noise_left,
+            round(sum(noise) FILTER (is_right), 6) AS noise_right,
+            cast(sum(m) FILTER (NOT is_right) AS bigint) AS n_left,
+            cast(sum(m) FILTER (is_right) AS bigint) AS n_right FROM ruled GROUP BY sample"""),
     "rd_robust_error": robust("clustered_grid"),
     "rd_neighbour_error": robust("near_grid"),
     "rd_result_grid": rd(SPECS, GRID_COLUMNS),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ballotcredit.operators import (
     numbering,
     panel,
     rd,
+    rd_bandwidth,
     rd_robust,
     rows,
     votes,
@@ -36,6 +38,9 @@ from ballotcredit.workload.roles import (
 )
 
 VOLUME_FROM, VOLUME_TO = 1996, 2000
+MIXED = "Mista"
+# Windows from April to March, which overlap.
+DATE_WINDOWS = [(year, date(year, 4, 1), date(year + 2, 3, 31)) for year in range(1994, 1998)]
 BANDWIDTH = 150000
 SAMPLES = tuple(
     f"{name}{year}" for name in ("all", "pt", "pt_colig")
@@ -176,6 +181,22 @@ def loan_measures_wide(t):
     )
 
 
+def loan_types_found(t):
+    """Counts and sums by year and type, the types named by the data: a third one is among them."""
+    quarter = F.month("data_da_contratacao") % 3 == 0
+    mixed = _all_loans(t).withColumn(
+        "tipo_op", F.when(quarter, F.lit(MIXED)).otherwise(F.col("tipo_op")))
+    volume = loans.loan_volume_by_type_year(mixed, VOLUME_FROM, VOLUME_TO)
+    wide = loans.pivot_measures(
+        volume, ["ano"], "tipo_op", None, ("n_operacoes", "total_desembolsado"))
+    return wide.select(
+        "ano", *[
+            F.round(F.col(f"`{m}_{kind}`").cast("double"), 4).alias(f"{m}_{short}")
+            for m in ("n_operacoes", "total_desembolsado")
+            for kind, short in ((AUTOMATIC, "aut"), (NON_AUTOMATIC, "nao_aut"), (MIXED, "mista"))
+        ])
+
+
 # --- loans -----------------------------------------------------------------------------------
 
 def loans_union_types(t):
@@ -193,6 +214,13 @@ def loans_in_election_window(t):
     )
 
 
+def loans_in_date_windows(t):
+    return loans.loans_in_date_windows(t["non_automatic"], DATE_WINDOWS).select(
+        "ano", "cliente", F.col("data_da_contratacao").cast("string").alias("data"),
+        money("valor_desembolsado_reais", 4),
+    )
+
+
 def _municipality_totals(t, **options):
     totals = loans.municipality_loan_totals(
         t["loans"], elections=ELECTIONS, years_after=YEARS_AFTER, **options)
@@ -546,6 +574,13 @@ def rd_neighbour_error(t):
     return _robust(rd_robust.rd_neighbour_error(_samples(t), "log_c", ROBUST))
 
 
+def rd_bandwidth_rule(t):
+    found = rd_bandwidth.rd_bandwidth(_samples(t), "log_c")
+    return found.select(
+        "sample", money("bandwidth", 1), F.round(F.col("density") * 1e6, 6).alias("density_mi"),
+        money("noise_left", 6), money("noise_right", 6), "n_left", "n_right")
+
+
 def rd_result_grid(t):
     grid = rd.rd_result_grid(_samples(t), "log_c", SPECS)
     return grid.select("sample", "spec", money("estimate", 4), "stars", money("std_error", 4),
@@ -716,11 +751,12 @@ QUERIES = {
         party_coalition_flag_unfilled, vote_margin, vote_margin_consistent, pooled_panel,
         pooled_panel_firms, panel_subsamples, state_factor, rd_effective_counts,
         rd_local_linear, rd_local_cubic, rd_std_error, rd_robust_error, rd_neighbour_error,
-        rd_result_grid, rd_result_grid_firms, rd_table_layout, loan_file_scan, report_file_scan,
+        rd_bandwidth_rule, rd_result_grid, rd_result_grid_firms, rd_table_layout, loan_file_scan,
+        report_file_scan,
         panel_in_reading_order,
         vote_files_by_year, snapshot_by_year, panel_folders, candidate_number_violations,
         municipality_panel_of_files, municipality_first_rows, pooled_panel_strict_union,
         place_alias, coalition_file_scan, disbursement_file_scan, quoted_file_scan,
-        panel_one_year_again,
+        panel_one_year_again, loans_in_date_windows, loan_types_found,
     )
 }

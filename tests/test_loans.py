@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
@@ -116,6 +116,41 @@ def test_an_unlisted_type_fails_the_wide_table(table):
         volume, types=("Automática", "Outra")).columns
 
 
+def test_types_that_the_data_name(table):
+    volume = table("tipo_op string, ano int, total_contratado double, media_contratado double, "
+                   "n_operacoes long", ("Outra", 2002, 1.0, 1.0, 1), ("Automática", 2002, 1.0, 1.0, 2),
+                   (None, 2003, 1.0, 1.0, 3), ("Não automática", 2003, 1.0, 1.0, 4))
+    wide = loans.loan_table_wide(volume, types=None, measures=("n_operacoes",))
+    assert wide.columns == ["ano", "n_operacoes_Automática", "n_operacoes_NA",
+                            "n_operacoes_Não automática", "n_operacoes_Outra"]
+    assert rows(wide, "ano") == [(2002, "2", None, None, "1"), (2003, None, "3", "4", None)]
+    with pytest.raises(ValueError, match="more than 3"):
+        loans.found_names(volume, "tipo_op", most=3)
+    empty = loans.pivot_measures(volume.limit(0), ["ano"], "tipo_op", None, ("n_operacoes",))
+    assert empty.columns == ["ano"] and empty.count() == 0
+
+
+def test_windows_of_any_days(spark, tmp_path, table):
+    """Every pair of a day and a window, across ranges of any width, against plain comparisons."""
+    days = [date(2005, 12, 1) + timedelta(d) for d in range(0, 1200, 7)] + [None]
+    windows = [(1, date(2006, 4, 1), date(2008, 3, 31)), (2, date(2007, 4, 1), date(2007, 4, 1)),
+               (3, date(1969, 1, 1), date(2006, 4, 7)), (2, date(2008, 1, 5), date(2009, 3, 1))]
+    df = table("data_da_contratacao date, k int", *[(d, i) for i, d in enumerate(days)])
+    want = sorted((d, i, n) for i, d in enumerate(days) if d
+                  for n, a, b in windows if a <= d <= b)
+    for width in (1, 30, 64, 5000):
+        got = loans.loans_in_date_windows(df, windows, bin_days=width)
+        assert rows(got) == want
+    df.write.parquet(f"{tmp_path}/l")
+    plan = loans.loans_in_date_windows(spark.read.parquet(f"{tmp_path}/l"), windows[:2])
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(data_da_contratacao,2006-04-01)" in text
+    assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Exchange hash" not in text
+    for bad in ([], [(1, date(2006, 1, 2), date(2006, 1, 1))]):
+        with pytest.raises(ValueError):
+            loans.loans_in_date_windows(df, bad)
+
+
 def test_volume_years_reach_the_scan(spark, tmp_path, table):
     volume_rows(table).write.parquet(f"{tmp_path}/v")
     got = loans.loan_volume_by_type_year(spark.read.parquet(f"{tmp_path}/v"))
