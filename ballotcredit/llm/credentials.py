@@ -2,9 +2,10 @@
 
 Credentials that the patterns find are labelled examples. Their strings form a prefix tree per
 kind, whose states are merged while their outgoing frequencies agree within a Hoeffding bound;
-what is left is a probabilistic automaton of the kind's format. Every run of credential characters
-that no pattern took is then scored by each automaton against a model of ordinary runs, and runs
-that look like a format become spans too.
+what is left is a probabilistic automaton of the kind's format, smoothed so that a character it has
+not seen is unlikely and not impossible. Every run of credential characters that no pattern took is
+then scored by each automaton, its end included, against a model of ordinary runs: the neighbouring
+characters of such runs, counted in all documents. Runs that look like a format become spans too.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,6 +34,9 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 # What a text must hold for the first pattern to match.
 HINTS = (b"passw", b"secret", b"token", b"api")
 _CREDENTIAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+# Places of the credential characters in the model of ordinary runs; 0 is what lies between runs.
+SYMBOLS = len(_CREDENTIAL) + 1
+_PLACES = bytes(_CREDENTIAL.index(c) + 1 if c in _CREDENTIAL else 0 for c in range(256))
 _RUNS = bytes(97 if c in _CREDENTIAL else 32 for c in range(256))
 _HEX = bytes(97 if c in b"0123456789abcdef" else 32 for c in range(256))
 
@@ -148,106 +153,140 @@ class Automaton:
         self.kept = kept
         return self
 
-    def tables(self) -> list[tuple[float, dict[int, tuple[int, float]]]]:
-        """Per state: log2 of ending, and arcs with log2 probabilities."""
+    def tables(self) -> list[tuple[float, dict[int, tuple[int, float]], float]]:
+        """Per state: log2 of ending, arcs with log2 probabilities, and log2 of any other character.
+
+        One visit more is spread over the end and all characters; after a character that a state
+        does not know the string goes on from the state.
+        """
         place = {s: i for i, s in enumerate(self.kept)}
         result = []
         for s in self.kept:
-            n = max(self.visits[s], 1)
-            arcs = {c: (place[t], math.log2(k / n)) for c, (t, k) in self.arcs[s].items() if k}
-            result.append((math.log2(max(self.ends[s], 0.5) / n), arcs))
+            n, rare = self.visits[s] + 1, 1 / SYMBOLS
+            arcs = {c: (place[t], math.log2((k + rare) / n))
+                    for c, (t, k) in self.arcs[s].items() if k}
+            result.append((math.log2((self.ends[s] + rare) / n), arcs, math.log2(rare / n)))
         return result
 
 
 class Formats:
     """Automata of the formats and the model of ordinary runs, with one score for a run."""
 
-    def __init__(self, examples: dict[str, list[bytes]], ordinary: list[bytes], alpha: float):
+    def __init__(self, examples: dict[str, list[bytes]], pairs: np.ndarray, alpha: float):
+        """``pairs`` counts neighbouring characters of ordinary runs, by their places."""
         self.automata = [Automaton(sorted(v)).infer(alpha).tables()
                          for _, v in sorted(examples.items()) if v]
-        counts = Counter(c for run in ordinary for c in run)
-        size = sum(counts.values()) + len(_CREDENTIAL)
-        self.plain = {c: math.log2((counts[c] + 1) / size) for c in _CREDENTIAL}
+        counts = pairs.reshape(SYMBOLS, SYMBOLS) + 1.0
+        counts[0, 0] = 0  # no run is empty
+        with np.errstate(divide="ignore"):
+            self.plain = np.log2(counts / counts.sum(1, keepdims=True)).tolist()
 
     def ordinary(self, run: bytes) -> float:
-        """log2 of a run's probability from the characters of ordinary runs."""
-        return sum(map(self.plain.__getitem__, run))
+        """log2 of a run's probability, its end included, from the neighbours in ordinary runs."""
+        places = (0, *run.translate(_PLACES), 0)
+        return sum(self.plain[a][b] for a, b in zip(places, places[1:], strict=False))
 
-    def margin(self, run: bytes) -> float:
-        """Bits per character by which the best format explains a run better than ordinary text."""
+    def bits(self, run: bytes) -> float:
+        """Bits by which the best format explains a run better than ordinary text does."""
         best = -math.inf
         for states in self.automata:
             total, state = 0.0, 0
             for c in run:
-                arc = states[state][1].get(c)
+                _, arcs, other = states[state]
+                arc = arcs.get(c)
                 if arc is None:
-                    total = -math.inf
-                    break
-                state = arc[0]
-                total += arc[1]
-            best = max(best, total)
-        return (best - self.ordinary(run)) / len(run) if best > -math.inf else -math.inf
+                    total += other
+                else:
+                    state = arc[0]
+                    total += arc[1]
+            best = max(best, total + states[state][0])
+        return best - self.ordinary(run)
+
+
+def neighbour_counts(texts: list[bytes], spans: list[list[tuple[int, int, str, bytes]]]) -> np.ndarray:
+    """How often each pair of characters stands side by side in credential-like runs, places by
+    places, outside the spans."""
+    total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    for raw, taken in zip(texts, spans, strict=True):
+        if taken:
+            free = bytearray(raw)
+            for a, b, _, _ in taken:
+                free[a:b] = b" " * (b - a)
+            raw = bytes(free)
+        places = np.frombuffer(b" " + raw + b" ", np.uint8)
+        places = np.frombuffer(places.tobytes().translate(_PLACES), np.uint8).astype(np.int32)
+        total += np.bincount(places[:-1] * SYMBOLS + places[1:], minlength=len(total))
+    total[0] = 0
+    return total
 
 
 def learn_formats(
     docs: DataFrame,
     sample: int = 2000,
     most_chars: int = 200,
-    run_chars: int = 16,
     alpha: float = 0.05,
     text: str = "text",
 ) -> Formats:
-    """Formats from at most ``sample`` distinct credentials of each kind in the whole corpus.
+    """Formats from at most ``sample`` distinct credentials of each kind, and ordinary runs from all.
 
-    Those with the smallest hashes are taken, first in each task and then of all, and as many
-    ordinary runs; strings of more than ``most_chars`` characters teach nothing. Without
-    credentials there is no format.
+    The labelled credentials with the smallest hashes are taken, first in each task and then of
+    all; one of more than ``most_chars`` characters teaches nothing. The characters of ordinary
+    runs are counted in every document. Without credentials there is no format.
     """
 
     def examples(batches):
         few: dict[str, dict[int, bytes]] = defaultdict(dict)
+        pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for batch in batches:
-            for raw in raw_texts(batch.column(0)):
-                found = base_spans(raw)
-                values = [(kind, value) for _, _, kind, value in found]
-                values += [("ordinary", raw[a:b]) for a, b in other_runs(raw, found, run_chars)]
-                for kind, value in values:
-                    if len(value) <= most_chars:
-                        few[kind][xxhash.xxh3_64_intdigest(value) >> 1] = value
-                for kind, held in few.items():
-                    if len(held) > 4 * sample:
-                        few[kind] = {h: held[h] for h in heapq.nsmallest(sample, held)}
+            texts = raw_texts(batch.column(0))
+            spans = [base_spans(raw) for raw in texts]
+            pairs += neighbour_counts(texts, spans)
+            for _, _, kind, value in (span for found in spans for span in found):
+                if len(value) <= most_chars:
+                    few[kind][xxhash.xxh3_64_intdigest(value) >> 1] = value
+            for kind, held in few.items():
+                if len(held) > 4 * sample:
+                    few[kind] = {h: held[h] for h in heapq.nsmallest(sample, held)}
         for kind, held in few.items():
             least = heapq.nsmallest(sample, held)
             yield pa.RecordBatch.from_pydict({
                 "kind": pa.array([kind] * len(least), pa.string()),
                 "mark": pa.array(least, pa.int64()),
-                "value": pa.array([held[h] for h in least], pa.binary())})
+                "value": pa.array([held[h] for h in least], pa.binary()),
+                "n": pa.nulls(len(least), pa.int64())})
+        met = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_pydict({
+            "kind": pa.array(["pair"] * len(met), pa.string()), "mark": pa.array(met),
+            "value": pa.nulls(len(met), pa.binary()), "n": pa.array(pairs[met])})
 
     seen = written(docs.select(column(docs, text).alias("text")).mapInArrow(
-        examples, "kind string, mark long, value binary"))
+        examples, "kind string, mark long, value binary, n long"))
     strings = {}
-    for kind in (*KINDS[:3], "ordinary"):
+    for kind in KINDS[:3]:
         least = seen.where(F.col("kind") == kind).select("mark", "value").distinct().orderBy(
             "mark", "value").limit(sample)
         strings[kind] = [bytes(r.value) for r in least.collect()]
-    ordinary = strings.pop("ordinary", [])
-    return Formats(strings, ordinary, alpha)
+    pairs = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    for r in seen.where("kind = 'pair'").groupBy("mark").agg(F.sum("n").alias("n")).collect():
+        pairs[r.mark] = r.n
+    return Formats(strings, pairs, alpha)
 
 
 def scan_credentials(
     docs: DataFrame,
     formats: Formats,
-    run_chars: int = 16,
+    run_chars: int = 6,
     least_margin: float = 1.0,
+    least_bits: float = 24.0,
     text: str = "text",
 ) -> DataFrame:
     """``docs`` with spans: array of (kind, start, end) by start, then kind, in code points.
 
     The base kinds are assign, access and hex, each leftmost and non-overlapping for itself; kind
-    format marks a run of at least ``run_chars`` credential characters that no base span touches
-    and that a learned format explains better than ordinary runs by ``least_margin`` bits per
-    character. Ends are exclusive. A missing or empty text has no spans; rows that repeat are
+    format marks a run of credential characters, ``run_chars`` of them (the least of a base kind) or
+    more, that no base span touches and that a learned format explains better than ordinary runs
+    by ``least_margin`` bits per character and ``least_bits`` in all: ordinary runs are that much
+    more numerous. Ends are exclusive. A missing or empty text has no spans; rows that repeat are
     scanned alike; an input column named spans is replaced. An empty table gives none.
     """
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -256,11 +295,17 @@ def scan_credentials(
     @F.arrow_udf(kind)
     def spans(texts: pa.Array) -> pa.Array:
         found = []
+        told: dict[bytes, bool] = {}  # runs repeat, and most are words
         for raw in raw_texts(texts):
             base = base_spans(raw)
             marks = [(a, b, k) for a, b, k, _ in base]
-            marks += [(a, b, "format") for a, b in other_runs(raw, base, run_chars)
-                      if formats.margin(raw[a:b]) >= least_margin]
+            for a, b in other_runs(raw, base, run_chars) if formats.automata else ():
+                run = raw[a:b]
+                like = told.get(run)
+                if like is None:
+                    like = told[run] = formats.bits(run) >= max(least_bits, least_margin * len(run))
+                if like:
+                    marks.append((a, b, "format"))
             places = sorted({p for a, b, _ in marks for p in (a, b)})
             points, at, count = {}, 0, 0
             for p in places:  # bytes to code points, read once

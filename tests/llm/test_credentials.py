@@ -56,6 +56,69 @@ def test_learned_format_finds_what_no_pattern_takes(docs):
     assert not any(v for k, v in got.items() if k != 1000)
 
 
+def test_a_kind_held_out_of_the_labels_is_found(docs):
+    """Keys of one shape, half of them labelled; the bare ones are found by their grammar alone, also
+    with a character that no example has, and not their prefix, numbers, dates or words."""
+    rng = random.Random(5)
+
+    def key():
+        return "sk-" + "".join(rng.choice("0123456789abcdefghijk") for _ in range(20))
+
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(3, 14))) for _ in range(400)]
+    plain = ["2024-05-17", "5551234567", "1234567890123", "sk-", "well-known", "a/b/c", "3.14159"]
+
+    def text(middle):
+        return " ".join([*rng.choices(words, k=20), *rng.choices(plain, k=4), middle, "end"])
+
+    rows = [(i, text(f"token: {key()}")) for i in range(300)]
+    bare = [key() for _ in range(100)]
+    odd = [k[:9] + "Z" + k[10:] for k in bare[:20]]
+    rows += [(1000 + i, text(k)) for i, k in enumerate(bare + odd)]
+    frame = docs(*rows)
+    got = {}
+    for r in scan_credentials(frame, learn_formats(frame)).collect():
+        got[r.doc_id] = [r.text[s.start:s.end] for s in r.spans if s.kind == "format"]
+    wrong = [v for i, v in got.items() if i < 1000 and v]
+    found = sum(got[1000 + i] == [k] for i, k in enumerate(bare))
+    near = sum(got[1100 + i] == [k] for i, k in enumerate(odd))
+    assert not wrong and found >= 95 and near >= 18
+
+
+def test_smoothed_strings_add_up_to_one():
+    """The end and all characters of a state, and no more than one over short strings."""
+    from itertools import product
+
+    states = Automaton([b"ab", b"ab", b"abb", b"b"]).infer(0.05).tables()
+    total = 0.0
+    for n in range(4):
+        for run in product(b"abXY", repeat=n):
+            state, bits = 0, 0.0
+            for c in run:
+                end, arcs, other = states[state]
+                state, cost = arcs.get(c, (state, other))
+                bits += cost
+            total += 2 ** (bits + states[state][0])
+    assert 0.3 < total <= 1
+    for end, arcs, other in states:
+        rest = credentials.SYMBOLS - 1 - len(arcs)
+        assert abs(2 ** end + sum(2 ** p for _, p in arcs.values()) + rest * 2 ** other - 1) < 1e-9
+
+
+def test_neighbours_are_counted_in_all_texts(docs):
+    texts = ["ab, ab1", None, "", "é-x", "password=abcdefg ab"]
+    formats = learn_formats(docs(*enumerate(texts)))
+    place = {c: i + 1 for i, c in enumerate(credentials._CREDENTIAL.decode())}
+    pairs = {}
+    for text in ("ab, ab1", "é-x", " ab"):
+        marked = [place.get(c, 0) for c in f" {text} "]
+        for a, b in zip(marked, marked[1:]):
+            if a or b:
+                pairs[a, b] = pairs.get((a, b), 0) + 1
+    for (a, b), n in pairs.items():
+        row = sum(m for (x, _), m in pairs.items() if x == a) + credentials.SYMBOLS - (a == 0)
+        assert abs(2 ** formats.plain[a][b] - (n + 1) / row) < 1e-12
+
+
 def test_merging_keeps_a_prefix_and_loops():
     rng = random.Random(2)
     keys = [b"AK" + bytes(rng.choice(b"XYZ0123") for _ in range(12)) for _ in range(400)]
