@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballotcredit.sources.sinks import written
+
 # The white space of a text, code points 9 to 13 and 32.
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -42,7 +44,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which it does when the driver's JVM
-    collects garbage, now and not some time later."""
-    spark._jvm.System.gc()
+# Fixed value: Spark's setting that deletes the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written_clean(df: DataFrame) -> DataFrame:
+    """``written``, with the shuffle files of the write deleted at its end: the table has the rows,
+    and the files would stay until the driver's JVM collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)

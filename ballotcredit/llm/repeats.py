@@ -26,9 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ballotcredit.llm.common import column, fresh, raw_texts, release, without
+from ballotcredit.llm.common import column, fresh, raw_texts, without, written_clean
 from ballotcredit.llm.suffixes import first_starts
-from ballotcredit.sources.sinks import written
 
 PART = 1 << 20  # bytes of text that are hashed, or sorted, at a time
 MOST_WINDOWS = 256  # of one run; longer ones, in periodic text, are several runs
@@ -231,10 +230,9 @@ def repeated_windows(texts: DataFrame, length: int, k: int) -> DataFrame:
     texts = texts.withColumn("start", F.lit(0).cast("long"))
     repeated = (_classes(texts, length, k).groupBy("class").agg(F.sum("places").alias("places"))
                 .where("places > 1").select("class"))
-    spans = written(_spans(texts, length, k).join(
+    spans = written_clean(_spans(texts, length, k).join(
         repeated.hint("shuffle_hash"), "class", "left_semi"))
-    release(texts.sparkSession)
-    firsts = written(_firsts(spans))
+    firsts = written_clean(_firsts(spans))
     mixed = firsts.groupBy("class").agg(
         F.count(F.lit(1)).alias("spans"), F.max("several").alias("any")).where("spans > 1 OR any")
     wanted = (
@@ -260,11 +258,10 @@ def repeated_windows(texts: DataFrame, length: int, k: int) -> DataFrame:
                            for i, a, m in zip(row.to_pylist(), start, n, strict=True)], pa.binary())],
                 names=["class", "spans", "doc", "tie", "start", "n", "text"])
 
-    pieces = written(
+    pieces = written_clean(
         texts.join(wanted, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("tie") == F.col("tie_")))
         .select("doc", "tie", "text", "w").mapInArrow(
             cut, f"class long, spans long, doc {kind}, tie long, start long, n int, text binary"))
-    release(texts.sparkSession)
     hot = pieces.where(F.col("spans") > MOST_SPANS)
     windows = _spans(hot, length, length)
     return (
@@ -323,9 +320,9 @@ def remove_repeats(
     texts = keyed.where(F.octet_length(column(keyed, text)) >= length).select(
         column(keyed, doc_id).alias("doc"), column(keyed, tie).alias("tie"),
         column(keyed, text).alias("text"))
-    gone = repeated_windows(texts, length, k).groupBy("doc", "tie").agg(
+    gone = written_clean(repeated_windows(texts, length, k).groupBy("doc", "tie").agg(
         F.collect_list(F.struct("start", "n")).alias(found)).withColumnsRenamed(
-        {"doc": key, "tie": key + "t"})
+        {"doc": key, "tie": key + "t"}))
 
     @F.arrow_udf("kept binary, n_bytes long, n_removed long, n_spans long")
     def apply(texts: pa.Array, windows: pa.Array, copies: pa.Array) -> pa.Array:

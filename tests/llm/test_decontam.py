@@ -1,4 +1,6 @@
-from ballotcredit.llm.decontam import find_leaks, template, windows
+import random
+
+from ballotcredit.llm.decontam import find_leaks, leak, template, windows
 
 ITEM = ("A train leaves Boston at 9 am and drives 120 miles to meet Anna who walks 3 hours before "
         "she can see the train that left Boston")
@@ -99,3 +101,36 @@ def test_letter_case_wrapping_thin_items_and_names_at_sentence_starts(spark, doc
     got = pairs(docs(*rows), [(1, ITEM), (2, thin), (3, short), (4, names)], spark)
     assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (7, 4), (9, 4)}
     assert all(got[k].coverage == 1 and got[k].changed == (k == (5, 3)) for k in got)
+
+
+def test_all_pairs_against_the_join(spark, docs):
+    """Every pair of a document and an item judged on its own, with a window that all items share,
+    items of any length, and a document that holds all of them."""
+    draw = random.Random(9)
+    words = [f"word{i}" for i in range(40)]
+    stem = "which of the following answers is the right one"
+    items = []
+    for i in range(90):
+        body = " ".join(draw.choices(words, k=draw.choice([2, 6, 12, 40])))
+        items.append((i, f"{body} {draw.randrange(99)} apples. {stem}" if i % 3 else body))
+    items += [(200, stem), (201, stem.upper()), (0, "a second text of one id that is longer"), (202, ""),
+              (203, None)]
+    rows = [(1, " and then ".join(t for _, t in items if t)), (2, stem), (3, None), (4, "")]
+    for i in range(10, 40):
+        parts = [draw.choice(items)[1] or "" for _ in range(draw.randrange(3))]
+        parts += [" ".join(draw.choices(words, k=20))]
+        text = " ".join(draw.sample(parts, len(parts)))
+        rows.append((i, text if i % 2 else text.upper().replace(" ", "\n", 3)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.coverage, 9)
+           for r in find_leaks(docs(*rows), benchmark).collect()}
+    want = {}
+    for d, doc in rows:
+        for i, item in items:
+            if doc is None or item is None:
+                continue
+            covered, _, _, consistent, _ = leak(doc, item, 8, 4)
+            if covered >= 0.5 and consistent:
+                want[d, i] = max(round(covered, 9), want.get((d, i), 0))
+    assert got == want
+    assert sum(d == 1 for d, _ in want) > 64 and len(want) > 100
