@@ -1,20 +1,20 @@
-"""Language-model scores of texts from a weighted backoff automaton.
+"""Language-model scores of texts from interpolated bigrams.
 
-The model interpolates bigrams with smoothed words. Its automaton has a state for each context (a
-word, or the start of a text), an arc for each bigram of the training texts, and a failure arc
-from each state to the root, where every word has an arc:
+The model interpolates bigrams with smoothed words. Read as a backoff automaton it has a state for
+each context (a word, or the start of a text), an arc for each bigram of the training texts, and a
+failure arc from each state to the root, where every word has an arc:
 
     root:      w            log10((c(w) + 1) / (N + V + 1))
     state h:   w            log10(weight * c(h w) / c(h) + (1 - weight) * P(w))
                fails        log10(1 - weight), then the arc of w at the root
 
-A text is read once from left to right: the state is the last word (the root after a word without
-training counts), each word takes its arc or the failure arc first, and the logarithms add up.
+No states and arcs are built: the state is the last word, so the formula of each word's arc is taken
+from the counts at once, for all words of a chunk, and a test walks the arcs word by word.
 
 The model grows with the corpus and is never in one place. Texts are written once as packed chunks
 of word numbers. Each chunk asks for the counts of its own words and bigrams, sorted by hash and
 cut into buckets by the highest bits; a bucket adds up what all chunks sent and answers in the
-same order. The part of the automaton that a chunk's texts can reach is then built beside them.
+same order, and the chunk's texts are scored beside them.
 Every hash is in one bucket, once per chunk, so frequent words make no hot task.
 """
 
@@ -199,7 +199,7 @@ def lm_scores(
 
     Tokens are runs without white space, A-Z lower-cased, and one end; the model learns from all
     texts outside the ``fold`` and scores every text. base_score adds up the words' logarithms
-    alone, score follows the automaton with the bigrams' ``weight``. n_known counts tokens met in
+    alone, score interpolates with the bigrams' ``weight``. n_known counts tokens met in
     training, train_tokens the tokens of the training texts.
 
     A missing or empty text has its end only. A missing id counts as an empty one for the fold;

@@ -7,11 +7,11 @@ symbol, so each chunk is entered under its four ways to leave one symbol out, an
 meet under a key are all pairs under that distance. At a similarity of 0.75 a pair escapes all
 ten chunks with probability 1.5e-6, less at higher ones. Every link is confirmed on the full sets.
 
-No group is expanded into its pairs. Documents with equal sets are one class. In each bucket the
+No pairs of a whole group leave a task. Documents with equal sets are one class. In each bucket the
 members are first compared with its smallest id only, and links give components. The buckets that
-still hold several components are gathered into groups; a group's documents meet in blocks, where
-whole signatures pass over most pairs, the full sets decide the others, and only links that join
-two components leave the block.
+still hold several components are gathered into groups. A group's documents meet in pairs of blocks,
+all pairs of them, with their texts: there whole signatures pass over most, the full sets decide the
+others, and only links that join two components leave the pair of blocks.
 """
 
 from __future__ import annotations
