@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,8 +43,9 @@ PLAIN, NUMBER, TITLE, UNIT, STOP = 0, 1, 2, 4, 8
 _MARKS = {NUMBER: 0x1111111111111111, TITLE: 0x2222222222222222, UNIT: 0x4444444444444444}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 24
-_KEPT = 200_000
+_KEPT = 100_000
 TOGETHER = 64
+PART = 1 << 20  # bytes of text that are read at a time: their hashes take some forty times that
 
 
 class _Codes(dict):
@@ -239,15 +241,32 @@ def leak(doc: tuple[np.ndarray, ...] | str, item: str, size: int, least_plain: i
     return covered, begin, end, consistent, bool(covered) and not same
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of slices of ``PART`` bytes of text or one text, in turn."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        edge = max(at + 1, int(np.searchsorted(ends, before + PART, "right")))
+        yield at, texts.slice(at, edge - at)
+        at = edge
+
+
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their lowest bits in a filter of ``_bitmap``."""
+    low = hashes & np.uint64((1 << _BITS) - 1)
+    return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def _bitmap(index: DataFrame) -> np.ndarray:
-    """Which lowest bits the items' window hashes have: a filter of fixed size."""
+    """Which lowest bits the items' window hashes have: a filter of fixed size, eight to a byte."""
     width = (1 << _BITS) // 8
 
     def mark(frames):
         bits = np.zeros(1 << _BITS, bool)
         for frame in frames:
             bits[frame["hash"].to_numpy().astype(np.uint64) & np.uint64((1 << _BITS) - 1)] = True
-        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+        yield pd.DataFrame({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
     def merge(frames):
         bits = np.zeros(width, np.uint8)
@@ -261,7 +280,26 @@ def _bitmap(index: DataFrame) -> np.ndarray:
     bits = np.zeros(width, np.uint8)
     for r in parts:
         bits |= np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(bits).astype(bool)
+    return bits
+
+
+def _meeting(texts: pa.Array, sizes: list[int], bits: np.ndarray) -> np.ndarray:
+    """(rows, hashes): the different windows of each text that pass the filter."""
+    met = [np.zeros((2, 0), np.int64)]
+    for first, part in _parts(texts):
+        row, *read = read_batch(part)
+        rows, hashes = [], []
+        for size in sizes:
+            inside = row[size - 1:] == row[: max(0, len(row) - size + 1)]
+            for marks in read:
+                found = windows(marks, size)
+                at = np.flatnonzero(inside & _marked(bits, found))
+                rows.append(row[at] + first)
+                hashes.append(found[at])
+        if rows:
+            met.append(np.unique(np.stack(
+                [np.concatenate(rows), np.concatenate(hashes).view(np.int64)]), axis=1))
+    return np.concatenate(met, axis=1)
 
 
 def _rare_windows(index: DataFrame, coverage: float) -> DataFrame:
@@ -343,20 +381,9 @@ def find_leaks(
 
     def look(batches):
         for batch in batches:
-            row, *read = read_batch(batch.column(1))
-            rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for size in sizes:
-                inside = row[size - 1:] == row[: max(0, len(row) - size + 1)]
-                for marks in read:
-                    found = windows(marks, size)
-                    at = np.flatnonzero(inside & bits[found & np.uint64((1 << _BITS) - 1)])
-                    rows.append(row[at])
-                    hashes.append(found[at])
-            pairs = np.unique(np.stack(
-                [np.concatenate(rows), np.concatenate(hashes).view(np.int64)]), axis=1)
+            rows, hashes = _meeting(batch.column(1), sizes, bits)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(pairs[0])), pa.array(pairs[1])],
-                names=["doc_id", "hash"])
+                [batch.column(0).take(pa.array(rows)), pa.array(hashes)], names=["doc_id", "hash"])
 
     met = slim.mapInArrow(look, f"doc_id {doc_type}, hash long").join(
         index.select("item_id", "hash"), "hash").select("doc_id", "item_id").distinct()
@@ -371,11 +398,11 @@ def find_leaks(
     @F.arrow_udf(judged_type)
     def judged(doc_texts: pa.Array, items: pa.Array) -> pa.Array:
         ids = pc.struct_field(items.values, "item_id")
-        texts = pc.struct_field(items.values, "item").to_pylist()
+        texts = pc.struct_field(items.values, "item")
         edges, found = items.offsets.to_pylist(), []
-        for value, a, b in zip(doc_texts.to_pylist(), edges, edges[1:], strict=False):
-            doc = readings(value)
-            found += [leak(doc, texts[k], window, least_plain) for k in range(a, b)]
+        for value, a, b in zip(doc_texts, edges, edges[1:], strict=False):
+            doc = readings(value.as_py())
+            found += [leak(doc, texts[k].as_py(), window, least_plain) for k in range(a, b)]
         columns = list(zip(*found, strict=True)) or [[], [], [], [], []]
         kinds = [pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
         shown = ids.slice(edges[0], edges[-1] - edges[0]) if edges else ids

@@ -1,6 +1,20 @@
 import random
-
-from ballotcredit.llm.decontam import find_leaks, leak, template, windows
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from ballotcredit.llm.decontam import (
+    _BITS,
+    PART,
+    _meeting,
+    _parts,
+    find_leaks,
+    leak,
+    readings,
+    template,
+    windows,
+)
 
 ITEM = ("A train leaves Boston at 9 am and drives 120 miles to meet Anna who walks 3 hours before "
         "she can see the train that left Boston")
@@ -134,3 +148,24 @@ def test_all_pairs_against_the_join(spark, docs):
                 want[d, i] = max(round(covered, 9), want.get((d, i), 0))
     assert got == want
     assert sum(d == 1 for d, _ in want) > 64 and len(want) > 100
+
+
+def test_memory_of_a_batch_does_not_grow_with_its_texts():
+    texts = [f"{i} " + ITEM * 20 for i in range(4_000)] + [None, "", ITEM]
+    array = pa.array(texts, pa.string()).slice(1)
+    wanted = np.unique(np.concatenate([windows(marks, 8) for marks in readings(ITEM)]))
+    bits = np.zeros(1 << _BITS, bool)
+    bits[wanted & np.uint64((1 << _BITS) - 1)] = True
+    packed = np.packbits(bits, bitorder="little")
+    tracemalloc.start()
+    rows, hashes = _meeting(array, [8], packed)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts[:-3])) > 9 * PART and peak < 100 * PART
+    assert set(rows.tolist()) == {*range(3_999), 4_001}
+    assert set(hashes[rows == 4_001].tolist()) == set(wanted.view(np.int64).tolist())
+    parts = [(at, part.to_pylist()) for at, part in _parts(array)]
+    assert len(parts) > 9 and [t for _, part in parts for t in part] == texts[1:]
+    assert [at for at, _ in parts] == np.cumsum([0] + [len(p) for _, p in parts[:-1]]).tolist()
+    long = pa.array(["a" * 3 * PART, "b", "c" * PART])
+    assert [(at, len(part)) for at, part in _parts(long)] == [(0, 1), (1, 1), (2, 1)]
