@@ -4,7 +4,7 @@ import numpy as np
 
 from ballotcredit.llm import repeats
 from ballotcredit.llm.repeats import remove_repeats
-from ballotcredit.llm.suffixes import first_starts, suffix_ranks
+from ballotcredit.llm.suffixes import _keys, _names, _order, first_starts, suffix_ranks
 
 
 def brute(rows, length):
@@ -120,3 +120,17 @@ def test_sample_against_all_strings(spark, sample):
     got = QUERIES["op11_suffix_dedup"](spark, "/root/testdata/sf0.001").collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == want
     assert sum(w[1] for w in want.values()) > 0
+
+
+def test_keys_leave_room_for_row_numbers():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 1 << 30, 3_000) for _ in range(3)]
+    key = _keys(*columns)
+    assert int(key.max()).bit_length() + len(key).bit_length() <= 64
+    wanted = np.lexsort(columns[::-1])
+    for keys in (key, rng.integers(1 << 62, 1 << 63, 3_000).astype(np.uint64)):
+        assert (_order(keys) == np.argsort(keys, kind="stable")).all()
+    assert (_order(key) == wanted).all()
+    few = rng.integers(0, 9, 3_000)
+    assert (_names(few) == np.unique(few, return_inverse=True)[1]).all()
+    assert not len(_names(few[:0])) and not len(_order(few[:0]))
