@@ -156,6 +156,8 @@ def donor_loan_outcomes(
         match_nulls=("cpf_cnpj_doador",) if match_nulls else (),
         spread_by=("id_candidato_bd",), salts=salts,
     )
+    if salts == 1:  # one shuffle for the clients, the candidates that they meet, and the sums
+        attached = attached.repartition(*CANDIDATE)
     contracted = zero_if_missing(F.col("total_contratado"))
     disbursed = zero_if_missing(F.col("total_desembolsado"))
     first_row = F.struct(

@@ -97,16 +97,22 @@ def one_to_many_violations(
 ) -> DataFrame:
     """Keys that break "each right row matches at most one left row", with their left row count."""
     pairs = _pairs(on)
-    repeated = (
-        left.groupBy(*pairs).agg(F.count(F.lit(1)).alias("n_left")).filter("n_left > 1")
-    )
-    return key_semi_join(repeated, right, pairs, match_nulls=tuple(pairs))
+    return key_semi_join(_repeated(left, pairs), right, pairs, match_nulls=tuple(pairs))
+
+
+def _repeated(left: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
+    return left.groupBy(*pairs).agg(F.count(F.lit(1)).alias("n_left")).filter("n_left > 1")
 
 
 def require_one_to_many(
     left: DataFrame, right: DataFrame, on: Mapping[str, str] | Sequence[str]
 ) -> None:
-    """Raise ``ValueError`` naming a few offending keys; runs a job."""
+    """Raise ``ValueError`` naming a few offending keys; runs a job.
+
+    Only keys that the left table repeats can offend: without any, the right table is not read.
+    """
+    if _repeated(left, _pairs(on)).isEmpty():
+        return
     offending = one_to_many_violations(left, right, on).limit(5).collect()
     if offending:
         raise ValueError(f"right rows match several left rows: {offending}")

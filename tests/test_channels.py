@@ -374,3 +374,13 @@ def test_first_gift_by_any_position(spark, table, ansi):
         assert "HashAggregate" in plan and "SortAggregate" not in plan
     finally:
         spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_clients_and_sums_of_a_candidate_share_a_shuffle(table):
+    people = running(table, ("1", 2006, "o", "deferido", "a", "x")).withColumn(
+        "tipo_eleicao", F.lit("o"))
+    given = table(GIFTS, gift("1", 5, 1)).withColumn("tipo_eleicao", F.lit("o"))
+    totals = donors.firm_loan_totals(table(LOANS, firm(5, 10)))
+    plan = donors.donor_loan_outcomes(people, given, totals)._jdf.queryExecution()
+    # One for the gifts of a candidate and donor, one for what follows.
+    assert plan.executedPlan().toString().count("Exchange hashpartitioning(id_candidato_bd") == 2

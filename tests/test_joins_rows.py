@@ -80,6 +80,14 @@ def test_one_to_many_check(table):
     joins.require_one_to_many(left.distinct(), right, ["k"])
 
 
+def test_one_to_many_check_reads_no_right_row_where_no_left_key_repeats(table):
+    left = table("k int", (1,), (2,), (None,))
+    unread = left.select(F.raise_error(F.lit("a right row was read")).cast("int").alias("k"))
+    joins.require_one_to_many(left, unread, ["k"])
+    with pytest.raises(Exception, match="a right row was read"):
+        joins.require_one_to_many(left.union(left), unread, ["k"])
+
+
 def test_filter_reaches_both_sides_of_the_join(spark, tmp_path, table):
     for name in ("a", "b"):
         table("id int, ano int", (1, 2006), (1, 2010)).write.parquet(f"{tmp_path}/{name}")
