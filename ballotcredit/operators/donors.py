@@ -22,9 +22,10 @@ from ballotcredit.operators.loans import window_sums
 
 CANDIDATE = ("id_candidato_bd", "ano")
 CONTRACTED = "valor_contratado_reais"
-# A donation's order and value in one number: order * _STEP + value + _SHIFT. An order is a long, of
-# 19 digits, and a value has 18 and a sign: the number fits a decimal of 38 digits whatever they are.
-_STEP, _SHIFT = Decimal(10**19), Decimal(10**18)
+# A donation's order and value in one number: order * _STEP + value + _SHIFT. An order is a long and a
+# value has 18 digits and a sign: the number fits a decimal of 38 digits whatever they are. As powers
+# of two they leave the bytes of both apart, which shuffles compress.
+_STEP, _SHIFT = Decimal(2**61), Decimal(2**60)
 _UNKNOWN = Decimal(-(2**63))
 # Candidate columns of the outcome table, as far as the inputs have them.
 ATTRIBUTES = (
@@ -46,23 +47,21 @@ def firm_loan_totals(
 
     ``cnpj`` is a parsed id. The first loan is the smallest ``order``, then the smallest (client,
     state, municipality). A missing amount makes the firm's total NULL unless ``skip_nulls``.
+
+    Each task combines a firm's loans of a year wherever they were contracted, so what is shuffled
+    grows with the firms.
     """
-    places = window_sums(
-        loans, ["cnpj", "cliente", "uf", "municipio"], CONTRACTED, elections, years_after, order)
+    sums = window_sums(
+        loans, ["cnpj"], CONTRACTED, elections, years_after, order,
+        of_first=("cliente", "uf", "municipio"))
 
     def total(part: str, present: str):
-        whole = F.sum(part)
-        return whole if skip_nulls else F.when(F.sum("_n") == F.sum(present), whole)
-
-    place = F.struct("cliente", "uf", "municipio")
-    return (
-        places.groupBy("ano", "cnpj")
-        .agg(
-            total("_sum_c", "_n_c").alias("total_contratado"),
-            total("_sum_d", "_n_d").alias("total_desembolsado"),
-            F.min_by(place, F.struct("_first", "cliente", "uf", "municipio")).alias("_place"),
-        )
-        .select("ano", "cnpj", "total_contratado", "total_desembolsado", "_place.*")
+        return F.col(part) if skip_nulls else F.when(F.col("_n") == F.col(present), F.col(part))
+
+    return sums.select(
+        "ano", "cnpj", total("_sum_c", "_n_c").alias("total_contratado"),
+        total("_sum_d", "_n_d").alias("total_desembolsado"),
+        "_first.cliente", "_first.uf", "_first.municipio",
     )
 
 
@@ -97,12 +96,22 @@ def combined_gifts(
 
     The first donation has the smallest ``order`` (a date or a file position), then the smallest
     value; an unknown order, which counts as the smallest long, comes first. Both lie in one
-    decimal, so that raw rows are combined by hash aggregation: the order, any long, above 19
-    digits for the value, which is a decimal of at most 18 digits.
+    decimal, so that raw rows are combined by hash aggregation: the order, any long, above 61
+    bits for the value, which is a decimal of at most 18 digits.
     """
-    value = zero_if_missing(F.col("valor_receita"))
+    return _packed_gifts(donations, origin, order).select(
+        *KEYS, "cpf_cnpj_doador", "_n", "_value", _first_gift(donations, order).alias("_gift"))
+
+
+def _gift_scale(donations: DataFrame) -> int:
     kind = donations.schema["valor_receita"].dataType
-    scale = kind.scale if isinstance(kind, DecimalType) else 4
+    return kind.scale if isinstance(kind, DecimalType) else 4
+
+
+def _packed_gifts(donations: DataFrame, origin: str, order: str) -> DataFrame:
+    """``combined_gifts`` with the first donation as the number ``_key``, and with its ``_date``
+    where that is not the order itself: narrow rows for the shuffles in between."""
+    value, scale = zero_if_missing(F.col("valor_receita")), _gift_scale(donations)
     place = F.col(order)
     if isinstance(donations.schema[order].dataType, DateType):
         place = F.unix_date(order)
@@ -111,18 +120,32 @@ def combined_gifts(
     # An unknown order comes first, as a missing value does in a sort.
     key = (F.coalesce(place.cast("decimal(19,0)"), F.lit(_UNKNOWN).cast("decimal(19,0)"))
            * F.lit(_STEP) + units + F.lit(_SHIFT)).cast("decimal(38,0)")
-    gifts = donations.filter(F.col("origem_receita") == origin).groupBy(
+    date = [] if _dated_by(donations, order) else [F.min_by("data_receita", key).alias("_date")]
+    return donations.filter(F.col("origem_receita") == origin).groupBy(
         *KEYS, "cpf_cnpj_doador").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_value"), F.min(key).alias("_key"),
-        F.min_by("data_receita", key).alias("_date"),
+        *date,
     )
+
+
+def _dated_by(donations: DataFrame, order: str) -> bool:
+    return order == "data_receita" and isinstance(donations.schema[order].dataType, DateType)
+
+
+def _first_gift(donations: DataFrame, order: str):
+    """The first donation as a struct, from the columns of ``_packed_gifts``."""
+    scale = _gift_scale(donations)
+    place = F.floor(F.col("_key") / F.lit(_STEP))
     rest = F.pmod(F.col("_key"), F.lit(_STEP)) - F.lit(_SHIFT)
     worth = (rest.cast("decimal(20,0)") / F.lit(10**scale).cast("decimal(6,0)")).cast(
         f"decimal(18,{scale})")
-    first = F.struct(
-        F.floor(F.col("_key") / F.lit(_STEP)).alias("_order"),
-        F.col("_date").alias("data_receita"), "cpf_cnpj_doador", worth.alias("valor_receita"))
-    return gifts.select(*KEYS, "cpf_cnpj_doador", "_n", "_value", first.alias("_gift"))
+    date = F.col("_date")
+    if _dated_by(donations, order):
+        # Any day is an int; an unknown one is the smallest long.
+        date = F.date_from_unix_date(F.when(place != F.lit(_UNKNOWN), place).cast("int"))
+    return F.struct(
+        place.alias("_order"), date.alias("data_receita"), "cpf_cnpj_doador",
+        worth.alias("valor_receita"))
 
 
 def donor_loan_outcomes(
@@ -151,7 +174,7 @@ def donor_loan_outcomes(
     if indicator not in ("first", "any"):
         raise ValueError("indicator is 'first' or 'any'")
     attached = key_join(
-        combined_gifts(donations, origin, order), firm_totals,
+        _packed_gifts(donations, origin, order), firm_totals,
         {"ano": "ano", "cpf_cnpj_doador": "cnpj"},
         match_nulls=("cpf_cnpj_doador",) if match_nulls else (),
         spread_by=("id_candidato_bd",), salts=salts,
@@ -161,7 +184,7 @@ def donor_loan_outcomes(
     contracted = zero_if_missing(F.col("total_contratado"))
     disbursed = zero_if_missing(F.col("total_desembolsado"))
     first_row = F.struct(
-        F.col("_gift").alias("gift"), "tipo_eleicao",
+        _first_gift(donations, order).alias("gift"), "tipo_eleicao",
         contracted.alias("total_contratado"), disbursed.alias("total_desembolsado"),
     )
     # One row per candidate and client name; donors without loans share the missing name.

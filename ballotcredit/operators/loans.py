@@ -112,13 +112,17 @@ def window_sums(
     years_after: int = YEARS_AFTER,
     order: str = "data_da_contratacao",
     date: str = "data_da_contratacao",
+    of_first: Sequence[str] = (),
 ) -> DataFrame:
     """Sums of loans per election (``ano``) and ``keys``: ``_sum_c``, ``_sum_d``, the counts of
     rows and known amounts, and the smallest ``order``.
 
     Loans are summed per contract year first, by hash aggregation in each task, and only the sums
-    meet the elections, so raw rows are never copied for overlapping windows.
+    meet the elections, so raw rows are never copied for overlapping windows. With ``of_first``
+    the smallest ``order`` comes with these columns of its loan, the smallest of several and an
+    unknown ``order`` first: ``_first`` is then a struct. Its texts need a sort in each task.
     """
+    first = F.struct(F.col(order).alias("_order"), *of_first) if of_first else F.col(order)
     yearly = (
         _dated(loans, date, min(elections), max(elections) + years_after)
         .groupBy(F.year(date).alias("_window_year"), *keys)
@@ -128,7 +132,7 @@ def window_sums(
             F.count(F.lit(1)).alias("_n"),
             F.count(contracted).alias("_n_c"),
             F.count(DISBURSED).alias("_n_d"),
-            F.min(order).alias("_first"),
+            F.min(first).alias("_first"),
         )
     )
     sums = ("_sum_c", "_sum_d", "_n", "_n_c", "_n_d")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from ballotcredit.operators.joins import key_join
 from ballotcredit.operators.rows import top_with_ties
 
 CANDIDATE = ("id_candidato_bd", "ano")
+NUMBER = ("ano", "_uf", "_uf_known", "_number", "_number_known")
 # Columns of the outcome table, as far as the inputs have them.
 OUTCOME_COLUMNS = (
     "sigla_uf", "votos", "resultado", "nome", "numero_partido", "sigla_partido", "sg_partido",
@@ -42,20 +43,30 @@ def electoral_base(candidates: DataFrame, votes: DataFrame, k: int = BASE_SIZE)
     candidates; the rank over the candidate's id then settles ids that have several rows.
     Adds a comparable ``municipio`` when ``votes`` has none.
     """
-    number = ("ano", "sg_uf", "nr_candidato")
-    leading = top_with_ties(
-        votes.filter(F.col("qt_votos_nom_validos") > 0), number, "qt_votos_nom_validos", k
-    )
-    if "municipio" not in votes.columns:
-        leading = leading.withColumn("municipio", normalize_name(F.col("nm_municipio")))
-    joined = key_join(
-        candidates, leading,
-        {"ano": "ano", "sigla_uf": "sg_uf", "numero_candidato": "nr_candidato"},
-        how="inner", match_nulls=("sigla_uf", "numero_candidato"),
-    )
+    numbered = _without_nulls(candidates, {"_uf": "sigla_uf", "_number": "numero_candidato"})
+    given = _without_nulls(
+        votes.filter(F.col("qt_votos_nom_validos") > 0),
+        {"_uf": "sg_uf", "_number": "nr_candidato"}).drop("sg_uf", "nr_candidato")
+    leading = top_with_ties(given, NUMBER, "qt_votos_nom_validos", k)
+    joined = key_join(numbered, leading, NUMBER, how="inner").drop(*NUMBER[1:])
     share = safe_ratio(F.col("qt_votos_nom_validos"), F.col("votos"))
     shared = joined.withColumn("vot_prop_cand", share).filter(F.col("vot_prop_cand") > 0)
-    return top_with_ties(shared, CANDIDATE, "vot_prop_cand", k)
+    base = top_with_ties(shared, CANDIDATE, "vot_prop_cand", k)
+    if "municipio" in base.columns:
+        return base
+    # The name that nm_municipio gives is as long: it is made where no shuffle follows.
+    name = normalize_name(F.col("nm_municipio")).alias("municipio")
+    return base.select(*base.columns[:-1], name, "vot_prop_cand")
+
+
+def _without_nulls(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """The columns again as keys that are never NULL, each with a mark where it was: a rank and a
+    join by them, in which missing values match, need one shuffle, and a plain equality."""
+    for key, name in names.items():
+        empty = "''" if dict(df.dtypes)[name] == "string" else "0"
+        df = df.withColumn(key, F.coalesce(F.col(name), F.expr(empty))).withColumn(
+            f"{key}_known", F.col(name).isNotNull())
+    return df
 
 
 def base_loan_outcomes(

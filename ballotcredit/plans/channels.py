@@ -2,7 +2,8 @@
 
 The margin reads the candidate rows twice (list thresholds, then the candidates themselves), so
 each channel writes them once in between: the joins over loans, votes and donations run once, and
-what follows restarts from the written table when executors are lost.
+what follows restarts from the written table when executors are lost. The municipality channel
+writes the loan totals before.
 """
 
 from __future__ import annotations
@@ -65,9 +66,10 @@ def municipality_panel(
     if check:
         require_one_to_many(running, given, {
             "ano": "ano", "sigla_uf": "sg_uf", "numero_candidato": "nr_candidato"})
-    totals = municipality_loan_totals(
+    # Written, their size is known before the base is shuffled: small ones are broadcast.
+    totals = written(municipality_loan_totals(
         loans, elections=elections, years_after=years_after, fold_names=fold_names,
-        skip_nulls=skip_nulls, order=loan_order)
+        skip_nulls=skip_nulls, order=loan_order))
     base = electoral_base(running, given, base_size)
     outcomes = base_loan_outcomes(base, totals, tie_order=(vote_order,), salts=salts)
     listed = with_coalition(outcomes, coalition, party, fill_before_flag=True, salts=salts)

@@ -95,9 +95,9 @@ def _base(t):
 
 
 def _outcomes(t, fold_names=False):
-    totals = loans.municipality_loan_totals(
+    totals = sinks.written(loans.municipality_loan_totals(
         t["loans"], elections=ELECTIONS, years_after=YEARS_AFTER, fold_names=fold_names
-    )
+    ))
     return votes.base_loan_outcomes(_base(t), totals)
 
 

@@ -384,3 +384,85 @@ def test_clients_and_sums_of_a_candidate_share_a_shuffle(table):
     plan = donors.donor_loan_outcomes(people, given, totals)._jdf.queryExecution()
     # One for the gifts of a candidate and donor, one for what follows.
     assert plan.executedPlan().toString().count("Exchange hashpartitioning(id_candidato_bd") == 2
+
+
+# --- what is shuffled --------------------------------------------------------------------------
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+
+
+def test_loans_of_a_firm_in_many_places_are_shuffled_by_firm(table):
+    loans = table(
+        LOANS, *[(2006, 5, "b", "SP", f"M{i}", date(2006, 2, 1), Decimal(i), Decimal(1))
+                 for i in range(20)],
+        (2007, 5, "c", "RJ", "A", date(2007, 1, 1), Decimal(10), None),
+        (2006, 5, "a", "SP", "Z", date(2006, 2, 1), Decimal(0), Decimal(1)))
+    got = donors.firm_loan_totals(loans)
+    assert rows(got) == [(2006, 5, 200, None, "a", "SP", "Z")]
+    assert shuffles(got) and not any("municipio" in s or "cliente" in s for s in shuffles(got))
+
+
+def test_first_loan_by_position_before_name(table):
+    loans = table(LOANS + ", posicao long", (*firm(5, 1, "a", 1), 9), (*firm(5, 2, "b", 7), 2),
+                  (*firm(5, 3, None, 8), 2), (*firm(None, 4, "n", 3), 1))
+    got = donors.firm_loan_totals(loans, order="posicao").select(
+        "cnpj", "cliente", "total_contratado")
+    assert rows(got) == [(None, "n", 4), (5, None, 6)]
+    by_date = donors.firm_loan_totals(loans).select("cnpj", "cliente")
+    assert rows(by_date) == [(None, "n"), (5, "a")]
+
+
+def test_gifts_go_through_the_shuffles_with_one_date(table):
+    people = running(table, ("1", 2006, "o", "deferido", "a", "x"))
+    late = date(9999, 12, 31)
+    given = table(GIFTS, gift("1", 5, 4), ("1", 2006, "o", 5, Decimal(3), None, PJ),
+                  ("1", 2006, "o", 6, Decimal(2), late, PJ),
+                  ("1", 2006, "o", 7, Decimal(2), date(1, 1, 1), PJ))
+    first = rows(donors.combined_gifts(given).select(
+        "cpf_cnpj_doador", "_gift.data_receita", "_gift.valor_receita"))
+    assert first == [(5, None, 3), (6, late, 2), (7, date(1, 1, 1), 2)]
+    totals = donors.firm_loan_totals(table(LOANS, firm(5, 10)))
+    got = donors.donor_loan_outcomes(people, given, totals)
+    assert rows(got.select("cpf_cnpj_doador", "data_receita", "valor_receita", "n_clients")) == [
+        (5, None, 3, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "min_by(data_receita" not in plan
+
+
+def test_votes_of_a_number_are_shuffled_once(table):
+    people = table(CANDIDATE, ("1", 2006, "SP", 10, 100, "deferido", "a"),
+                   ("2", 2006, None, 10, 100, "deferido", "no state"),
+                   ("3", 2006, "", 0, 100, "deferido", "empty state"),
+                   ("4", 2006, "", None, 100, "deferido", "no number"))
+    given = table(VOTES, (2006, "SP", 10, "São João", 5), (2006, None, 10, "B", 4),
+                  (2006, "", 0, "C", 3), (2006, "", None, "D", 2), (2006, None, None, "E", 1))
+    got = votes.electoral_base(people, given)
+    assert rows(got.select("id_candidato_bd", "nm_municipio", "municipio")) == [
+        ("1", "São João", "SAOJOAO"), ("2", "B", "B"), ("3", "C", "C"), ("4", "D", "D")]
+    assert got.columns[-2:] == ["municipio", "vot_prop_cand"]
+    assert len(shuffles(got)) == 3  # candidates, votes, and the bases by candidate
+
+
+def test_municipality_totals_are_written_before_the_base_meets_them(table, monkeypatch):
+    seen = []
+    whole = channels.base_loan_outcomes
+    monkeypatch.setattr(channels, "base_loan_outcomes", lambda base, totals, **options: (
+        seen.append((base, totals)), whole(base, totals, **options))[1])
+    people = table(
+        CANDIDATE + ", sigla_partido string, resultado string",
+        ("1", 2006, "SP", 10, 100, "deferido", "a", "PT", "eleito"),
+        ("2", 2006, "SP", 20, 40, "deferido", "b", "PT", "suplente"))
+    given = table(VOTES, (2006, "SP", 10, "A", 60), (2006, "SP", 20, "A", 40))
+    credit = table(
+        "uf string, municipio string, municipio_codigo long, data_da_contratacao date, "
+        "valor_da_operacao_em_reais decimal(18,2), valor_desembolsado_reais decimal(18,2)",
+        ("SP", "A", 1, date(2008, 1, 1), Decimal(99), Decimal(9)))
+    lists = table(LISTS, (2006, "SP", "PT", "PT / PC"))
+    got = channels.municipality_panel(people, given, credit, lists)
+    assert rows(got.select("id_candidato_bd", "total_contratado_base")) == [("1", 99), ("2", 99)]
+    base, totals = seen[0]
+    assert totals.inputFiles()
+    # The small totals are broadcast, and the sums need no shuffle after the base's own.
+    assert len(shuffles(whole(base, totals))) == len(shuffles(base))
